@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import tempfile
 import uuid
@@ -67,16 +66,15 @@ def order_bounds(df: DataFrame, key: str, n: int) -> list:
 
 
 def range_bucket(key: str, bounds: list):
-    """Number of bounds at or below the key (binary search by SQL's width of a sorted array); null keys come first."""
+    """Number of bounds at or below the key (binary search over a constant array); null keys come first."""
     if not bounds:
         return F.lit(0)
-    steps = max(1, math.ceil(math.log2(len(bounds) + 1)))
-    low = F.lit(0)
-    # branch-free binary search over a constant array: no join, no per-bound comparison
-    array = F.lit(bounds)
-    size = 1 << (steps - 1)
-    while size:
-        at = low + F.lit(size)
-        low = F.when((at <= F.lit(len(bounds))) & (F.get(array, at - F.lit(1)) <= F.col(key)), at).otherwise(low)
-        size >>= 1
+    array, low = F.lit(bounds), F.lit(0)
+    for bit in reversed(range(len(bounds).bit_length())):
+
+        def step(at, size=1 << bit):
+            up = at + F.lit(size)
+            return F.when((up <= F.lit(len(bounds))) & (F.get(array, up - F.lit(1)) <= F.col(key)), up).otherwise(at)
+
+        low = F.get(F.transform(F.array(low), step), F.lit(0))  # each step's operand is computed once
     return F.coalesce(low, F.lit(0)).cast("int")

@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import mixing, packing, secret_scan, token_files, url_reputation
+
+#: Verdict, host and path of the URL rules.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,13 +31,118 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), spaced=False, end_id=1, max_tokens=4096)
 
 
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled outcomes of pages: a url's path ends in the number of its document; good is of quality and not toxic."""
+    number = F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/([0-9]{1,18})", 1)
+    numbered = pages.select("url", F.nullif(number, F.lit("")).cast("long").alias("doc_id")).filter("doc_id is not null")
+    return numbered.join(labels.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good")).filter("good is not null"), "doc_id").select("url", "good")
+
+
+def op3_url_reputation(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    return url_reputation.judge(pages, page_outcomes(pages, _read(spark, sf_dir, "labels")), URL_RULES)
+
+
+def op7_source_mixing(spark, sf_dir):
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+
+
 def op8_token_files(spark, sf_dir):
     return token_files.token_files(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), spaced=True, end_id=0, vocabulary=50_257)
 
 
+def op9_secret_scan(spark, sf_dir):
+    rows = secret_scan.scan(_read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    return rows.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+OP3_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, url,
+    CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+rules(v, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+ruled AS (
+  SELECT page_id, any_value(url) AS url, any_value(host) AS host, any_value(path) AS path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS by_rule
+  FROM parsed LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+outcomes AS (
+  SELECT host, (quality = 1 AND toxic = 0)::INT AS good FROM parsed JOIN labels ON doc_id = TRY_CAST(regexp_extract(url, '://[^/?#]*/[^/?#]*/([0-9]{1,18})', 1) AS BIGINT)
+  WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+hosts AS (
+  SELECT host, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k,
+    CASE WHEN regexp_matches(host, '(?:^|\.)(?:ac|co|com|edu|gov|net|org)\.[^.]{2}$') THEN regexp_extract(host, '(?:^|\.)((?:ac|co|com|edu|gov|net|org)\.[^.]{2})$', 1) ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix
+  FROM (SELECT host, NULL::INT AS good FROM parsed UNION ALL SELECT host, good FROM outcomes) GROUP BY host),
+named AS (
+  SELECT *, regexp_extract(substr(host, 1, greatest(length(host) - length(suffix) - 1, 0)), '([^.]*)$', 1) AS label FROM hosts),
+h AS (SELECT host, n, k, suffix, CASE WHEN label <> '' THEN label || '.' || suffix ELSE host END AS domain FROM named),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
+sj AS (SELECT s.*, (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM s) AS m FROM s),
+sf AS (SELECT least(greatest(coalesce((sum((k - n * m) ** 2) - sum(m * (1 - m) * n)) / nullif(sum(m * (1 - m) * n * (n - 1)), 0), 0.001), 0.001), 0.9) AS rho FROM sj),
+sp AS (SELECT suffix, ((1 - rho) / rho * m + k) / ((1 - rho) / rho + n) AS m FROM sj, sf),
+dj AS (SELECT d.*, m FROM d JOIN sp USING (suffix)),
+df AS (SELECT least(greatest(coalesce((sum((k - n * m) ** 2) - sum(m * (1 - m) * n)) / nullif(sum(m * (1 - m) * n * (n - 1)), 0), 0.001), 0.001), 0.9) AS rho FROM dj),
+dp AS (SELECT domain, suffix, ((1 - rho) / rho * m + k) / ((1 - rho) / rho + n) AS m FROM dj, df),
+hj AS (SELECT h.*, m FROM h JOIN dp USING (domain, suffix)),
+hf AS (SELECT least(greatest(coalesce((sum((k - n * m) ** 2) - sum(m * (1 - m) * n)) / nullif(sum(m * (1 - m) * n * (n - 1)), 0), 0.001), 0.001), 0.9) AS rho FROM hj),
+hp AS (SELECT host, ((1 - rho) / rho * m + k) / ((1 - rho) / rho + n) AS m, (1 - rho) / rho + n AS total FROM hj, hf)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN m + 1.645 * sqrt(m * (1 - m) / (total + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN hp USING (host)
+"""
+
+MIX_CTE = rf"""
+d AS (SELECT *, {_WORDS}::BIGINT AS size, substr(md5('mix/' || coalesce(doc_id::VARCHAR, '')), 1, 16) AS key FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS n, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+ratios AS (
+  SELECT *, coalesce(sum(2 * n) OVER o - 2 * n, 0) AS caps, sum(w) OVER () - sum(w) OVER o + w AS ws, sum(n) OVER () AS total FROM sources
+  WINDOW o AS (ORDER BY 12 * n / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+capped AS (SELECT *, 2 * (2 * n) * ws <= (3 * total - 2 * caps) * w AS sat FROM ratios),
+level AS (SELECT 3 * any_value(total) - 2 * coalesce(sum(2 * n) FILTER (sat), 0) AS num, 2 * sum(w) FILTER (NOT sat) AS den FROM capped),
+aims AS (SELECT source, n AS source_size, CASE WHEN sat THEN (2 * n)::DOUBLE ELSE (num * w)::DOUBLE / den::DOUBLE END AS target FROM capped, level),
+parts AS (SELECT *, CASE WHEN source_size = 0 THEN 2 ELSE floor(target / source_size) END::BIGINT AS passes FROM aims),
+ranked AS (
+  SELECT d.*, source_size, target, passes, target - passes * source_size AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY d.source, key) AS same
+  FROM d JOIN parts ON d.source IS NOT DISTINCT FROM parts.source),
+mixed AS (SELECT *, passes + CASE WHEN rest > 0 AND 2 * upto - same <= 2 * rest THEN 1 ELSE 0 END AS times FROM ranked)
+"""
+
+OP7_SQL = f"WITH {MIX_CTE} SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken FROM mixed"
+
+
+def _matches_sql(pattern: str, kind: int, group: int, least: int) -> str:
+    """Same reading of positions as the operator's: pieces between matches and the matches before."""
+    quoted = pattern.replace("'", "''")
+    return rf"""
+  (SELECT * FROM (SELECT doc_id, unnest(list_transform(range(1, len(hits) + 1), lambda i: {{'start': (list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0))::BIGINT, 'kind': {kind}, 'len': length(hits[i]), 'hit': hits[i], 'value': groups[i]}}), recursive := true)
+   FROM (SELECT doc_id, string_split_regex(text, '{quoted}') AS parts, regexp_extract_all(text, '{quoted}', 0) AS hits, regexp_extract_all(text, '{quoted}', {group}) AS groups FROM documents WHERE regexp_matches(text, '{quoted}')))
+   WHERE length(value) >= {least})"""
+
+
+OP9_SQL = rf"""
+WITH base AS (SELECT doc_id, start, kind, start + len AS stop FROM ({_matches_sql(secret_scan.ASSIGN, 0, 2, 8)} UNION ALL {_matches_sql(secret_scan.ACCESS, 1, 0, 16)} UNION ALL {_matches_sql(secret_scan.HEX, 2, 0, 32)})),
+runs AS (SELECT doc_id, source, start, start + len AS stop, hit FROM {_matches_sql(secret_scan.CANDIDATE, 3, 0, 24)} JOIN documents USING (doc_id)
+  WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')),
+apart AS (SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop)),
+owned AS (SELECT hit FROM apart GROUP BY hit HAVING count(DISTINCT source) <= 1 AND count(DISTINCT doc_id) <= 3),
+spans AS (SELECT * FROM base UNION ALL SELECT doc_id, start, 3, stop FROM apart SEMI JOIN owned USING (hit)),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+    string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_reputation": OP3_SQL, "op7_source_mixing": OP7_SQL, "op9_secret_scan": OP9_SQL}
