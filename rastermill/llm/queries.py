@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, secret_scan, token_files, url_reputation
+from . import language_id, mixing, packing, quality, secret_scan, syncmers, token_files, url_reputation, warc
 
 #: Verdict, host and path of the URL rules.
 URL_RULES = [
@@ -27,6 +27,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_syncmers(spark, sf_dir):
+    return syncmers.compare_with_edits(_read(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), spaced=False, end_id=1, max_tokens=4096)
 
@@ -35,7 +39,7 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled outcomes of pages: a url's path ends in the number of its document; good is of quality and not toxic."""
     number = F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/([0-9]{1,18})", 1)
     numbered = pages.select("url", F.nullif(number, F.lit("")).cast("long").alias("doc_id")).filter("doc_id is not null")
-    return numbered.join(labels.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good")).filter("good is not null"), "doc_id").select("url", "good")
+    return numbered.join(labels.filter("quality is not null and toxic is not null").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good")), "doc_id").select("url", "good")
 
 
 def op3_url_reputation(spark, sf_dir):
@@ -43,6 +47,26 @@ def op3_url_reputation(spark, sf_dir):
     return url_reputation.judge(pages, page_outcomes(pages, _read(spark, sf_dir, "labels")), URL_RULES)
 
 
+def language_fold():
+    """0, 1 or 2; documents of fold 1 are held out, and null ids never teach."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+
+
+def op4_language_field(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    field = language_id.fit(docs, language_fold() != 1)
+    return language_id.predict(docs, field).select("doc_id", F.coalesce(language_fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_warc_members(spark, sf_dir):
+    return warc.archive(_read(spark, sf_dir, "pages"), least=0)
+
+
+def op6_weak_supervision(spark, sf_dir):
+    kept = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge(_read(spark, sf_dir, "documents")).select(*kept)
+
+
 def op7_source_mixing(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
