@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality, secret_scan, syncmers, token_files, url_reputation, warc
+from . import language_id, mixing, ngram_join, packing, quality, secret_scan, syncmers, token_files, url_reputation, warc
 
 #: Verdict, host and path of the URL rules.
 URL_RULES = [
@@ -82,6 +82,10 @@ def op9_secret_scan(spark, sf_dir):
     return rows.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.join_components(_read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
