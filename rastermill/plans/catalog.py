@@ -1,15 +1,720 @@
-"""Every query of the raster engine by name."""
+"""Every query of the raster engine by name, with DuckDB SQL for the same rows.
+
+Floating results are rounded to six places on both sides: sums depend on their order in the last digits.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import radiometry
+from ..grid import Bounds, GridMeta, chunk_grid, lonlat_to_xy
+from ..operators import align, classify, combine, focal, index, masks, sample, temporal, tiles, vector
+from ..sensors import BANDPASS, BRDF_WEIGHTS, TASSELED_CAP, wavelengths
+from ..sources import reader
+from . import adapters
+from .pipeline import scene_cube
+
+_queries: dict = {}
+_oracles: dict[str, str] = {}
+BANDS = list(adapters.BANDS)
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        _queries[name] = fn
+        if sql:
+            _oracles[name] = sql
+        return fn
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), 6) for n in names})
+
+
+IMAGE = "image AS (SELECT (vec_id // 25)::INT AS row, (vec_id % 25)::INT AS col, " + ", ".join(f"(embedding[{i + 1}]::DOUBLE + 1.0) / 2.0 AS {b}" for i, b in enumerate(BANDS)) + ", label::INT AS label FROM embeddings)"
+NUMBERS = "numbers AS (SELECT l_shipdate AS time, l_linenumber::INT AS band, (l_orderkey // 128)::INT AS row, (l_orderkey % 128)::INT AS col, l_quantity AS value FROM lineitem)"
+SERIES = "series AS (SELECT o_orderdate AS time, (o_custkey // 16)::INT AS row, (o_custkey % 16)::INT AS col, o_totalprice AS value, o_orderkey FROM orders)"
+DAILY = "daily AS (SELECT date_trunc('day', ts)::TIMESTAMP AS time, (user_id // 16)::INT AS row, (user_id % 16)::INT AS col, " + ", ".join(f"avg(value) FILTER (event_type = '{k}') AS {b}" for k, b in (("click", "blue"), ("view", "green"), ("purchase", "red"), ("signup", "nir"), ("error", "swir1"))) + " FROM events GROUP BY ALL)"
+QUALITY = "quality AS (SELECT (p_partkey // 64)::INT AS row, (p_partkey % 64)::INT AS col, ((p_partkey * 37) % 65536)::INT AS qa, (p_partkey % 12)::INT AS scl, p_retailprice AS value FROM part)"
+ANGLED = IMAGE + ", angled AS (SELECT *, 25.0::DOUBLE + (row * 7 + col) % 30 AS sza, 120.0::DOUBLE + (row + col * 3) % 60 AS saa, 1.0::DOUBLE + (row + col) % 9 AS vza, 100.0::DOUBLE + (row * 5 + col * 11) % 200 AS vaa, (((row * 13 + col * 7) % 50) * 10.0)::DOUBLE AS elev, ((row * 3 + col) % 40)::DOUBLE AS slope, ((row * 17 + col * 29) % 360)::DOUBLE AS aspect, CASE WHEN (row * 5 + col * 3) % 11 = 0 THEN 1 ELSE 0 END AS cloud FROM image)"
+
+
+def _clip(x: str, low, high) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN least(greatest({x}, {float(low)}::DOUBLE), {float(high)}::DOUBLE) END"
+
+
+# --- band math -------------------------------------------------------------------------------------------------------------
+
+_FORMULAS = {
+    "ndvi": _clip("(nir - red) / nullif(nir + red, 0)", -1, 1),
+    "nbr": _clip("(nir - swir2) / nullif(nir + swir2, 0)", -1, 1),
+    "kndvi": _clip("tanh(((nir - red) / nullif(nir + red, 0)) ** 2)", -1, 1),
+    "evi": _clip("2.5 * (nir - red) / nullif(nir + 6.0 * red - 7.5 * blue + 1.0, 0)", 0, 1),
+    "evi2": _clip("2.5 * (nir - red) / nullif(nir + 1.0 + 2.4 * red, 0)", 0, 1),
+    "avi": _clip("CASE WHEN nir * (1.0 - red) * (nir - red) >= 0 THEN pow(nir * (1.0 - red) * (nir - red), 0.3334) END", 0, 1),
+    "gcvi": "(" + _clip("nir / nullif(green, 0) - 1.0", 0, 10) + ") / 10.0",
+    "wi": _clip("CASE WHEN swir1 + red > 0.5 THEN 0.0 ELSE 1.0 - (swir1 + red) / 0.5 END", 0, 1),
+}
+for _name, _formula in _FORMULAS.items():
+
+    @query(_name, f"WITH {IMAGE} SELECT row, col, round(({_formula})::DOUBLE, 6) AS {_name} FROM image")
+    def _index(spark, sf_dir, name=_name):
+        return rounded(adapters.image(spark, sf_dir).select("row", "col", index.index(name)), name)
+
+
+@query("norm_diff", f"WITH {IMAGE} SELECT row, col, round({_clip('(green - blue) / nullif(green + blue, 0)', -1, 1)}, 6) AS norm_diff FROM image")
+def _norm_diff(spark, sf_dir):
+    return rounded(adapters.image(spark, sf_dir).select("row", "col", index.norm_diff("blue", "green")), "norm_diff")
+
+
+@query("ndvi_masked", f"WITH {IMAGE} SELECT row, col, round(CASE WHEN label < 3 THEN {_FORMULAS['ndvi']} END, 6) AS ndvi FROM image")
+def _masked(spark, sf_dir):
+    return rounded(adapters.image(spark, sf_dir).select("row", "col", index.index("ndvi", mask=F.col("label"))), "ndvi")
+
+
+@query("ndvi_by_class", f"WITH {IMAGE} SELECT label, count(*) AS n, round(avg({_FORMULAS['ndvi']}), 6) AS ndvi FROM image GROUP BY label")
+def _by_class(spark, sf_dir):
+    rows = adapters.image(spark, sf_dir).select("label", index.index("ndvi"))
+    return rounded(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("ndvi").alias("ndvi")), "ndvi")
+
+
+_CAP = ", ".join(f"round({' + '.join(f'{b} * ({r[k]})' for b, r in zip(BANDS, TASSELED_CAP['l7'], strict=True))}, 6) AS {n}" for k, n in enumerate(("brightness", "greenness", "wetness")))
+
+
+@query("tasseled_cap", f"WITH {IMAGE} SELECT row, col, {_CAP} FROM image")
+def _cap(spark, sf_dir):
+    return rounded(adapters.image(spark, sf_dir).select("row", "col", *index.tasseled_cap("l7")), "brightness", "greenness", "wetness")
+
+
+@query("linear_transform", f"WITH {IMAGE} SELECT row, col, round(red * 2.0 + 0.1, 6) AS red, round(nir * 0.5 - 0.2, 6) AS nir FROM image")
+def _linear(spark, sf_dir):
+    made = index.linear_transform(adapters.image(spark, sf_dir), {"red": 2.0, "nir": 0.5}, {"red": 0.1, "nir": -0.2})
+    return rounded(made.select("row", "col", "red", "nir"), "red", "nir")
+
+
+@query("bandpass_l7", f"WITH {IMAGE} SELECT row, col, {', '.join(f'round(({BANDPASS['l7'][b][0]}) + ({BANDPASS['l7'][b][1]}) * {b}, 6) AS {b}' for b in BANDS)} FROM image")
+def _bandpass(spark, sf_dir):
+    return rounded(index.bandpass(adapters.image(spark, sf_dir), "l7", BANDS).select("row", "col", *BANDS), *BANDS)
+
+
+@query("set_nodata", f"WITH {NUMBERS} SELECT time, band, row, col, round(CASE WHEN value <> 7 THEN least(greatest(value * 0.1 + 1.0, 0.0), 5.0) END, 6) AS value FROM numbers")
+def _set_nodata(spark, sf_dir):
+    return rounded(index.set_nodata(adapters.numbers(spark, sf_dir), ["value"], 7, None, (0, 5), 0.1, 1.0), "value")
+
+
+@query("set_nodata_fill", f"WITH {NUMBERS} SELECT time, band, row, col, CASE WHEN value <> 7 THEN value ELSE -1.0 END AS value FROM numbers")
+def _set_fill(spark, sf_dir):
+    return index.set_nodata(adapters.numbers(spark, sf_dir), ["value"], 7, -1)
+
+
+@query("mask_nodata", f"WITH {NUMBERS} SELECT time, band, row, col, nullif(value, 1) AS value FROM numbers")
+def _mask_nodata(spark, sf_dir):
+    return index.mask_nodata(adapters.numbers(spark, sf_dir), ["value"], 1)
+
+
+@query("pixel_mask", f"WITH {QUALITY} SELECT row, col, CASE WHEN qa <> 37 AND scl <> 3 THEN qa END AS qa, CASE WHEN qa <> 37 AND scl <> 3 THEN scl END AS scl FROM (SELECT row, col, qa, CASE WHEN scl = 3 THEN 37 ELSE scl END AS scl0, scl FROM quality)".replace("scl END AS scl FROM (", "scl0 END AS scl FROM ("))
+def _pixel_mask(spark, sf_dir):
+    held = adapters.quality(spark, sf_dir).select("row", "col", "qa", F.when(F.col("scl") == 3, 37).otherwise(F.col("scl")).alias("scl"))
+    return index.pixel_mask(held, ["qa", "scl"], 37)
+
+
+@query("compare_gt", f"WITH {NUMBERS} SELECT time, band, row, col, CASE WHEN value > 25 THEN value END AS value FROM numbers")
+def _compare(spark, sf_dir):
+    return index.compare(adapters.numbers(spark, sf_dir), ["value"], "gt", 25)
+
+
+@query("compare_binary", f"WITH {NUMBERS} SELECT time, band, row, col, CASE WHEN value <= 10 THEN 1.0::DOUBLE END AS value FROM numbers")
+def _compare_binary(spark, sf_dir):
+    return index.compare(adapters.numbers(spark, sf_dir), ["value"], "le", 10, True)
+
+
+@query("replace_values", f"WITH {QUALITY} SELECT row, col, CASE scl WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 5 THEN 50 ELSE scl END AS scl FROM quality")
+def _replace(spark, sf_dir):
+    return index.replace_values(adapters.quality(spark, sf_dir).select("row", "col", "scl"), ["scl"], {1: 2, 2: 1, 5: 50})
+
+
+@query("reduce_bands", f"WITH {DAILY} SELECT time, row, col, round(list_min([blue, green, red]), 6) AS low, round(list_avg([blue, green, red]), 6) AS mean, len(list_filter([blue, green, red], lambda x: x IS NOT NULL))::INT AS n FROM daily")
+def _reduce(spark, sf_dir):
+    three, df = ["blue", "green", "red"], adapters.daily(spark, sf_dir)
+    for how in ("min", "mean", "count"):
+        df = combine.reduce_bands(df, three, how)
+    return rounded(df.select("time", "row", "col", F.col("min").alias("low"), "mean", F.col("count").alias("n")), "low", "mean")
+
+
+@query("band_arithmetic", f"WITH {IMAGE} SELECT a.row, a.col, round(a.red - b.red, 6) AS red, round(a.nir - b.nir, 6) AS nir FROM image a JOIN image b ON b.row = a.row AND b.col = a.col AND b.label < 5")
+def _arithmetic(spark, sf_dir):
+    one = adapters.image(spark, sf_dir)
+    return rounded(combine.band_arithmetic(one, one.filter("label < 5").select("row", "col", "red", "nir"), ["red", "nir"], "-"), "red", "nir")
+
+
+# --- masks -----------------------------------------------------------------------------------------------------------------
+
+
+def _qa_sql(sensor: str, items: list[str], confidence: int) -> str:
+    from ..sensors import QA_BITS, QA_CODES
+
+    out = "0"
+    for i in items:
+        high, low = QA_BITS[sensor][i]
+        out = f"CASE WHEN ((qa >> {low}) & {(1 << (high - low + 1)) - 1}) >= {confidence if i.endswith('conf') else 1} THEN {QA_CODES[i]} ELSE {out} END"
+    return f"WITH {QUALITY} SELECT row, col, {out} AS code FROM quality"
+
+
+for _name, _sensor, _items, _word, _level in (("qa_codes_l8", "l8-c1", ["cirrusconf", "snowiceconf", "shadowconf", "cloudconf", "cloud", "fill"], "maybe", 2), ("qa_codes_hls", "hls", ["cirrus", "cloud", "adjacent", "shadow", "water"], "yes", 3), ("qa_codes_ard", "ard", ["fill", "water", "shadow", "snow", "cloud"], "yes", 3)):
+
+    @query(_name, _qa_sql(_sensor, _items, _level))
+    def _qa(spark, sf_dir, sensor=_sensor, items=_items, word=_word):
+        return adapters.quality(spark, sf_dir).select("row", "col", masks.qa_codes("qa", sensor, items, word).alias("code"))
+
+
+@query("landsat_clear", f"WITH {QUALITY} SELECT row, col, CASE WHEN (qa & 63) = 0 THEN value END AS value FROM quality")
+def _landsat(spark, sf_dir):
+    return masks.keep_where(adapters.quality(spark, sf_dir), ["value"], masks.landsat_clear("qa")).select("row", "col", "value")
+
+
+@query("fmask_clear", f"WITH {QUALITY} SELECT row, col, CASE WHEN (qa & 31) = 0 THEN value END AS value FROM quality")
+def _fmask(spark, sf_dir):
+    return masks.keep_where(adapters.quality(spark, sf_dir), ["value"], masks.fmask_clear("qa")).select("row", "col", "value")
+
+
+@query("scl_clear", f"WITH {QUALITY} SELECT row, col, CASE WHEN scl NOT IN (0, 1, 3, 8, 9, 10) THEN value END AS value FROM quality")
+def _scl(spark, sf_dir):
+    return masks.keep_where(adapters.quality(spark, sf_dir), ["value"], masks.scl_clear("scl")).select("row", "col", "value")
+
+
+@query("band_mask", f"WITH {DAILY} SELECT time, row, col, CASE WHEN (coalesce(blue > 0, false)::INT + coalesce(green > 0, false)::INT + coalesce(red > 0, false)::INT) < 3 THEN 1 ELSE 0 END AS mask FROM daily")
+def _band_mask(spark, sf_dir):
+    return adapters.daily(spark, sf_dir).select("time", "row", "col", masks.band_mask(["blue", "green", "red"]).alias("mask"))
+
+
+@query(
+    "cloud_shadows",
+    f"""WITH {ANGLED}, landed AS (SELECT DISTINCT (row + round(cos(radians(saa)) * tan(radians(sza)) * h / 30.0))::INT AS row, (col - round(sin(radians(saa)) * tan(radians(sza)) * h / 30.0))::INT AS col FROM angled, (VALUES (100.0::DOUBLE), (200.0::DOUBLE)) v(h) WHERE cloud = 1)
+SELECT a.row, a.col, (l.row IS NOT NULL AND cloud <> 1 AND (green - swir2) / nullif(green + swir2, 0) >= 0.0)::INT AS shadow FROM angled a LEFT JOIN landed l ON l.row = a.row AND l.col = a.col""",
+)
+def _shadows(spark, sf_dir):
+    return masks.cloud_shadows(adapters.angled(spark, sf_dir), "cloud", "sza", "saa", 30.0, [100.0, 200.0], least=0.0).select("row", "col", "shadow")
+
+
+# --- sets and aggregates -----------------------------------------------------------------------------------------------------
+
+
+@query("calc_area_km2", f"WITH {IMAGE} SELECT v::DOUBLE AS value, round(count(*) FILTER (label = v) * 900.0 * 1e-6, 6) AS area FROM image, (VALUES (0), (3), (7)) t(v) GROUP BY v")
+def _area(spark, sf_dir):
+    return rounded(combine.area(adapters.image(spark, sf_dir), "label", [0, 3, 7], 900.0), "area")
+
+
+@query("calc_area_ha_ge", f"WITH {NUMBERS} SELECT v::DOUBLE AS value, round(count(*) FILTER (value >= v) * 900.0 * 1e-4, 6) AS area FROM numbers, (VALUES (10), (40)) t(v) GROUP BY v")
+def _area_ge(spark, sf_dir):
+    return rounded(combine.area(adapters.numbers(spark, sf_dir), "value", [10, 40], 900.0, "ge", "ha"), "area")
+
+
+@query("area_by_class", f"WITH {QUALITY} SELECT scl AS value, round(count(*) * 900.0 * 1e-6, 6) AS area FROM quality GROUP BY scl")
+def _area_class(spark, sf_dir):
+    return rounded(combine.area_by_class(adapters.quality(spark, sf_dir), "scl", 900.0), "area")
+
+
+def _scenes(spark, sf_dir):
+    """Bands 1 to 3 as images of 64 columns that overlap by half."""
+    df = adapters.numbers(spark, sf_dir)
+    out = []
+    for b in (1, 2, 3):
+        left = (b - 1) * 32
+        pixels = df.filter((F.col("band") == b) & F.col("col").between(left, left + 63)).groupBy("row", "col").agg(F.max("value").alias("value"))
+        out.append((pixels.withColumn("col", F.col("col") - left), GridMeta(left * 30.0, 0.0, 30.0, 30.0, 2000, 64, 32621, ("value",))))
+    return out
+
+
+_SCENES = "scenes AS (" + " UNION ALL ".join(f"SELECT row, col, {b} AS b, max(value) AS value FROM numbers WHERE band = {b} AND col BETWEEN {(b - 1) * 32} AND {(b - 1) * 32 + 63} GROUP BY row, col" for b in (1, 2, 3)) + ")"
+for _how, _by, _low, _high in (("max", "reference", 0, 63), ("min", "union", 0, 127), ("mean", "union", 0, 127), ("max", "intersection", 64, 63)):
+    if _by == "intersection":
+        _low, _high = 32, 63
+
+    @query(f"mosaic_{_how}_{_by}", f"WITH {NUMBERS}, {_SCENES} SELECT row, (col - {_low})::INT AS col, round({'avg' if _how == 'mean' else _how}(value), 6) AS value FROM scenes WHERE col BETWEEN {_low} AND {_high} {'AND b < 3' if _by == 'intersection' else ''} GROUP BY row, col")
+    def _mosaic(spark, sf_dir, how=_how, by=_by):
+        scenes = _scenes(spark, sf_dir)
+        return rounded(combine.mosaic(scenes[:2] if by == "intersection" else scenes, ["value"], how, by)[0], "value")
+
+
+@query("concat_time", f"WITH {NUMBERS}, {_SCENES} SELECT (CASE b WHEN 3 THEN '2020-02-01' ELSE '2020-01-01' END)::TIMESTAMP AS time, row, (col - (b - 1) * 32)::INT AS col, max(value) AS value FROM scenes GROUP BY ALL")
+def _concat(spark, sf_dir):
+    days = ["2020-01-01", "2020-01-01", "2020-02-01"]
+    return combine.concat_time([(t, d) for t, (d, _) in zip(days, _scenes(spark, sf_dir), strict=True)], ["value"])
+
+
+@query("stack_bands", f"WITH {NUMBERS}, {_SCENES} SELECT a.row, a.col, a.value AS b1, b.value AS b2 FROM scenes a JOIN (SELECT row, col - 32 AS col, value FROM scenes WHERE b = 2) b ON a.row = b.row AND a.col = b.col WHERE a.b = 1")
+def _stack(spark, sf_dir):
+    (a, _), (b, _), _ = _scenes(spark, sf_dir)
+    return combine.stack_bands([a.withColumnRenamed("value", "b1"), b.withColumnRenamed("value", "b2")])
+
+
+@query("merge_duplicates", f"WITH {NUMBERS} SELECT time, row, col, round(avg(nullif(value, 0)), 6) AS value FROM numbers WHERE band < 3 GROUP BY ALL")
+def _merge(spark, sf_dir):
+    df = adapters.numbers(spark, sf_dir)
+    return rounded(combine.merge_duplicates([df.filter("band = 1").drop("band"), df.filter("band = 2").drop("band")], ["value"], True), "value")
+
+
+@query("drop_empty_times", f"WITH {NUMBERS}, m AS (SELECT time, band, row, col, CASE WHEN value > 49 THEN value END AS value FROM numbers) SELECT time, count(*) AS n FROM m WHERE time IN (SELECT time FROM m WHERE value IS NOT NULL) GROUP BY time")
+def _empty(spark, sf_dir):
+    kept = index.compare(adapters.numbers(spark, sf_dir), ["value"], "gt", 49)
+    return combine.drop_empty_times(kept, ["value"]).groupBy("time").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- time ------------------------------------------------------------------------------------------------------------------
+
+_STATS = {"max": "max(value)", "min": "min(value)", "mean": "avg(value)", "median": "quantile_cont(value, 0.5)", "amp": "max(value) - min(value)", "cv": "stddev_pop(value) / (avg(value) + 1e-9)", "norm_abs_energy": "sum(value * value) / nullif(max(value) * max(value) * count(*), 0)", "percentile10": "quantile_cont(value, 0.1)", "percentile90": "quantile_cont(value, 0.9)"}
+for _name, _formula in _STATS.items():
+
+    @query(f"series_{_name}", f"WITH {SERIES} SELECT row, col, round({_formula}, 6) AS {_name} FROM series GROUP BY row, col")
+    def _stat(spark, sf_dir, name=_name):
+        return rounded(temporal.series_stats(adapters.series(spark, sf_dir), [name]), name)
+
+
+def _slices(spark, sf_dir):
+    """One value for each pixel and day, scaled to a small range."""
+    return adapters.series(spark, sf_dir).groupBy("time", "row", "col").agg((F.sum("value") / 5e6).alias("value"))
+
+
+_SLICES = f"{SERIES}, slices AS (SELECT time, row, col, sum(value) / 5e6 AS value FROM series GROUP BY ALL)"
+
+
+@query("series_mean_abs_diff", f"WITH {_SLICES}, d AS (SELECT row, col, abs(value - lag(value) OVER (PARTITION BY row, col ORDER BY time)) AS d FROM slices) SELECT row, col, round(CASE WHEN avg(d) IS NOT NULL THEN least(greatest(avg(d) / 0.05, 0.0), 1.0) END, 6) AS mean_abs_diff FROM d GROUP BY row, col")
+def _mean_diff(spark, sf_dir):
+    return rounded(temporal.series_stats(_slices(spark, sf_dir), ["mean_abs_diff"]), "mean_abs_diff")
+
+
+_QUARTERS = ", ".join(f"round(CASE WHEN s{q} IS NOT NULL AND isfinite(s{q}) THEN least(abs(s{q}) / 0.05, 1.0) END, 4) AS abs_slope_q{q}" for q in (1, 2, 3, 4))
+_SLOPES = ", ".join(f"regr_slope(value, pos) FILTER (pos >= floor({(q - 1) * 0.25} * n) AND pos < floor({q * 0.25} * n)) AS s{q}" for q in (1, 2, 3, 4))
+
+
+@query("series_abs_slopes", f"WITH {_SLICES}, o AS (SELECT *, (row_number() OVER (PARTITION BY row, col ORDER BY time) - 1)::DOUBLE AS pos, count(*) OVER (PARTITION BY row, col) AS n FROM slices), s AS (SELECT row, col, {_SLOPES} FROM o GROUP BY row, col) SELECT row, col, {_QUARTERS} FROM s")
+def _slopes(spark, sf_dir):
+    names = [f"abs_slope_q{q}" for q in (1, 2, 3, 4)]
+    made = temporal.series_stats(_slices(spark, sf_dir), names)
+    return made.withColumns({n: F.round(n, 4) for n in names})  # slopes of few points lose digits
+
+
+_FIRST = "(SELECT min(time)::DATE FROM {t})"
+_BUCKETS = {
+    "D": "date_trunc('day', time)",
+    "MS": "date_trunc('month', time)",
+    "QS": "date_trunc('quarter', time)",
+    "YS": "date_trunc('year', time)",
+    "W": "time::DATE + ((7 - dayofweek(time)) % 7)::INT",
+    "15D": "{f} + ((time::DATE - {f}) // 15 * 15)::INT",
+    "2W": "({f} + ((7 - dayofweek({f})) % 7)::INT) + (ceil((time::DATE - ({f} + ((7 - dayofweek({f})) % 7)::INT)) / 14.0) * 14)::INT",
+    "2MS": "date_trunc('month', {f}) + to_months((((year(time) - year({f})) * 12 + month(time) - month({f})) // 2 * 2)::INT)",
+}
+for _freq, _how, _source, _cte in (("MS", "median", "series", SERIES), ("QS", "mean", "series", SERIES), ("YS", "max", "series", SERIES), ("D", "max", "daily", DAILY), ("W", "mean", "daily", DAILY), ("15D", "mean", "daily", DAILY), ("2W", "min", "daily", DAILY), ("2MS", "median", "series", SERIES)):
+    _value = "value" if _source == "series" else "red"
+    _agg = {"median": f"quantile_cont({_value}, 0.5)", "mean": f"avg({_value})", "max": f"max({_value})", "min": f"min({_value})"}[_how]
+    _label = _BUCKETS[_freq].replace("{f}", _FIRST.format(t=_source))
+
+    @query(f"composite_{_freq.lower()}_{_how}", f"WITH {_cte} SELECT ({_label})::TIMESTAMP AS time, row, col, round({_agg}, 6) AS {_value} FROM {_source} GROUP BY ALL HAVING {_agg} IS NOT NULL")
+    def _composite(spark, sf_dir, freq=_freq, how=_how, source=_source, value=_value):
+        return rounded(temporal.composite(getattr(adapters, source)(spark, sf_dir), freq, how, [value]), value)
+
+
+@query("flatten_time", f"WITH {DAILY} SELECT row, col, " + ", ".join(f"round(max({b}) FILTER (time = '2024-01-0{i}'::TIMESTAMP), 6) AS t{i}_{b}" for i in (1, 2) for b in ("red", "nir")) + " FROM daily GROUP BY row, col")
+def _flatten(spark, sf_dir):
+    made = temporal.flatten_time(adapters.daily(spark, sf_dir), ["red", "nir"], ["2024-01-01", "2024-01-02"])
+    return rounded(made, *[c for c in made.columns if c not in ("row", "col")])
+
+
+@query("orbit_factors", "SELECT o_orderkey, round(0.03275104 * cos(dayofyear(o_orderdate) / 59.66638337) + 0.96804905, 6) AS orbit, round(1 / (1 - 0.0167 * cos(0.0172 * (dayofyear(o_orderdate) - 2.0))) ** 2, 6) AS distance FROM orders")
+def _orbit(spark, sf_dir):
+    day = F.dayofyear("o_orderdate")
+    rows = adapters.table(spark, sf_dir, "orders").select("o_orderkey", temporal.orbit_factor(day).alias("orbit"), temporal.earth_sun_distance_squared(day).alias("distance"))
+    return rounded(rows, "orbit", "distance")
+
+
+@query("filename_dates", "SELECT o_orderkey, try_strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d')::DATE AS day FROM orders")
+def _filename(spark, sf_dir):
+    name = F.concat(F.lit("LC08_L1TP_224078_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_B2.tif"))
+    return adapters.table(spark, sf_dir, "orders").select("o_orderkey", temporal.filename_date(name).alias("day"))
+
+
+# --- space -----------------------------------------------------------------------------------------------------------------
+
+#: id, value and ring in cells (column, row), put on the image's grid.
+_RINGS = [(1, 10, [(2.3, 1.2), (9.7, 1.2), (9.7, 8.7), (2.3, 8.7)]), (2, 20, [(8.2, 4.1), (20.6, 5.3), (13.1, 17.9)]), (3, 30, [(40.5, 2.5), (60.5, 2.5), (60.5, 9.5)])]
+
+
+def _shapes(spark, grid: GridMeta) -> DataFrame:
+    return vector.polygons(spark, [(i, v, [(grid.left + x * grid.cellx, grid.top - y * grid.celly) for x, y in ring]) for i, v, ring in _RINGS])
+
+
+def _inside(ring, x="col + 0.5", y="row + 0.5") -> str:
+    """Even-odd rule over a fixed ring."""
+    hits = [f"((({y1} > {y}) <> ({y2} > {y})) AND ({x}) < {x1} + (({y}) - {y1}) * ({x2} - {x1}) / nullif({y2} - {y1}, 0))::INT" for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True)]
+    return f"((({' + '.join(hits)}) % 2) = 1)".replace("::INT", "::BOOLEAN::INT")
+
+
+_COVER = "cover AS (" + " UNION ALL ".join(f"SELECT {i} AS id, {v}.0::DOUBLE AS value, row, col FROM image WHERE {_inside(r)}" for i, v, r in _RINGS) + ")"
+
+
+def _image(spark, sf_dir):
+    df = adapters.image(spark, sf_dir)
+    grid = adapters.image_grid(df)
+    return df, grid, _shapes(spark, grid)
+
+
+@query("extract_points", f"WITH {IMAGE}, p AS (SELECT c_custkey AS id, (c_custkey * 7 % 30)::INT AS col, (c_custkey * 3 % 40)::INT AS row FROM customer) SELECT id, row, col, round(red, 6) AS red, round(nir, 6) AS nir FROM p JOIN image USING (row, col)")
+def _extract(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    key = F.col("c_custkey")
+    points = adapters.table(spark, sf_dir, "customer").select(key.alias("id"), (F.lit(grid.left) + (key * 7 % 30 + 0.25) * grid.cellx).alias("x"), (F.lit(grid.top) - (key * 3 % 40 + 0.75) * grid.celly).alias("y"))
+    return rounded(vector.extract_points(df, ["red", "nir"], points, grid).select("id", "row", "col", "red", "nir"), "red", "nir")
+
+
+@query("polygon_cells", f"WITH {IMAGE}, {_COVER} SELECT id, row, col FROM cover")
+def _cells(spark, sf_dir):
+    _, grid, shapes = _image(spark, sf_dir)
+    return vector.cells_of(shapes, grid).select("id", "row", "col")
+
+
+@query("covered_pixels", f"WITH {IMAGE}, {_COVER} SELECT id, row, col, round(red, 6) AS red FROM cover JOIN image USING (row, col)")
+def _covered(spark, sf_dir):
+    df, grid, shapes = _image(spark, sf_dir)
+    return rounded(vector.covered(df, shapes, grid, tile=8).select("id", "row", "col", "red"), "red")
+
+
+for _keep, _op in (("in", "IN"), ("out", "NOT IN")):
+
+    @query(f"mask_{_keep}", f"WITH {IMAGE}, {_COVER} SELECT row, col, round(CASE WHEN (row, col) {_op} (SELECT (row, col) FROM cover) THEN red END, 6) AS red FROM image")
+    def _mask(spark, sf_dir, keep=_keep):
+        df, grid, shapes = _image(spark, sf_dir)
+        return rounded(vector.mask(df.select("row", "col", "red"), ["red"], shapes, grid, keep, False), "red")
+
+
+@query("rasterize", f"WITH {IMAGE}, {_COVER} SELECT row, col, coalesce(arg_max(value, id), 0.0) AS value FROM image LEFT JOIN cover USING (row, col) GROUP BY row, col")
+def _rasterize(spark, sf_dir):
+    _, grid, shapes = _image(spark, sf_dir)
+    return vector.rasterize(spark, shapes, grid, all_touched=False)
+
+
+@query("rasterize_all_touched")
+def _touched(spark, sf_dir):
+    _, grid, shapes = _image(spark, sf_dir)
+    return vector.rasterize(spark, shapes, grid, all_touched=True)
+
+
+@query("zonal", f"WITH {IMAGE}, {_COVER} SELECT id, count(*) AS n, round(avg(red), 6) AS red_mean, round(min(red), 6) AS red_min, round(max(red), 6) AS red_max FROM cover JOIN image USING (row, col) GROUP BY id")
+def _zonal(spark, sf_dir):
+    df, grid, shapes = _image(spark, sf_dir)
+    return rounded(vector.zonal(df, ["red"], shapes, grid), "red_mean", "red_min", "red_max")
+
+
+@query("recode", f"WITH {IMAGE}, {_COVER} SELECT row, col, CASE WHEN (row, col) IN (SELECT (row, col) FROM cover) THEN CASE label WHEN 1 THEN 100 WHEN 2 THEN 1 ELSE label END ELSE label END AS label FROM image")
+def _recode(spark, sf_dir):
+    df, grid, shapes = _image(spark, sf_dir)
+    return vector.recode(df.select("row", "col", "label"), "label", shapes, grid, {1: 100, 2: 1})
+
+
+@query("recode_mode", f"WITH {IMAGE}, {_COVER}, i AS (SELECT DISTINCT row, col FROM cover), m AS (SELECT label FROM image SEMI JOIN i USING (row, col) GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) SELECT row, col, CASE WHEN (row, col) IN (SELECT (row, col) FROM cover) AND label = 3 THEN (SELECT label FROM m) ELSE label END AS label FROM image")
+def _recode_mode(spark, sf_dir):
+    df, grid, shapes = _image(spark, sf_dir)
+    return vector.recode(df.select("row", "col", "label"), "label", shapes, grid, {3: "mode"})
+
+
+@query("clip_bounds", f"WITH {IMAGE} SELECT row - 3 AS row, col - 4 AS col, label FROM image WHERE row BETWEEN 3 AND 10 AND col BETWEEN 4 AND 15")
+def _clipped(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    box = Bounds(grid.left + 5 * 30, grid.top - 10 * 30, grid.left + 15 * 30, grid.top - 4 * 30)
+    return vector.clip(df.select("row", "col", "label"), ["label"], box, grid, expand_by=1)[0]
+
+
+@query("subset_circle", f"WITH {IMAGE} SELECT row - 2 AS row, col - 5 AS col, label FROM image WHERE row BETWEEN 2 AND 11 AND col BETWEEN 5 AND 14 AND (row + 0.5 - 7.0) ** 2 + (col + 0.5 - 10.0) ** 2 <= 25")
+def _circle(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    return vector.subset(df.select("row", "col", "label"), grid, 2, 5, 10, 10, circle=True)[0]
+
+
+@query("polygon_points", "WITH g AS (SELECT (2.3 + (j + 0.5) * 0.5)::DOUBLE AS x, (1.2 + (i + 0.5) * 0.5)::DOUBLE AS y FROM range(15) a(i), range(15) b(j)) SELECT 1::BIGINT AS id, round(600000.0 + x * 30.0, 3) AS x, round(4000000.0 - y * 30.0, 3) AS y FROM g WHERE x < 9.7 AND y < 8.7")
+def _polygon_points(spark, sf_dir):
+    _, _, shapes = _image(spark, sf_dir)
+    return vector.polygon_points(shapes.filter("id = 1"), (15.0, 15.0)).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query("near_points", "WITH p AS (SELECT s_suppkey AS id, (s_suppkey * 7919 % 1009)::DOUBLE AS x, (s_suppkey * 104729 % 997)::DOUBLE AS y FROM supplier) SELECT id, x, y FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.id > p.id AND (p.x - q.x) ** 2 + (p.y - q.y) ** 2 <= 900)")
+def _near(spark, sf_dir):
+    key = F.col("s_suppkey")
+    points = adapters.table(spark, sf_dir, "supplier").select(key.alias("id"), (key * 7919 % 1009).cast("double").alias("x"), (key * 104729 % 997).cast("double").alias("y"))
+    return vector.remove_near_points(points, 30.0).select("id", "x", "y")
+
+
+@query("systematic_sample", f"WITH {IMAGE} SELECT row, col, label FROM image WHERE row % 4 = 0 AND col % 4 = 0")
+def _systematic(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    return sample.systematic_sample(df.select("row", "col", "label"), grid, 130.0)
+
+
+@query("random_sample")
+def _random(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    return sample.with_coordinates(sample.random_sample(df.select("row", "col", "label"), 50), grid)
+
+
+@query("stratified_sample")
+def _stratified(spark, sf_dir):
+    return sample.stratified_sample(adapters.image(spark, sf_dir).select("row", "col", "label"), "label", {"ge,7": 10, "gt,1;le,4": 0.5})
+
+
+_REGIONS = f"""WITH RECURSIVE {IMAGE}, cells AS (SELECT row, col, (red * 4)::INT AS v, row::BIGINT * 2147483648 + col AS id FROM (SELECT row, col, floor(red * 8) / 4 AS red FROM image)),
+edges AS (SELECT a.id AS a, b.id AS b FROM cells a JOIN cells b ON a.v = b.v AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+reach(a, b) AS (SELECT id, id FROM cells UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b)
+SELECT row, col, v AS value, least AS region FROM cells JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) ON a = id"""
+
+
+def _classes(spark, sf_dir):
+    return adapters.image(spark, sf_dir).select("row", "col", F.floor(F.col("red") * 8).cast("int").alias("value"))
+
+
+@query("regions", _REGIONS.replace("(red * 4)::INT AS v", "red::INT AS v").replace("floor(red * 8) / 4 AS red", "floor(red * 8) AS red"))
+def _regions(spark, sf_dir):
+    return vector.regions(_classes(spark, sf_dir), "value")
+
+
+@query("polygonize")
+def _polygonize(spark, sf_dir):
+    df = adapters.image(spark, sf_dir)
+    return vector.polygonize(_classes(spark, sf_dir), "value", adapters.image_grid(df))
+
+
+# --- moving windows ----------------------------------------------------------------------------------------------------------
+
+
+def _near_sql(half: int) -> str:
+    return f"""{IMAGE}, shape AS (SELECT max(row) + 1 AS nr, 25 AS nc FROM image), near AS (
+SELECT i.row, i.col, dr, dc, j.red AS v, j.label AS label, i.label AS own FROM image i, shape, range(-{half}, {half + 1}) a(dr), range(-{half}, {half + 1}) b(dc)
+JOIN image j ON j.row = CASE WHEN i.row + dr < 0 THEN -1 - (i.row + dr) WHEN i.row + dr >= nr THEN 2 * nr - 1 - (i.row + dr) ELSE i.row + dr END AND j.col = CASE WHEN i.col + dc < 0 THEN -1 - (i.col + dc) WHEN i.col + dc >= nc THEN 2 * nc - 1 - (i.col + dc) ELSE i.col + dc END)"""
+
+
+_HOLES = "CASE WHEN label <> 4 THEN v END"
+for _stat_name, _w, _formula in (("mean", 3, f"avg({_HOLES})"), ("mean", 11, f"avg({_HOLES})"), ("std", 5, f"stddev_pop({_HOLES})"), ("var", 3, f"var_pop({_HOLES})"), ("min", 5, f"min({_HOLES})"), ("max", 5, f"max({_HOLES})"), ("perc", 3, f"list_sort(list({_HOLES}) FILTER ({_HOLES} IS NOT NULL))[greatest(floor(count({_HOLES}) * 60 / 100.0)::INT, 1)]"), ("expand", 3, "CASE WHEN any_value(own) <> 0 THEN any_value(own) WHEN count(*) FILTER (label = 1) > 0 THEN 1 ELSE 0 END::DOUBLE")):
+
+    @query(f"focal_{_stat_name}_{_w}", f"WITH {_near_sql(_w // 2)} SELECT row, col, round({_formula}, 6) AS value FROM near GROUP BY row, col")
+    def _focal(spark, sf_dir, stat=_stat_name, w=_w):
+        df = adapters.image(spark, sf_dir)
+        grid = adapters.image_grid(df)
+        band = F.col("label").cast("double") if stat == "expand" else F.when(F.col("label") != 4, F.col("red"))
+        return rounded(focal.moving(df.select("row", "col", band.alias("value")), "value", grid.nrows, grid.ncols, stat, w, perc=60, tile=8), "value")
+
+
+@query("focal_weighted_mean", f"WITH {_near_sql(1)} SELECT row, col, round(sum(v * w) / sum(w), 6) AS value FROM (SELECT *, 1.0 - sqrt(dr * dr + dc * dc) / sqrt(2.0) AS w FROM near) GROUP BY row, col")
+def _weighted(spark, sf_dir):
+    df = adapters.image(spark, sf_dir)
+    grid = adapters.image_grid(df)
+    return rounded(focal.moving(df.select("row", "col", F.col("red").alias("value")), "value", grid.nrows, grid.ncols, "mean", 3, weights=True), "value")
+
+
+@query("slope_aspect", f"WITH {ANGLED}, d AS (SELECT row, col, (coalesce(lead(elev) OVER r, elev) - coalesce(lag(elev) OVER r, elev)) / 60.0 AS dx, (coalesce(lag(elev) OVER c, elev) - coalesce(lead(elev) OVER c, elev)) / 60.0 AS dy FROM angled WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row)) SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) AS slope, CASE WHEN dx = 0 AND dy = 0 THEN NULL ELSE round((degrees(atan2(-dx, -dy)) + 360.0) % 360.0, 6) END AS aspect FROM d")
+def _slope(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    return rounded(focal.slope_aspect(adapters.angled(spark, sf_dir).select("row", "col", "elev"), "elev", grid.nrows, grid.ncols, 30.0, 30.0).select("row", "col", "slope", "aspect"), "slope", "aspect")
+
+
+# --- grids -----------------------------------------------------------------------------------------------------------------
+
+_TARGET = "target AS (SELECT (i // 16)::INT AS row, (i % 16)::INT AS col, (4000000.0 - (3999970.0 - (i // 16 + 0.5) * 40.0)) / 30.0 - 0.5 AS r, (600050.0 + (i % 16 + 0.5) * 40.0 - 600000.0) / 30.0 - 0.5 AS c FROM range(192) t(i))"
+
+
+def _other(grid: GridMeta) -> GridMeta:
+    return GridMeta(600050.0, 3999970.0, 40.0, 40.0, 12, 16, 32621)
+
+
+@query("align_nearest", f"WITH {IMAGE}, {_TARGET} SELECT t.row, t.col, round(i.red, 6) AS red FROM target t JOIN image i ON i.row = floor(r + 0.5) AND i.col = floor(c + 0.5)")
+def _nearest(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    return rounded(align.align(df, grid, _other(grid), ["red"]), "red")
+
+
+@query("align_bilinear", f"WITH {IMAGE}, {_TARGET}, n AS (SELECT t.row, t.col, i.red, (CASE a WHEN 0 THEN 1 - (r - floor(r)) ELSE r - floor(r) END) * (CASE b WHEN 0 THEN 1 - (c - floor(c)) ELSE c - floor(c) END) AS w FROM target t, range(2) x(a), range(2) y(b) JOIN image i ON i.row = floor(r) + a AND i.col = floor(c) + b) SELECT row, col, round(sum(red * w) / sum(w), 6) AS red FROM n WHERE w <> 0 GROUP BY row, col")
+def _bilinear(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    return rounded(align.align(df, grid, _other(grid), ["red"], "bilinear"), "red")
+
+
+_CUBIC = "CASE {k} WHEN -1 THEN ((-0.5 * {t} + 1.0) * {t} - 0.5) * {t} WHEN 0 THEN (1.5 * {t} - 2.5) * {t} * {t} + 1.0 WHEN 1 THEN ((-1.5 * {t} + 2.0) * {t} + 0.5) * {t} ELSE (0.5 * {t} - 0.5) * {t} * {t} END"
+
+
+@query("align_cubic", f"WITH {IMAGE}, {_TARGET}, n AS (SELECT t.row, t.col, i.red, ({_CUBIC.format(k='a', t='(r - floor(r))')}) * ({_CUBIC.format(k='b', t='(c - floor(c))')}) AS w FROM target t, range(-1, 3) x(a), range(-1, 3) y(b) JOIN image i ON i.row = floor(r) + a AND i.col = floor(c) + b) SELECT row, col, round(sum(red * w) / sum(w), 6) AS red FROM n WHERE w <> 0 GROUP BY row, col")
+def _cubic(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    return rounded(align.align(df, grid, _other(grid), ["red"], "cubic"), "red")
+
+
+@query("coarsen", f"WITH {IMAGE} SELECT (row // 4)::INT AS row, (col // 4)::INT AS col, round(avg(red), 6) AS red FROM image GROUP BY ALL")
+def _coarsen(spark, sf_dir):
+    return rounded(align.coarsen(adapters.image(spark, sf_dir), ["red"], 4), "red")
+
+
+@query("chunk_grid", "SELECT (i * 3 + j + 1)::BIGINT AS chunk, 0.0 + j * 160.0 AS left, greatest(-700.0, 0.0 - (i + 1) * 160.0) AS bottom, least(400.0, (j + 1) * 160.0) AS right, 0.0 - i * 160.0 AS top FROM range(5) a(i), range(3) b(j)".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"').replace("0.0 + j", "0.0::DOUBLE + j").replace("greatest(-700.0", "greatest(-700.0::DOUBLE").replace("least(400.0", "least(400.0::DOUBLE").replace("0.0 - i", "0.0::DOUBLE - i"))
+def _chunks(spark, sf_dir):
+    return chunk_grid(spark, GridMeta(0.0, 0.0, 10.0, 10.0, 70, 40, tile=16))
+
+
+@query("web_mercator", "SELECT c_custkey, round((c_custkey % 360 - 180) * pi() / 180 * 6378137.0, 3) AS x, round(ln(tan((c_custkey % 160 - 80) * pi() / 360 + pi() / 4)) * 6378137.0, 3) AS y FROM customer")
+def _mercator(spark, sf_dir):
+    key = F.col("c_custkey")
+    x, y = lonlat_to_xy((key % 360 - 180).cast("double"), (key % 160 - 80).cast("double"), 3857)
+    return adapters.table(spark, sf_dir, "customer").select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+# --- radiometry --------------------------------------------------------------------------------------------------------------
+
+
+@query("dn_to_toar", f"WITH {ANGLED} SELECT row, col, round((red * 20000 * 2e-05 - 0.1) / cos(radians(sza)), 6) AS red FROM angled")
+def _toar(spark, sf_dir):
+    return rounded(adapters.angled(spark, sf_dir).select("row", "col", radiometry.dn_to_toar(F.col("red") * 20000, 2e-05, -0.1, "sza").alias("red")), "red")
+
+
+@query("radiance_toar", f"WITH {ANGLED} SELECT row, col, round(pi() * (red * 100 * 0.5 + 1.0) * 1.01 / (1536.0 * cos(radians(sza))), 6) AS red FROM angled")
+def _radiance(spark, sf_dir):
+    radiance = radiometry.dn_to_radiance(F.col("red") * 100, 0.5, 1.0)
+    return rounded(adapters.angled(spark, sf_dir).select("row", "col", radiometry.radiance_to_toar(radiance, "sza", 1536.0, 1.01).alias("red")), "red")
+
+
+@query("toar_radiance", f"WITH {ANGLED} SELECT row, col, round(red * 1e4 * cos(radians(vza)) * 1512.79 / (pi() * 1.01) * 1e-4, 6) AS red FROM angled")
+def _back(spark, sf_dir):
+    return rounded(adapters.angled(spark, sf_dir).select("row", "col", radiometry.toar_to_radiance("red", "vza", 1512.79, 1.01).alias("red")), "red")
+
+
+@query("relative_azimuth", f"WITH {ANGLED} SELECT row, col, round(CASE WHEN saa - vaa < 0 THEN saa - vaa + 360 ELSE saa - vaa END, 6) AS raa FROM angled")
+def _azimuth(spark, sf_dir):
+    return rounded(adapters.angled(spark, sf_dir).select("row", "col", radiometry.relative_azimuth("saa", "vaa").alias("raa")), "raa")
+
+
+def _srem_sql(bands: list[str]) -> str:
+    waves, out = wavelengths("l7"), []
+    for b in bands:
+        tau = radiometry.rayleigh_depth(waves[b] * 1000)
+        path = f"phase * (1 - exp(-m * {tau!r}::DOUBLE)) / (4 * (cs + cv))"
+        through = lambda c, tau=tau: f"(exp(-{tau!r}::DOUBLE / {c}) * exp(0.52 * {tau!r}::DOUBLE / {c}))"
+        out.append(f"round(least(greatest(({b} - {path}) / (({b} - {path}) * 0.92 * {tau!r}::DOUBLE * exp(-{tau!r}::DOUBLE) + {through('cs')} * {through('cv')}), 0.0), 1.0), 6) AS {b}")
+    return f"""WITH {ANGLED}, t AS (SELECT *, cos(radians(sza)) AS cs, cos(radians(vza)) AS cv, radians((saa - vaa + 720) % 360) AS raa FROM angled),
+u AS (SELECT *, 1 / cs + 1 / cv AS m, (3 * 0.9587256 / (4 + 1 - 0.9587256)) * (1 + pow(least(greatest(-cs * cv - sin(radians(sza)) * sin(radians(vza)) * cos(raa), -1.0), 1.0), 2)) AS phase FROM t)
+SELECT row, col, {', '.join(out)} FROM u"""
+
+
+@query("srem", _srem_sql(["blue", "green", "red"]))
+def _srem(spark, sf_dir):
+    three = ["blue", "green", "red"]
+    return rounded(radiometry.toar_to_sr(adapters.angled(spark, sf_dir), three, "l7").select("row", "col", *three), *three)
+
+
+def _kernel_sql(name: str, v: str, s: str, r: str) -> str:
+    """Columns g{name} and v{name} of Li and Ross kernels, angles in radians."""
+    tv, ts = f"greatest(tan({v}), 0.0)", f"greatest(tan({s}), 0.0)"
+    sec = f"(1 / cos(atan({tv})) + 1 / cos(atan({ts})))"
+    cosx = f"(cos(atan({tv})) * cos(atan({ts})) + sin(atan({tv})) * sin(atan({ts})) * cos({r}))"
+    cost = f"greatest(least(2.0 * sqrt(greatest({tv} * {tv} + {ts} * {ts} - 2 * {tv} * {ts} * cos({r}), 0.0) + pow({tv} * {ts} * sin({r}), 2)) / {sec}, 1.0), -1.0)"
+    li = f"greatest((acos({cost}) - sin(acos({cost})) * {cost}) * {sec} / pi(), 0.0) - {sec} + 0.5 * (1 + {cosx}) / (cos(atan({tv})) * cos(atan({ts})))"
+    xi = f"greatest(least(cos({v}) * cos({s}) + sin({v}) * sin({s}) * cos({r}), 1.0), -1.0)"
+    return f"{li} AS g{name}, ((pi() / 2 - acos({xi})) * {xi} + sin(acos({xi}))) / (cos({v}) + cos({s})) - pi() / 4 AS v{name}"
+
+
+_BRDF = ", ".join(f"round(least(greatest({b}, 0.0), 1.0) * ({BRDF_WEIGHTS[b][0]} + {BRDF_WEIGHTS[b][2]} * v0 + {BRDF_WEIGHTS[b][1]} * g0) / ({BRDF_WEIGHTS[b][0]} + {BRDF_WEIGHTS[b][2]} * v1 + {BRDF_WEIGHTS[b][1]} * g1), 6) AS {b}" for b in ("red", "nir"))
+_LATITUDE = -25.0
+_SZA0 = sum(c * _LATITUDE**k for k, c in enumerate((31.0076, -0.1272, 0.01187, 2.40e-05, -9.48e-07, -1.95e-09, 6.15e-11)))
+
+
+@query("norm_brdf", f"WITH {ANGLED}, k AS (SELECT *, {_kernel_sql('1', 'radians(vza)', 'radians(sza)', 'radians((saa - vaa + 720) % 360)')}, {_kernel_sql('0', 'radians(0.0)', f'radians({_SZA0!r}::DOUBLE)', 'radians(0.0)')} FROM angled) SELECT row, col, {_BRDF} FROM k")
+def _brdf(spark, sf_dir):
+    return rounded(radiometry.norm_brdf(adapters.angled(spark, sf_dir), ["red", "nir"], latitude=_LATITUDE).select("row", "col", "red", "nir"), "red", "nir")
+
+
+_TOPO = f"""WITH {ANGLED}, i AS (SELECT *, cos(radians(sza)) AS cz, cos(radians(slope)) * cos(radians(sza)) + sin(radians(slope)) * sin(radians(sza)) * cos(radians(saa - aspect)) AS il FROM angled),
+f AS (SELECT regr_slope(red, il) AS m, regr_intercept(red, il) AS b FROM i WHERE slope >= 2)"""
+_TOPO_BY = {"empirical-rotation": "least(greatest(red - m * (il - cz), 0.0), 1.0)", "c": "CASE WHEN red * coalesce((cz + b / m) / nullif(il + b / m, 0), 1.0) > 1 THEN red ELSE red * coalesce((cz + b / m) / nullif(il + b / m, 0), 1.0) END", "cos": "red * cz / nullif(il, 0)"}
+for _method, _formula in _TOPO_BY.items():
+
+    @query(f"norm_topo_{_method.split('-')[0]}", f"{_TOPO} SELECT row, col, round(CASE WHEN slope >= 2 THEN coalesce({_formula}, red) ELSE red END, 6) AS red FROM i, f")
+    def _topo(spark, sf_dir, method=_method):
+        return rounded(radiometry.norm_topo(adapters.angled(spark, sf_dir), ["red"], method).select("row", "col", "red"), "red")
+
+
+@query("scene_cube")
+def _scene(spark, sf_dir):
+    df = adapters.angled(spark, sf_dir).withColumn("qa", (F.col("row") * 25 + F.col("col")).cast("int"))
+    bands = ["blue", "green", "red", "nir"]
+    return scene_cube(df, bands, "l7", dict.fromkeys(bands, 1.0), dict.fromkeys(bands, 0.0), -25.0, "qa").select("row", "col", *bands)
+
+
+# --- models, tiles, catalogs ---------------------------------------------------------------------------------------------------
+
+
+@query("classify_forest")
+def _forest(spark, sf_dir):
+    df = adapters.image(spark, sf_dir)
+    est = classify.estimator("random_forest", numTrees=10, maxDepth=5, seed=1)
+    return classify.fit_predict(df.withColumnRenamed("label", "targ"), BANDS, est).select("row", "col", "targ")
+
+
+@query("classify_kmeans")
+def _kmeans(spark, sf_dir):
+    return classify.fit_predict(adapters.image(spark, sf_dir), BANDS, classify.estimator("kmeans", k=4, seed=1)).select("row", "col", "targ")
+
+
+@query("tile_function", f"WITH {_near_sql(1)} SELECT row, col, round(max(v) - min(v), 6) AS spread FROM near GROUP BY row, col")
+def _tile(spark, sf_dir):
+    import numpy as np
+
+    df, grid, _ = _image(spark, sf_dir)
+
+    def spread(cube, _):
+        view = np.lib.stride_tricks.sliding_window_view(cube[0, 0], (3, 3))
+        out = np.full((1, *cube.shape[2:]), np.nan)
+        out[0, 1:-1, 1:-1] = view.max((2, 3)) - view.min((2, 3))
+        return out
+
+    return rounded(tiles.map_tiles(df, ["red"], grid, spread, ["spread"], halo=1, tile=8), "spread")
+
+
+@query("starfm")
+def _starfm(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    return tiles.starfm(df, grid, "red", "green", "blue", window=5, tile=16)
+
+
+_SCENE_SQL = "SELECT o_orderkey AS scene_id, o_orderdate AS time, (o_custkey % 100 * 10)::DOUBLE AS \"left\", (o_custkey % 100 * 10 + 30)::DOUBLE AS \"right\", (o_custkey % 37 * 10)::DOUBLE AS bottom, (o_custkey % 37 * 10 + 30)::DOUBLE AS top, (o_orderkey % 100)::DOUBLE AS cloud_cover FROM orders"
+
+
+def _manifest(spark, sf_dir):
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    return adapters.table(spark, sf_dir, "orders").select(o.alias("scene_id"), F.col("o_orderdate").alias("time"), (c % 100 * 10).cast("double").alias("left"), (c % 100 * 10 + 30).cast("double").alias("right"), (c % 37 * 10).cast("double").alias("bottom"), (c % 37 * 10 + 30).cast("double").alias("top"), (o % 100).cast("double").alias("cloud_cover"))
+
+
+@query("scene_search", f"SELECT scene_id, time, cloud_cover FROM ({_SCENE_SQL}) WHERE \"left\" <= 400 AND \"right\" >= 200 AND bottom <= 200 AND top >= 100 AND time >= '1997-01-01' AND time <= '1999-12-31' AND cloud_cover < 30")
+def _search(spark, sf_dir):
+    found = reader.search(_manifest(spark, sf_dir), None, Bounds(200, 100, 400, 200), "1997-01-01", "1999-12-31", 30)
+    return found.select("scene_id", "time", "cloud_cover")
+
+
+@query("manifest_bounds", f"SELECT min(\"left\") AS \"left\", min(bottom) AS bottom, max(\"right\") AS \"right\", max(top) AS top FROM ({_SCENE_SQL})")
+def _manifest_bounds(spark, sf_dir):
+    return reader.manifest_bounds(_manifest(spark, sf_dir))
+
+
+@query("landsat_urls", "SELECT n_nationkey, 'https://storage.googleapis.com/gcp-public-data-landsat/LC08/01/224/0' || (70 + n_nationkey % 10) || '/' || id || '/' || id || '_B4.TIF' AS url FROM (SELECT n_nationkey, 'LC08_L1TP_2240' || (70 + n_nationkey % 10) || '_20200518_20200518_01_RT' AS id FROM nation)")
+def _urls(spark, sf_dir):
+    key = F.col("n_nationkey")
+    scene = F.concat(F.lit("LC08_L1TP_2240"), (70 + key % 10).cast("string"), F.lit("_20200518_20200518_01_RT"))
+    return adapters.table(spark, sf_dir, "nation").select("n_nationkey", F.get(reader.landsat_urls(scene, [4]), F.lit(0)).alias("url"))
+
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+def entry(spark, sf_dir) -> DataFrame:
+    """NDVI of every pixel, then its mean by class."""
+    return _by_class(spark, sf_dir)
 
 
-def queries():
-    return {}
+def queries() -> dict:
+    return dict(_queries)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracles)
