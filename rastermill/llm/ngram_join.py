@@ -2,9 +2,10 @@
 
 Equal sets are one node.  Small (light) sets enumerate their subsets of every size that a partner may share; large (heavy) sets
 are found by scanning inverted lists of their prefixes, rarest n-grams first by a count sketch of the whole corpus.  The boundary
-is the size with the least estimated cost.  Lists only say which nodes may link; they are folded to stars where they are made, so
-a list never holds more than a run for each map task, and pairs are never listed.  Nodes that may link are then tested exactly,
-side by side, with a bound from bucket counts and union-find in front of each intersection.
+is the size with the least estimated cost.  Lists only say which nodes may link.  Long ones are folded to stars where they are
+made, so a list never holds more than a few entries for each map task; the pairs of short ones (at most PAIRS entries) must pass an
+exact lower bound of the difference, from counts in buckets.  Nodes that may link are then tested exactly, side by side, with the
+same bound and union-find in front of each intersection.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import cut_lineage, partitions, prepare
 from .tokens import text_slices
 
 #: Counters of the sketch (fixed size, whatever the corpus).
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 #: Words whose hashes a Python worker remembers.
 CACHE_WORDS = 400_000
 #: Postings a map task holds before it folds and sends them.
@@ -36,7 +37,10 @@ BROADCAST_ROWS = 500_000
 LIGHT_SIZES = 200
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-POSTING = np.dtype([("sig", "<u8"), ("node", "<i8"), ("low", "<i4"), ("high", "<i4")])
+#: Entries of a list that a map task sends unfolded, and of a whole list whose pairs are tested one by one instead of as a star.
+KEEP, PAIRS = 4, 16
+BUCKETS = 64
+POSTING = np.dtype([("sig", "<u8"), ("node", "<i8"), ("low", "<i4"), ("high", "<i4"), ("many", "<i4")])
 
 
 class _Hashes(dict):
@@ -133,25 +137,65 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) ->
     return best
 
 
-def fold(postings: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a posting for each run of a list, links to the runs' first nodes).
+def bucket_counts(grams: np.ndarray) -> bytes:
+    """n-grams by bucket; the sum of differences of two such arrays is at most what the sets differ by."""
+    return np.minimum(np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
-    A list's entries are ordered by size; a run ends where the next is too large for any before it, for no pair across can link.
+
+def most_apart(both, percent: int):
+    """The most by which two linked sets may differ; both: the sum of their sizes."""
+    return both - 2 * (-(-percent * both // (100 + percent)))
+
+
+def runs_of(postings: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct postings by list and size, where runs begin).
+
+    A run ends where the next entry is too large for any before it, for no pair across can link.
     """
     p = np.sort(postings, order=("sig", "low", "node"))
     if not len(p):
-        return p, np.zeros((0, 2), np.int64)
+        return p, np.zeros(0, np.int64)
+    p = p[np.r_[True, (p["sig"][1:] != p["sig"][:-1]) | (p["node"][1:] != p["node"][:-1]) | (p["low"][1:] != p["low"][:-1]) | (p["many"][1:] > 1) | (p["many"][:-1] > 1)]]
     new = np.r_[True, p["sig"][1:] != p["sig"][:-1]]
-    number = np.cumsum(new)
-    top = np.maximum.accumulate(p["high"] + number.astype(np.int64) * (1 << 32)) - number.astype(np.int64) * (1 << 32)
-    begins = new | np.r_[True, percent * p["low"][1:].astype(np.int64) > 100 * top[:-1]]
-    at = np.flatnonzero(begins)
-    run = np.cumsum(begins) - 1
-    runs = p[at].copy()
-    runs["high"] = np.maximum.reduceat(p["high"], at)
-    links = np.stack([p["node"], p["node"][at][run]], 1)
-    links = links[links[:, 0] != links[:, 1]]
-    return runs, np.unique(np.sort(links, 1), axis=0)
+    number = np.cumsum(new).astype(np.int64) << 32
+    top = np.maximum.accumulate(p["high"] + number) - number
+    return p, np.flatnonzero(new | np.r_[True, percent * p["low"][1:].astype(np.int64) > 100 * top[:-1]])
+
+
+def star(p: np.ndarray, begins: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Links of the chosen runs' entries to their first."""
+    run = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(p)]))
+    links = np.stack([p["node"], p["node"][begins][run]], 1)[chosen[run]]
+    return np.unique(np.sort(links[links[:, 0] != links[:, 1]], 1), axis=0)
+
+
+def fold(postings: np.ndarray, percent: int, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray]:
+    """(postings to send, links): a run of more than keep entries becomes one posting and a star."""
+    p, begins = runs_of(postings, percent)
+    if not len(p):
+        return p, np.zeros((0, 2), np.int64)
+    size = np.diff(np.r_[begins, len(p)])
+    many = size > keep
+    folded = p[begins][many]
+    folded["high"], folded["many"] = np.maximum.reduceat(p["high"], begins)[many], np.add.reduceat(p["many"], begins)[many]
+    return np.concatenate([p[~np.repeat(many, size)], folded]), star(p, begins, many)
+
+
+def scan_lists(postings: np.ndarray, percent: int, most: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, links) of whole lists: all pairs of possible sizes in a short run, a star over a long one."""
+    p, begins = runs_of(postings, percent)
+    if not len(p):
+        return (np.zeros((0, 2), np.int64),) * 2
+    size = np.diff(np.r_[begins, len(p)])
+    long = (np.maximum.reduceat(p["many"], begins) > 1) | (size > most)
+    run, short, pairs = np.repeat(np.arange(len(begins)), size), ~np.repeat(long, size), []
+    for d in range(1, min(most, len(p))):
+        near = (run[d:] == run[:-d]) & short[d:] & (percent * p["low"][d:].astype(np.int64) <= 100 * p["low"][:-d].astype(np.int64))
+        if not near.any():
+            break
+        pairs.append(np.stack([p["node"][:-d][near], p["node"][d:][near]], 1))
+    found = np.sort(np.concatenate(pairs), 1) if pairs else np.zeros((0, 2), np.int64)
+    return np.unique(found[found[:, 0] != found[:, 1]], axis=0), star(p, begins, long)
 
 
 def sets_and_sketch(docs: DataFrame, n: int) -> DataFrame:
@@ -161,16 +205,16 @@ def sets_and_sketch(docs: DataFrame, n: int) -> DataFrame:
         import pyarrow as pa
 
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "size", "node", "counts"]
+        names = ["doc_id", "size", "node", "buckets", "counts"]
         for batch in batches:
             for keys, texts in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sets = gram_sets(texts, n)
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(bucket_counts, sets), pa.binary()), pa.nulls(len(sets), pa.binary())], names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(np.minimum(counts, (1 << 16) - 1).astype("<u2").tobytes(), 1)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(np.minimum(counts, (1 << 16) - 1).astype("<u2").tobytes(), 1)], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, size long, node long, counts binary")
+    return docs.mapInArrow(run, "doc_id long, size long, node long, buckets binary, counts binary")
 
 
 def merged_sketch(rows: DataFrame) -> np.ndarray:
@@ -196,7 +240,7 @@ def merged_sketch(rows: DataFrame) -> np.ndarray:
 
 
 def candidate_links(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b): stars over the nodes that share a subset or a prefix entry, a < b."""
+    """(a, b, star): nodes that share a subset or a prefix entry, a < b: pairs of short lists, stars over long ones."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     held = spark.sparkContext.broadcast(plan)
@@ -221,7 +265,7 @@ def candidate_links(docs: DataFrame, plan: Plan) -> DataFrame:
                     sigs = plan.signatures(grams)
                     if len(sigs):
                         p = np.empty(len(sigs), POSTING)
-                        p["sig"], p["node"], p["low"], p["high"] = sigs, node_of(grams), len(grams), len(grams)
+                        p["sig"], p["node"], p["low"], p["high"], p["many"] = sigs, node_of(grams), len(grams), len(grams), 1
                         parts.append(p)
                         n += len(p)
                 if n > FLUSH:
@@ -239,13 +283,30 @@ def candidate_links(docs: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             parts += [np.frombuffer(x, POSTING) for x in batch.column(1).to_pylist()]
             links += [np.frombuffer(x, "<i8").reshape(-1, 2) for x in batch.column(2).to_pylist()]
-        _, found = fold(np.concatenate(parts), plan_percent)
-        both = np.unique(np.concatenate([found, *links]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        pairs, found = scan_lists(np.concatenate(parts), plan_percent)
+        for kind, rows in ((False, pairs), (True, np.unique(np.concatenate([found, *links]), axis=0))):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.full(len(rows), kind))], ["a", "b", "star"])
 
     plan_percent = plan.percent
     sent = docs.select("text").mapInArrow(post, "bucket int, postings binary, links binary")
-    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(scan, "a long, b long").distinct()
+    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(scan, "a long, b long, star boolean").distinct()
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose bucket counts differ by no more than linked sets may; nodes: node, size, buckets."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for i in (3, 5))
+            both = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            near = np.abs(x - y).sum(1) <= most_apart(both, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], ["a", "b"])
+
+    one = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("buckets").alias("buckets_a"))
+    two = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("buckets").alias("buckets_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "buckets_a", "size_b", "buckets_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,7 +330,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Label (index of the first member) of each set's component under the exact condition; sets: sorted distinct hashes."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(s) for s in sets], np.int64)[order]
-    counts = np.stack([np.minimum(np.bincount((sets[i] >> np.uint64(57)).astype(np.int64), minlength=128), 255) for i in order]).astype(np.int16)
+    counts = np.frombuffer(b"".join(bucket_counts(sets[i]) for i in order), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
     label = np.arange(len(sets))
     last = np.searchsorted(size, 100 * size // percent, "right")
     for i in range(len(sets)):
@@ -277,9 +338,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         js = js[label[js] != label[i]]
         if not len(js):
             continue
-        both = size[i] + size[js]
-        apart = both - 2 * (-(-percent * both // (100 + percent)))  # the most by which linked sets may differ
-        js = js[np.abs(counts[js] - counts[i]).sum(1) <= apart]
+        js = js[np.abs(counts[js] - counts[i]).sum(1) <= most_apart(size[i] + size[js], percent)]
         for j in js.tolist():
             if label[j] != label[i]:
                 shared = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
@@ -293,7 +352,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 def verified(docs: DataFrame, nodes: DataFrame, heads: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, label): exact components among the candidates.  nodes: node, size, first (a document's id); heads: node, head."""
     spark = docs.sparkSession
-    members = cut_lineage(heads.join(nodes, "node"))
+    members = cut_lineage(heads.join(nodes.select("node", "size", "first"), "node"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("size") / BLOCK_GRAMS)).cast("int")
     sized = members.groupBy("head").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("head", "blocks")
     dealt = cut_lineage(members.join(sized, "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
@@ -332,7 +391,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     prepare(spark)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = cut_lineage(sets_and_sketch(kept, n))
-    rows = made.filter("counts is null").select("doc_id", "size", "node")
+    rows = made.filter("counts is null").select("doc_id", "size", "node", "buckets")
     counts = merged_sketch(made)
     sizes = {r[0]: r[1] for r in rows.filter(F.col("size").between(1, LIGHT_SIZES)).groupBy("size").count().collect()}  # at most LIGHT_SIZES rows
     total = max(1, int(counts.sum()))
@@ -340,8 +399,9 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     rank = np.searchsorted(levels := np.unique(counts), counts)
     rank = (rank * 65535 // max(1, len(levels) - 1)).astype(np.uint16)
     plan = Plan(n, percent, boundary_by_cost(sizes, typical, percent), rank)
-    nodes = cut_lineage(rows.filter("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.min("doc_id").alias("first")))
-    links = candidate_links(kept, plan)
+    nodes = cut_lineage(rows.filter("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("buckets").alias("buckets"), F.min("doc_id").alias("first")))
+    found = cut_lineage(candidate_links(kept, plan))
+    links = found.filter("star").select("a", "b").unionAll(possible(found.filter("not star").select("a", "b"), nodes, percent))
     labels = verified(kept, nodes, components(links), n, percent)
     named = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))

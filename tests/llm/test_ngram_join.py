@@ -56,6 +56,9 @@ def corpus(seed):
 @pytest.mark.parametrize("n,percent,block", [(3, 90, 1500), (5, 80, 7)])
 def test_components_by_all_pairs(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK_NODES", block)
+    if block < 100:  # all lists as stars
+        monkeypatch.setattr(ngram_join.fold, "__defaults__", (0,))
+        monkeypatch.setattr(ngram_join.scan_lists, "__defaults__", (1,))
     if block < 100:
         monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     rows = corpus(n)
@@ -81,13 +84,14 @@ def test_light_subsets_and_boundary():
     assert ngram_join.boundary_by_cost(sizes, 1.0, 90) < ngram_join.boundary_by_cost(sizes, 50.0, 90)
 
 
-def test_folded_lists_keep_every_possible_link():
+@pytest.mark.parametrize("keep,most", [(4, 16), (0, 1), (2, 400)])
+def test_lists_keep_every_possible_link(keep, most):
     rng = np.random.default_rng(4)
     p = np.zeros(400, ngram_join.POSTING)
-    p["sig"], p["node"] = rng.integers(0, 20, 400), np.arange(400)
+    p["sig"], p["node"], p["many"] = rng.integers(0, 20, 400), np.arange(400), 1
     p["low"] = p["high"] = rng.integers(5, 400, 400)
-    halves = [ngram_join.fold(x, 80) for x in (p[:150], p[150:])]
-    _, last = ngram_join.fold(np.concatenate([h[0] for h in halves]), 80)
+    halves = [ngram_join.fold(x, 80, keep) for x in (p[:150], p[150:])]
+    pairs, last = ngram_join.scan_lists(np.concatenate([h[0] for h in halves]), 80, most)
     head = list(range(400))
 
     def find(i):
@@ -97,8 +101,9 @@ def test_folded_lists_keep_every_possible_link():
 
     for a, b in np.concatenate([last, *(h[1] for h in halves)]).tolist():
         head[find(a)] = find(b)
+    direct = set(map(tuple, pairs.tolist()))
     for i in range(400):
         for j in range(i):
             a, b = sorted((int(p["low"][i]), int(p["low"][j])))
             if p["sig"][i] == p["sig"][j] and 100 * a >= 80 * b:
-                assert find(i) == find(j)
+                assert (j, i) in direct or find(i) == find(j)
