@@ -19,13 +19,15 @@ WINDOW = 8
 WHITE = b" \t\n\x0b\x0c\r"
 #: The symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
+#: All symbols as one, all white space as one.
+PLAIN = bytes.maketrans(SYMBOLS + WHITE, b"#" * len(SYMBOLS) + b" " * len(WHITE))
 UPPER, DIGITS, HIGH = bytes(range(65, 91)), bytes(range(48, 58)), bytes(range(128, 256))
 LETTERS = UPPER + bytes(range(97, 123))
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_closed_lines", "n_upper", "n_digits", "n_letters", "n_distinct")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_closed_lines", "n_upper", "n_digits", "n_letters", "n_distinct", "n_symbol_ends")
 
 #: name, ratio (SQL), votes bad outside these limits, votes good inside these, else abstains.
 RULES = (
-    ("length", "n_words", (30, math.inf), (60, math.inf)),
+    ("length", "n_words", (-1, math.inf), (60, math.inf)),
     ("word_length", "word_chars / n_words", (2.0, 14.0), (2.8, 10.0)),
     ("symbols", "n_symbols / n_words", (-1, 0.25), (-1, 0.03)),
     ("duplicate_lines", "n_dup_lines / n_lines", (-1, 0.3), (-1, 0.05)),
@@ -33,7 +35,8 @@ RULES = (
     ("closed_lines", "n_closed_lines / n_lines", (0.2, 2), (0.6, 2)),
     ("capitals", "n_upper / n_letters", (-1, 0.4), (-1, 0.15)),
     ("digits", "n_digits / word_chars", (-1, 0.3), (-1, 0.08)),
-    ("letters", "n_letters / word_chars", (0.5, 9), (0.75, 9)),
+    ("letters", "n_letters / word_chars", (0.8, 9), (0.92, 9)),
+    ("marked_words", "n_symbol_ends / n_words", (-1, 0.2), (-1, 0.03)),
     ("vocabulary", "n_distinct / n_words", (0.1, 2), (0.25, 2)),
 )
 
@@ -78,7 +81,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     closed = sum(x.rstrip()[-1:] in (b".", b"!", b"?", b":", b'"') for x in lines)
                     without = lambda drop, b=b: len(b) - len(b.translate(None, drop))
                     letters = without(LETTERS) + len(text) - len(b.translate(None, HIGH))  # beyond ASCII all count as letters
-                    rows.append((len(w), len(text) - without(WHITE), without(SYMBOLS), len(lines) - len(set(lines)), 0, len(lines), closed, without(UPPER), without(DIGITS), letters, len(set(w))))
+                    rows.append((len(w), len(text) - without(WHITE), without(SYMBOLS), len(lines) - len(set(lines)), 0, len(lines), closed, without(UPPER), without(DIGITS), letters, len(set(w)), (b + b" ").translate(PLAIN).count(b"# ")))
                     words += w
                     counts.append(len(w))
                 doc = np.repeat(np.arange(len(texts)), counts)
@@ -100,35 +103,39 @@ def votes(rules=RULES):
     return code.cast("long")
 
 
-def estimate(patterns: dict[int, int], n_rules: int, rounds: int = 200, smooth: float = 2.0) -> tuple[float, list[float]]:
-    """(prior of good, accuracy of each rule) by EM over pattern counts; a rule is right with one accuracy, whatever it votes.
+def estimate(patterns: dict[int, int], n_rules: int, rounds: int = 200, smooth: float = 2.0) -> tuple[float, list[tuple[float, float]]]:
+    """(prior of good, per rule how often it is right on bad and on good documents when it votes) by EM over pattern counts.
 
-    Starts from the majority of votes; accuracies are smoothed towards 0.7 and stay above one half, so the classes can't swap.
+    The two accuracies tell a rule that nearly always votes good from one whose rare bad votes mean something.  Starts from a
+    belief that halves with every bad vote; accuracies are smoothed, and a bad vote never speaks for good.
     """
     codes, counts = np.array(list(patterns), np.int64), np.array(list(patterns.values()), float)
     vote = np.stack([codes // 3 ** (n_rules - 1 - j) % 3 for j in range(n_rules)], 1) if len(codes) else np.zeros((0, n_rules), np.int64)
     good, bad = (vote == 2).astype(float), (vote == 1).astype(float)
-    belief = (good.sum(1) + 1) / (good.sum(1) + bad.sum(1) + 2)
-    prior, accuracy = 0.5, np.full(n_rules, 0.7)
+    belief = 0.9 * 0.4 ** bad.sum(1)
+    prior, rates = 0.5, np.full((2, n_rules), 0.7)
     for _ in range(rounds):
-        q = belief * counts
+        q, r = belief * counts, (1 - belief) * counts
         prior = (q.sum() + smooth) / (counts.sum() + 2 * smooth)
-        right = good.T @ q + bad.T @ (counts - q)
-        accuracy, before = np.clip((right + 0.7 * smooth) / ((good + bad).T @ counts + smooth), 0.51, 0.99), accuracy
-        weight = np.log(accuracy / (1 - accuracy))
-        belief = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + (good - bad) @ weight)))
-        if np.abs(accuracy - before).max() < 1e-9:
+        before = rates
+        on_good = (good.T @ q + 0.9 * smooth) / ((good + bad).T @ q + smooth)
+        on_bad = (bad.T @ r + 0.5 * smooth) / ((good + bad).T @ r + smooth)
+        on_good = np.clip(on_good, 0.001, 0.999)
+        rates = np.stack([np.clip(np.maximum(on_bad, 1 - on_good), 0.001, 0.999), on_good])
+        weight_good, weight_bad = np.log(rates[1] / (1 - rates[0])), np.log((1 - rates[1]) / rates[0])
+        belief = 1 / (1 + np.exp(-np.clip(math.log(prior / (1 - prior)) + good @ weight_good + bad @ weight_bad, -50, 50)))
+        if np.abs(rates - before).max() < 1e-9:
             break
-    return float(prior), [float(a) for a in accuracy]
+    return float(prior), [(float(a), float(b)) for a, b in rates.T]
 
 
-def posterior(pattern, prior: float, accuracy: list[float]):
+def posterior(pattern, prior: float, accuracy: list[tuple[float, float]]):
     """Posterior probability of good as a column of the pattern."""
     n = len(accuracy)
     score = F.lit(math.log(prior / (1 - prior)))
-    for j, a in enumerate(accuracy):
-        w = math.log(a / (1 - a))
-        score = score + F.get(F.lit([0.0, -w, w]), F.pmod(F.floor(pattern / F.lit(3 ** (n - 1 - j))), F.lit(3)).cast("int"))
+    for j, (on_bad, on_good) in enumerate(accuracy):
+        weights = [0.0, math.log((1 - on_good) / on_bad), math.log(on_good / (1 - on_bad))]
+        score = score + F.get(F.lit(weights), F.pmod(F.floor(pattern / F.lit(3 ** (n - 1 - j))), F.lit(3)).cast("int"))
     return 1 / (1 + F.exp(-score))
 
 

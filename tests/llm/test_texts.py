@@ -143,12 +143,13 @@ def test_op6_contract(spark, tmp_path):
 
 def test_em_finds_accuracies():
     rng = np.random.default_rng(3)
-    truth, true = rng.random(40_000) < 0.7, np.array([0.95, 0.8, 0.65, 0.9])
-    vote = np.where(rng.random((len(truth), 4)) < true, truth[:, None], ~truth[:, None]) + 1
+    truth, right = rng.random(40_000) < 0.7, np.array([[0.6, 0.99], [0.8, 0.8], [0.5, 0.9], [0.9, 0.95], [0.02, 0.99]])
+    hit = rng.random((len(truth), 5)) < right[:, truth.astype(int)].T
+    vote = np.where(hit == truth[:, None], 2, 1)
     vote[rng.random(vote.shape) < 0.3] = 0
-    codes, counts = np.unique(vote @ 3 ** np.arange(3, -1, -1), return_counts=True)
-    prior, accuracy = quality.estimate(dict(zip(codes.tolist(), counts.tolist(), strict=True)), 4)
-    assert abs(prior - 0.7) < 0.02 and np.allclose(accuracy, true, atol=0.03)
+    codes, counts = np.unique(vote @ 3 ** np.arange(4, -1, -1), return_counts=True)
+    prior, rates = quality.estimate(dict(zip(codes.tolist(), counts.tolist(), strict=True)), 5)
+    assert abs(prior - 0.7) < 0.05 and np.allclose(rates, right, atol=0.06)
 
 
 PAGES = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, "u\r\nX: y", "öther\r\n\r\n" * 300), (4, None, None), (5, "http://e", ""), (6, "http://a/1", "same"), (6, "http://a/1", "same"), (None, "http://n", "same"), (7, "big", "x" * 700_000)]
