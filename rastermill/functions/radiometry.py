@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sensors import BRDF_WEIGHTS, MEAN_SZA, wavelengths
@@ -155,6 +155,13 @@ def illumination(slope, aspect, sza, saa) -> Column:
     return _cos(slope) * _cos(sza) + F.coalesce(_sin(slope) * _sin(sza) * F.cos(F.radians(col(saa) - col(aspect))), F.lit(0.0))
 
 
+def theil_sen(df: DataFrame, x: str, y: str, pairs: int = 20_000, seed: int = 1) -> DataFrame:
+    """One row m, b: median slope over pairs of rows, and median residual.  Rows meet by rank of two hashes, pairs at most."""
+    ranked = [df.filter(all_present(x, y)).select(F.col(x).alias(f"x{k}"), F.col(y).alias(f"y{k}")).orderBy(F.xxhash64(F.lit(seed + k), f"x{k}", f"y{k}")).limit(pairs).withColumn("at", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + k), f"x{k}", f"y{k}")))) for k in (0, 1)]
+    slopes = ranked[0].join(ranked[1], "at").filter("x0 <> x1").agg(F.median((F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))).alias("m"))
+    return ranked[0].crossJoin(F.broadcast(slopes)).groupBy("m").agg(F.median(F.col("y0") - F.col("m") * F.col("x0")).alias("b"))
+
+
 def norm_topo(df: DataFrame, bands: list[str], method: str = "empirical-rotation", slope="slope", aspect="aspect", sza="sza", saa="saa", slope_thresh: float = 2, min_samples: int = 100, keys: tuple[str, ...] = ()) -> DataFrame:
     """empirical-rotation, c or cos.  The regressions of all bands are one aggregate (per keys, such as time), joined back as one small table."""
     held = df.withColumns({"__il": illumination(slope, aspect, sza, saa), "__cz": _cos(sza)})

@@ -34,6 +34,11 @@ def with_labels(pixels: DataFrame, shapes: DataFrame, grid: GridMeta, column: st
     return pixels.join(burnt, ["row", "col"], "left")
 
 
+def add_categorical(pixels: DataFrame, shapes: DataFrame, grid: GridMeta, column: str = "value", name: str = "cat1") -> DataFrame:
+    """A polygon attribute as one more band."""
+    return with_labels(pixels.drop("targ"), shapes, grid, column).withColumnRenamed("targ", name)
+
+
 def fit(pixels: DataFrame, bands: list[str], est: Estimator, label: str | None = "targ") -> PipelineModel:
     """Labels of any type are numbered from 0 inside (StringIndexer, alphabetic) and from 1 in predictions."""
     stages = [VectorAssembler(inputCols=bands, outputCol="features", handleInvalid="skip")]

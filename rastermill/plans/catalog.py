@@ -258,6 +258,13 @@ def _merge(spark, sf_dir):
     return rounded(combine.merge_duplicates([df.filter("band = 1").drop("band"), df.filter("band = 2").drop("band")], ["value"], True), "value")
 
 
+@query("load_series", f"WITH {NUMBERS} SELECT date_trunc('day', time)::TIMESTAMP AS time, row, col, round(max(least(greatest(CASE WHEN least(greatest(value, 0.0), 49.0) = 49 THEN 0.0 ELSE least(greatest(value, 0.0), 49.0) END * (1.0 / 40), 0.0), 1.0)), 6) AS value FROM numbers WHERE band < 3 GROUP BY ALL")
+def _load(spark, sf_dir):
+    df = adapters.numbers(spark, sf_dir)
+    parts = [df.filter(F.col("band") == b).drop("band") for b in (1, 2)]
+    return rounded(reader.load_series(parts, ["value"], (0, 40), (0, 1), 49), "value")
+
+
 @query("drop_empty_times", f"WITH {NUMBERS}, m AS (SELECT time, band, row, col, CASE WHEN value > 49 THEN value END AS value FROM numbers) SELECT time, count(*) AS n FROM m WHERE time IN (SELECT time FROM m WHERE value IS NOT NULL) GROUP BY time")
 def _empty(spark, sf_dir):
     kept = index.compare(adapters.numbers(spark, sf_dir), ["value"], "gt", 49)

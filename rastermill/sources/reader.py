@@ -202,3 +202,54 @@ def landsat_urls(scene_id, bands: list[int], base: str = "https://storage.google
     parts = F.split(scene_id, "_")
     folder = F.concat_ws("/", F.lit(base), F.get(parts, F.lit(0)), F.lit("01"), F.substring(F.get(parts, F.lit(2)), 1, 3), F.substring(F.get(parts, F.lit(2)), 4, 3), scene_id)
     return F.array(*[F.concat(folder, F.lit("/"), scene_id, F.lit(f"_B{n}.TIF")) for n in bands], F.concat(folder, F.lit("/"), scene_id, F.lit("_MTL.txt")))
+
+
+def sentinel2_urls(safe_id, granule, bands: list[str], base: str = "https://storage.googleapis.com/gcp-public-data-sentinel-2"):
+    """Array column of band addresses of a product such as S2A_MSIL1C_20180109T135101_N0206_R024_T21HVB_20180109T171608 and its
+    granule folder, then the metadata's address."""
+    parts = F.split(safe_id, "_")
+    tile, date = F.get(parts, F.lit(5)), F.get(parts, F.lit(2))
+    zone = F.concat_ws("/", F.substring(tile, 2, 2), F.substring(tile, 4, 1), F.substring(tile, 5, 2))
+    folder = F.concat_ws("/", F.lit(base), F.lit("tiles"), zone, F.concat(safe_id, F.lit(".SAFE")), F.lit("GRANULE"), granule)
+    images = [F.concat(folder, F.lit("/IMG_DATA/"), tile, F.lit("_"), date, F.lit(f"_B{b}.jp2")) for b in bands]
+    return F.array(*images, F.concat(folder, F.lit("/MTD_TL.xml")))
+
+
+def load_series(frames: list[DataFrame], bands: list[str], in_range: tuple[float, float], out_range: tuple[float, float], nodata: float = 65535) -> DataFrame:
+    """Pixels of many files (time, row, col, bands): cut to [0, max(in_max, nodata)], nodata as 0, scaled by out_max / in_max,
+    cut to out_range; images of one day give their maximum."""
+    from functools import reduce
+
+    from ..functions.expr import clip
+
+    def one(b):
+        v = clip(F.coalesce(clean(b), F.lit(0.0)), 0, max(in_range[1], nodata))
+        return clip(F.when(v == nodata, 0.0).otherwise(v) * (out_range[1] / in_range[1]), *out_range)
+
+    united = reduce(DataFrame.unionByName, [d.select("time", "row", "col", *[one(b).alias(b) for b in bands]) for d in frames])
+    return united.groupBy(F.to_timestamp(F.to_date("time")).alias("time"), "row", "col").agg(*[F.max(b).alias(b) for b in bands])
+
+
+def footprints(spark: SparkSession, grids: list[GridMeta]) -> DataFrame:
+    """A row for each image: source, crs, left, bottom, right, top."""
+    rows = [("|".join(g.sources), g.crs, g.bounds.left, g.bounds.bottom, g.bounds.right, g.bounds.top) for g in grids]
+    return spark.createDataFrame(rows, "source string, crs int, left double, bottom double, right double, top double")
+
+
+def write_vector(shapes: DataFrame, path: str, geometry: str = "wkt", mode: str = "errorifexists") -> None:
+    """Polygons as parquet, or as GeoJSON features (a line each) where the path ends in .geojson."""
+    if extension(path) != ".geojson":
+        shapes.write.mode(mode).parquet(path)
+        return
+    rings = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(geometry, r"^POLYGON \(", "["), r"\)$", "]"), r"(-?[0-9.e+]+) (-?[0-9.e+]+)", r"[$1, $2]"), r"\((\[)", "[$1")
+    rings = F.regexp_replace(rings, r"\]\)", "]]")
+    others = F.to_json(F.struct(*[c for c in shapes.columns if c != geometry]))
+    shapes.select(F.concat(F.lit('{"type": "Feature", "properties": '), others, F.lit(', "geometry": {"type": "Polygon", "coordinates": '), rings, F.lit("}}")).alias("value")).write.mode(mode).text(path)
+
+
+def composite_catalog(manifest: DataFrame, read, bands: list[str], collection: str, qa: str, freq: str, how: str = "median", **where) -> DataFrame:
+    """Scenes found in a manifest, read (a function of the found manifest to pixels), scaled, masked and composited by period."""
+    from ..operators.temporal import composite
+
+    scenes = search(manifest, collection, **where)
+    return composite(scale_collection(read(scenes), bands, collection, qa), freq, how, bands)

@@ -229,3 +229,32 @@ def test_metadata_files(spark, tmp_path):
     assert angles["crs"] == 32635 and angles["shape_10"] == (10980, 10980) and angles["saa"].mean() == 150 and angles["corner"] == (300000, 4400040)
     with pytest.raises(ValueError):
         reader.sentinel_angles(xml.replace("psd-14", "psd-99"))
+
+
+def test_product_addresses(spark):
+    row = spark.range(1).select(reader.sentinel2_urls(F.lit("S2A_MSIL1C_20180109T135101_N0206_R024_T21HVB_20180109T171608"), F.lit("L1C_T21HVB_A013323_20180109T135101"), ["02", "8A"]).alias("u")).first().u
+    assert row[0].endswith("tiles/21/H/VB/S2A_MSIL1C_20180109T135101_N0206_R024_T21HVB_20180109T171608.SAFE/GRANULE/L1C_T21HVB_A013323_20180109T135101/IMG_DATA/T21HVB_20180109T135101_B02.jp2") and len(row) == 3
+
+
+def test_vectors_as_geojson(spark, tmp_path):
+    import json
+
+    f = RasterFrame.from_numpy(spark, np.array([[[1, 1, 1], [1, 0, 1], [1, 1, 1]]], float), GridMeta(0, 3, 1, 1, 3, 3), ["v"])
+    reader.write_vector(f.to_polygons("v"), f"{tmp_path}/out.geojson")
+    rows = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out.geojson").collect()]
+    assert sorted(len(r["geometry"]["coordinates"]) for r in rows) == [1, 2] and all(len(p) == 2 for r in rows for ring in r["geometry"]["coordinates"] for p in ring)
+
+
+def test_robust_line(spark):
+    from rastermill.functions.radiometry import theil_sen
+
+    rows = [(float(i), 2.0 * i + 1 + (500.0 if i % 5 == 0 else 0.0)) for i in range(300)]
+    got = theil_sen(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+    assert abs(got.m - 2) < 0.2 and abs(got.b) < 60
+
+
+def test_catalog_composite(spark):
+    manifest = spark.createDataFrame([("a", "hls_l30", "2022-01-01", 5.0), ("b", "hls_l30", "2022-01-20", 90.0), ("c", "other", "2022-01-05", 1.0)], "scene_id string, collection string, t string, cloud_cover double").withColumn("time", F.col("t").cast("timestamp"))
+    read = lambda scenes: scenes.select("time", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(5000.0).alias("red"), F.lit(0).alias("qa"))
+    got = reader.composite_catalog(manifest, read, ["red"], "hls_l30", "qa", "MS", max_cloud=50).collect()
+    assert [(str(r.time)[:10], r.red) for r in got] == [("2022-01-01", 0.5)]
