@@ -70,11 +70,13 @@ def range_bucket(key: str, bounds: list):
     if not bounds:
         return F.lit(0)
     array, low = F.lit(bounds), F.lit(0)
-    for bit in reversed(range(len(bounds).bit_length())):
 
-        def step(at, size=1 << bit):
-            up = at + F.lit(size)
-            return F.when((up <= F.lit(len(bounds))) & (F.get(array, up - F.lit(1)) <= F.col(key)), up).otherwise(at)
+    def step(size: int):
+        def up(at):
+            return F.when((at + size <= F.lit(len(bounds))) & (F.get(array, at + (size - 1)) <= F.col(key)), at + size).otherwise(at)
+
+        return up
 
-        low = F.get(F.transform(F.array(low), step), F.lit(0))  # each step's operand is computed once
+    for bit in reversed(range(len(bounds).bit_length())):
+        low = F.get(F.transform(F.array(low), step(1 << bit)), F.lit(0))  # each step's operand is computed once
     return F.coalesce(low, F.lit(0)).cast("int")
