@@ -10,10 +10,17 @@ import itertools
 import struct
 from collections.abc import Iterable, Iterator
 
-#: Chunks kept by one Python worker (about 250 bytes each); then the cache starts anew.
-CACHE_CHUNKS = 600_000
+import numpy as np
+
+#: Chunks kept by one Python worker (about 250 bytes each), in two generations.
+CACHE_CHUNKS = 800_000
 #: Code points handled together.
 SLICE_CHARS = 1_000_000
+#: New words encoded as one text.
+JOINED = 256
+
+#: ASCII punctuation but for the apostrophe, which begins contractions.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _encoders: dict = {}
 
@@ -29,7 +36,10 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced, self.cache = spaced, {}
+        self.spaced, self.cache, self.old = spaced, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.marked = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin (spaced) or end a word
+        self.marked[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if spaced else t.endswith("</w>"))]] = True
 
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -41,28 +51,64 @@ class ChunkEncoder:
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
         parts = text.replace("\n", " \n").split(" ")
-        parts[0] = "\0" + parts[0]  # the head has no space before it
+        parts[0] = " " + parts[0]  # the head has no space before it; no other chunk holds a space
         return parts
 
+    def _split(self, key: str) -> tuple[str, str] | None:
+        """A chunk's word and the ASCII punctuation behind it (none of it an apostrophe), which a tokenizer without spaces always
+        parts; an ASCII word in lower case."""
+        word = key.rstrip(PUNCTUATION)
+        if not word or not (word[-1] < "\u0100" and word[-1].isalnum()):
+            return None
+        tail, word = key[len(word) :], word.lower() if word.isascii() else word
+        return (word, tail) if word != key else None
+
     def _learn(self, missing: list[str]) -> None:
+        if self.spaced:
+            self._encode_keys(missing)
+            return
+        parts = {x: p for x in missing if (p := self._split(x))}
+        wanted = {w for p in parts.values() for w in p}.union(x for x in missing if x not in parts).difference(self.cache)
+        self._encode_keys(list(wanted))
+        self.cache.update({key: self.cache[word] + self.cache[tail] for key, (word, tail) in parts.items()})
+
+    def _encode_keys(self, missing: list[str]) -> None:
         if self.spaced:
             fit, unfit = [], []
             for x in missing:
-                body = x[1:] if x[:1] in ("\0", "\n") else x
+                body = x[1:] if x[:1] in (" ", "\n") else x
                 (fit if body and not any(map(str.isspace, body)) else unfit).append(x)
             self.cache.update(dict.fromkeys(unfit))  # None: joining fails and the whole text is encoded
-            texts = [x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in fit]
         else:
-            fit = texts = missing
-        for key, got in zip(fit, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            fit = missing
+        words = [x for x in fit if x.isalpha() and max(x) < "\u0250"]
+        rest = [x for x in fit if not (x.isalpha() and max(x) < "\u0250")]
+        for at in range(0, len(words), JOINED):
+            rest += self._encode_words(words[at : at + JOINED])
+        texts = [x[1:] if x[0] == " " else x if x[0] == "\n" else " " + x for x in rest] if self.spaced else rest
+        for key, got in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             self.cache[key] = self._pack(got.ids)
 
+    def _encode_words(self, words: list[str]) -> list[str]:
+        """Learns words of letters from one text, cut again where the tokens' own marks say; the words back if the marks don't fit."""
+        text = " " + " ".join(words) if self.spaced else " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        marks = np.flatnonzero(self.marked[ids])
+        if len(marks) != len(words) or self.spaced and marks[0] != 0 or not self.spaced and marks[-1] != len(ids) - 1:
+            return words
+        cuts = ([*marks.tolist(), len(ids)] if self.spaced else [0, *(marks + 1).tolist()]) if len(words) else [0]
+        raw = ids.tobytes()
+        self.cache.update({w: raw[4 * a : 4 * b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)})
+        return []
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self._chunks(x) for x in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
+        if len(self.cache) > CACHE_CHUNKS // 2:
+            self.cache, self.old = {}, self.cache
         if missing := set(itertools.chain.from_iterable(parts)).difference(self.cache):
-            self._learn(list(missing))
+            again = missing.intersection(self.old)
+            self.cache.update({x: self.old[x] for x in again})
+            self._learn(list(missing - again))
         out, get = [], self.cache.__getitem__
         for text, x in zip(texts, parts, strict=True):
             try:

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from rastermill.llm import packing, token_files, tokens
 
-ODD = ["", " ", "a  b", "a\tb  c", "\n\nx", "x \n y", " lead", "trail ", "a b c", "á ́b", "Don't WE'LL it's", "été", "<|endoftext|> x", "x<|endoftext|>y", "　日本 語", "ΑΣ ΑΣ.", "\0null \0", "\x1cfs x", "12 345\r\nq", None]
+ODD = ["", " ", "a  b", "a\tb  c", "\n\nx", "x \n y", " lead", "trail ", "a b c", "á ́b", "Don't WE'LL it's", "été", "<|endoftext|> x", "x<|endoftext|>y", "　日本 語", "ΑΣ ΑΣ.", "\0null \0", "\x1cfs x", "12 345\r\nq", "The the THE, tHe. the### ###", "a\0b \0. x\0.", "İ. ß# ǰ.", None]
 DOCS = [(i, t) for i, t in enumerate(ODD)] + [(100, "word " * 9000), (101, "dup text"), (101, "dup text"), (None, "no id")]
 
 
@@ -40,6 +40,19 @@ def test_any_text_as_the_library(text):
         assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == ids(text)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 210])
+def test_range_buckets_by_bisection(spark, n):
+    from bisect import bisect_right
+
+    from rastermill.llm import common
+
+    bounds = sorted(random.Random(n).sample(range(-500, 500), n))
+    rows = spark.range(-600, 600).unionAll(spark.sql("SELECT CAST(NULL AS LONG) AS id")).select("id", common.range_bucket("id", bounds).alias("b")).collect()
+    assert all(r.b == (0 if r.id is None else bisect_right(bounds, r.id)) for r in rows)
+    cut = common.order_bounds(spark.range(1000), "id", n) if n else []
+    assert len(cut) == max(0, n - 1) and cut == sorted(set(cut))
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
