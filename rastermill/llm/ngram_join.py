@@ -38,7 +38,7 @@ LIGHT_SIZES = 200
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Entries of a list that a map task sends unfolded, and of a whole list whose pairs are tested one by one instead of as a star.
-KEEP, PAIRS = 4, 16
+KEEP, PAIRS = 4, 64
 BUCKETS = 64
 POSTING = np.dtype([("sig", "<u8"), ("node", "<i8"), ("low", "<i4"), ("high", "<i4"), ("many", "<i4")])
 
@@ -137,9 +137,9 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) ->
     return best
 
 
-def bucket_counts(grams: np.ndarray) -> bytes:
+def bucket_counts(grams: np.ndarray, bits: int = 6) -> bytes:
     """n-grams by bucket; the sum of differences of two such arrays is at most what the sets differ by."""
-    return np.minimum(np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 def most_apart(both, percent: int):
@@ -326,11 +326,23 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of the others shares with one; all sorted and distinct."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Label (index of the first member) of each set's component under the exact condition; sets: sorted distinct hashes."""
+    """Label (index of the first member) of each set's component under the exact condition; sets: sorted distinct hashes.
+
+    Only sets of possible sizes, not yet in one component, and within the bound of finer bucket counts are intersected, some at a
+    time, so that a link found saves the tests of what it joins.
+    """
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(s) for s in sets], np.int64)[order]
-    counts = np.frombuffer(b"".join(bucket_counts(sets[i]) for i in order), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+    counts = np.frombuffer(b"".join(bucket_counts(sets[i], 8) for i in order), np.uint8).reshape(-1, 256).astype(np.int16)
     label = np.arange(len(sets))
     last = np.searchsorted(size, 100 * size // percent, "right")
     for i in range(len(sets)):
@@ -339,11 +351,14 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         if not len(js):
             continue
         js = js[np.abs(counts[js] - counts[i]).sum(1) <= most_apart(size[i] + size[js], percent)]
-        for j in js.tolist():
-            if label[j] != label[i]:
-                shared = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
-                if 100 * shared >= percent * (size[i] + size[j] - shared):
+        step = 1
+        while len(js):
+            some, js = js[:step], js[step:]
+            shared = shared_counts(sets[order[i]], [sets[order[j]] for j in some])
+            for j in some[100 * shared >= percent * (size[i] + size[some] - shared)].tolist():
+                if label[j] != label[i]:
                     label[label == label[j]] = label[i]
+            js, step = js[label[js] != label[i]], min(64, 2 * step)
     out = np.empty(len(sets), np.int64)
     out[order] = order[label]
     return out
