@@ -27,9 +27,11 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found:
+        if held.isEmpty():
+            spark.sparkContext.setCheckpointDir(found)
         return found.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rastermill-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
