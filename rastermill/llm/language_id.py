@@ -12,7 +12,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare
@@ -227,25 +227,35 @@ class Reader:
         return [(w, self.field.labels[i], float(p)) for w, i, p in zip(words, m.argmax(1), m.max(1), strict=True)]
 
 
-def fit(docs: DataFrame, learn, sample_docs: int = SAMPLE_DOCS, id_col="doc_id", text_col="text", lang_col="lang") -> Field:
-    """Trains on a sample of the rows for which the column learn holds and the language is known: about sample_docs // languages
-    of each language, the first by a hash of the id, texts of at most SAMPLE_CHARS code points."""
-    rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    known = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
+def sample(docs: DataFrame, learn, sample_docs: int = SAMPLE_DOCS, id_col="doc_id", text_col="text", lang_col="lang") -> list[tuple[str, str]]:
+    """(text, language) of rows for which the column learn holds and the language is known: of each language its first
+    sample_docs // languages usable rows by a hash of the id, or all if it has fewer, whatever the table's size and the
+    language's share.  Usable are texts with a letter and at most SAMPLE_CHARS code points.
+
+    A draw bound of each language lets about twice the wanted rows pass, so that few rows are ranked; a language that falls short
+    (many rows of one id) is read again with a wider bound.
+    """
+    usable = (F.length(text_col) <= SAMPLE_CHARS) & F.regexp_like(F.col(text_col), F.lit(r"\p{L}"))
+    rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & usable)
+    known = {k[0]: k[1] for k in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
     each = max(1, sample_docs // max(1, len(known)))
-    span = 1 << 30
+    span, wide = 1 << 30, 2 * each + 64
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(span))
-    # twice the wanted share of a language passes, so that its first rows by hash are among them
-    limit = F.coalesce(*[F.when(F.col(lang_col) == k[0], F.lit(min(span, 2 * span * each // k[1] + span // 1000))) for k in known], F.lit(0)) if known else F.lit(0)
-    picked = rows.filter(draw < limit).filter(F.length(text_col) <= SAMPLE_CHARS).select(F.col(text_col), F.col(lang_col), draw.alias("draw"), F.col(id_col).alias("key"))
-    got = picked.orderBy("draw", "key").limit(3 * sample_docs).collect()
-    count: dict[str, int] = {}
-    sample = []
-    for text, lang, *_ in got:
-        count[lang] = count.get(lang, 0) + 1
-        if count[lang] <= each:
-            sample.append((text, lang))
-    return train(sample)
+    first = Window.partitionBy("lang").orderBy("draw", "key", "text")
+    found: dict[str, list[str]] = {}
+    while short := [k for k, n in known.items() if len(found.get(k, ())) < min(each, n)]:
+        limit = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(min(span, span * wide // known[k] + 1))) for k in short], F.lit(0))
+        picked = rows.filter(draw < limit).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(id_col).alias("key"))
+        ranked = picked.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= each).collect()
+        found |= {k: [r.text for r in sorted((r for r in ranked if r.lang == k), key=lambda r: r.place)] for k in short}
+        wide *= 16
+    # languages in turn by the order of their names, so that the sample doesn't depend on how rows arrive
+    return [(text, k) for k in sorted(found) for text in found[k]]
+
+
+def fit(docs: DataFrame, learn, sample_docs: int = SAMPLE_DOCS, id_col="doc_id", text_col="text", lang_col="lang") -> Field:
+    """Trains on a sample of the labelled rows, of every language alike (see sample)."""
+    return train(sample(docs, learn, sample_docs, id_col, text_col, lang_col))
 
 
 def predict(docs: DataFrame, field: Field, id_col="doc_id", text_col="text") -> DataFrame:

@@ -115,6 +115,28 @@ def test_language_of_odd_rows(spark):
     assert language_id.keep_identified(docs, field).columns == docs.columns
 
 
+def test_rare_languages_are_sampled_in_full(spark, monkeypatch):
+    """300,000 rows of one language, 300 of a second and 5 of a third: the bound is each language's own."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(language_id, "train", lambda sample: sample)
+    lang = F.when(F.col("id") % 1000 == 7, "bb").when(F.col("id") % 60_000 == 11, "cc").otherwise("aa")
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"), lang.alias("lang"))
+    got = language_id.fit(docs, F.lit(True), 30)
+    assert {k: sum(y == k for _, y in got) for k in ("aa", "bb", "cc")} == {"aa": 10, "bb": 10, "cc": 5} and len(set(got)) == len(got)
+
+
+def test_sample_is_the_first_rows_by_hash_of_the_id(spark):
+    """Against all rows ranked; one id stands on many rows, some texts can't be used."""
+    from pyspark.sql import functions as F
+
+    rows = [(i if i % 3 else 0, f"text {i}" if i % 7 else "12 34", "ab"[i % 5 == 0]) for i in range(900)] + [(5000 + i, "x" * 20_001, "c") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ranked = sorted((r for r in docs.select("*", F.expr("pmod(xxhash64(doc_id), 1 << 30)").alias("draw")).collect() if r.text.startswith("text")), key=lambda r: (r.draw, r.doc_id, r.text))
+    want = [(r.text, k) for k in "ab" for r in [r for r in ranked if r.lang == k][:20]]
+    assert language_id.sample(docs, F.lit(True), 40) == want
+
+
 def naive_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = {}
