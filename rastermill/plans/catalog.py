@@ -219,16 +219,22 @@ def _area_class(spark, sf_dir):
 
 
 def _scenes(spark, sf_dir):
-    """Bands 1 to 3 as images of 64 columns that overlap by half."""
+    """(pixels, first column) of bands 1 to 3 as images of 64 columns that overlap by half."""
     df = adapters.numbers(spark, sf_dir)
     out = []
     for b in (1, 2, 3):
         left = (b - 1) * 32
         pixels = df.filter((F.col("band") == b) & F.col("col").between(left, left + 63)).groupBy("row", "col").agg(F.max("value").alias("value"))
-        out.append((pixels.withColumn("col", F.col("col") - left), GridMeta(left * 30.0, 0.0, 30.0, 30.0, 2000, 64, 32621, ("value",))))
+        out.append((pixels.withColumn("col", F.col("col") - left), left))
     return out
 
 
+def _scene_grids(spark, sf_dir):
+    """The scenes with their grids; the height is read from the table's rows (one value)."""
+    nrows = adapters.numbers(spark, sf_dir).agg(F.coalesce(F.max("row"), F.lit(0))).first()[0] + 1
+    return [(d, GridMeta(left * 30.0, 0.0, 30.0, 30.0, nrows, 64, 32621, ("value",))) for d, left in _scenes(spark, sf_dir)]
+
+
 _SCENES = "scenes AS (" + " UNION ALL ".join(f"SELECT row, col, {b} AS b, max(value) AS value FROM numbers WHERE band = {b} AND col BETWEEN {(b - 1) * 32} AND {(b - 1) * 32 + 63} GROUP BY row, col" for b in (1, 2, 3)) + ")"
 for _how, _by, _low, _high in (("max", "reference", 0, 63), ("min", "union", 0, 127), ("mean", "union", 0, 127), ("max", "intersection", 64, 63)):
     if _by == "intersection":
@@ -236,7 +242,7 @@ for _how, _by, _low, _high in (("max", "reference", 0, 63), ("min", "union", 0,
 
     @query(f"mosaic_{_how}_{_by}", f"WITH {NUMBERS}, {_SCENES} SELECT row, (col - {_low})::INT AS col, round({'avg' if _how == 'mean' else _how}(value), 6) AS value FROM scenes WHERE col BETWEEN {_low} AND {_high} {'AND b < 3' if _by == 'intersection' else ''} GROUP BY row, col")
     def _mosaic(spark, sf_dir, how=_how, by=_by):
-        scenes = _scenes(spark, sf_dir)
+        scenes = _scene_grids(spark, sf_dir)
         return rounded(combine.mosaic(scenes[:2] if by == "intersection" else scenes, ["value"], how, by)[0], "value")
 
 
