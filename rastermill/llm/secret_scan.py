@@ -71,7 +71,23 @@ def all_spans(base, live):
     return F.array_sort(F.concat(base, F.coalesce(live, F.array()).cast(SPAN)))
 
 
-def ownership(docs: DataFrame, max_owners: int, max_repositories: int, id_col: str, text_col: str, owner_col: str) -> tuple[DataFrame, DataFrame]:
+def _few(runs: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
+    """hash of what at most so many owners hold in at most so many documents in all."""
+    held = runs.select("hash", "owner", "doc_id").distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
+    all_ = held.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    return all_.filter((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("hash")
+
+
+def _of_one(runs: DataFrame, max_owners: int, _) -> DataFrame:
+    """hash of what at most so many owners hold, in any number of documents, or of what has an owner that holds all texts with it
+    (so a copy of a text under another owner doesn't make a second one)."""
+    held = runs.select("hash", "owner", "text_hash").distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("texts"))
+    owners = held.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.max("texts").alias("most"))
+    texts = runs.select("hash", "text_hash").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("texts"))
+    return owners.join(texts, "hash").filter((F.col("owners") <= max_owners) | (F.col("most") == F.col("texts"))).select("hash")
+
+
+def ownership(docs: DataFrame, max_owners: int, max_repositories: int | None, id_col: str, text_col: str, owner_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, live): doc_id, text_hash and base of each document (checkpointed), and the owned spans of those that have any."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     first = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
@@ -80,7 +96,7 @@ def ownership(docs: DataFrame, max_owners: int, max_repositories: int, id_col: s
     apart = F.filter("runs", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     rows = cut_lineage(found.select("doc_id", "owner", "text_hash", "base", F.transform(apart, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.sha2(m["value"], 256).alias("hash"))).alias("runs")))
     runs = rows.filter(F.size("runs") > 0).select("doc_id", "owner", "text_hash", F.inline("runs"))
-    owned = runs.select("hash", "owner", "doc_id").distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")).filter((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("hash")
+    owned = (_few if max_repositories is not None else _of_one)(runs, max_owners, max_repositories)
     live = runs.join(owned, "hash").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", F.lit(3).alias("kind"), "end")).cast(SPAN).alias("live"))
     return rows.select("doc_id", "text_hash", "base"), live
 
@@ -118,9 +134,11 @@ def redact(text, spans, mark: str = "[SECRET]"):
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + F.lit(1)))))
 
 
-def redact_documents(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = 1, max_repositories: int = 3) -> DataFrame:
+def redact_documents(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = 1, max_repositories: int | None = 3) -> DataFrame:
     """documents with every span redacted and n_chars set anew; null texts stay null.
 
+    With max_repositories None ownership alone decides: see _of_one.
+
     The texts are not shuffled while the few owned spans fit a broadcast (checked); beyond that they are joined by a shuffle.
     """
     _, live = ownership(docs, max_owners, max_repositories, "doc_id", "text", "source")

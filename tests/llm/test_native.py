@@ -2,6 +2,7 @@ from fractions import Fraction
 
 import numpy as np
 
+import corpus_pipeline
 from rastermill.llm import mixing, queries, secret_scan, url_reputation
 
 from . import fixture
@@ -77,6 +78,15 @@ def test_secrets_of_odd_rows_and_redaction(spark):
     assert secret_scan.scan(fixture.frame(spark, [])).count() == 0
 
 
+def test_pipeline_redacts_keys_of_one_source_in_many_documents(spark):
+    hot, mirrored, common = "hot_Qw12Er34Ty56Ui78Op90As", "mir_Zx98Cv76Bn54Mq32Lk10Jh", "all_Pl09Ok87Ij65Uh43Yg21Tf"
+    rows = [(i, f"text {i} {hot} end", "en", "s1") for i in range(6)] + [(10 + i, f"copy {mirrored} end", "en", f"s{i}") for i in range(2)]
+    rows += [(20 + i, f"example {i} {common} end", "en", f"s{i}") for i in range(2)] + [(30 + i, f"none {i} {hot[:-1]}x end", "en", None) for i in range(5)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.redact_secrets(spark, fixture.frame(spark, rows), None).collect()}
+    assert all(out[i] == f"text {i} [SECRET] end" for i in range(6)) and out[10] == out[11] == "copy [SECRET] end"
+    assert all(out[20 + i] == f"example {i} {common} end" and out[30 + i] == f"none {i} [SECRET] end" for i in range(2))
+
+
 PAGES = [(1, "http://A.Example.org/es/x?q#f"), (2, "https://sub.example.org/en/12"), (3, "no scheme"), (4, None), (5, "x://y.com/fr/7"), (6, "x://y.com/de/7"), (7, "http://bad.host.co.uk/en/3"), (8, "http://bad.host.co.uk"), (9, "a://b://c/d"), (10, "http://notexample.org/es/"), (11, "http://org"), (12, "http://É.COM/fr/")]
 
 
