@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .tokens import encoder, text_slices
+from .tokens import Encoder, byte_slices, starts, with_end
 
 #: Pieces packed together by one task; a group is a hash class, so its mix of lengths is that of the corpus.
 GROUP_PIECES = 8192
@@ -54,24 +54,27 @@ def best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, scor
     return bins
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int | None, max_tokens: int) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, max_tokens: int, special_as_text: bool = False) -> DataFrame:
     """Rows PIECES: each whole text's ids (null: none) and end_id, cut only where longer than max_tokens."""
     prepare(docs.sparkSession)
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        enc = encoder(tokenizer, spaced)
+        enc = Encoder(tokenizer, special_as_text)
         for batch in batches:
-            for keys, texts in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
-                for key, ids in zip(keys, enc.encode(texts), strict=True):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                        part = ids[at : at + 4 * max_tokens]
-                        rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts = pc.fill_null(batch.column(1), "")
+            for lo, hi in byte_slices(texts):
+                ids, size = with_end(*enc(texts.slice(lo, hi - lo)), end_id)
+                pieces = -(-size // max_tokens)
+                row = np.repeat(np.arange(lo, hi), pieces)
+                piece = np.arange(len(row)) - starts(pieces)[row - lo]
+                length = np.minimum(max_tokens, size[row - lo] - piece * max_tokens)
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                at = (4 * starts(length)).tolist()
+                crc = [zlib.crc32(raw[a : a + 4 * n]) for a, n in zip(at, length.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * max_tokens), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.mapInArrow(run, PIECES)
 
@@ -102,7 +105,7 @@ def pack(pieces: DataFrame, n_rows: int, max_tokens: int = 4096, max_docs: int =
     return dealt.groupBy("bin_group").applyInPandas(run, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, spaced: bool = False, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False, **limits) -> DataFrame:
     """One row per piece: PIECES, sequence_id, offset.
 
     Null and empty texts are end_id alone; texts of any length are used whole; other columns are ignored, whatever their names;
@@ -110,4 +113,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaced: bool = False, end_id
     """
     max_tokens = limits.get("max_tokens", 4096)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return pack(token_pieces(kept, tokenizer, spaced, end_id, max_tokens), docs.count(), **limits)
+    return pack(token_pieces(kept, tokenizer, end_id, max_tokens, special_as_text), docs.count(), **limits)

@@ -32,7 +32,7 @@ def op1_syncmers(spark, sf_dir):
 
 
 def op2_best_fit_packing(spark, sf_dir):
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), spaced=False, end_id=1, max_tokens=4096)
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, max_tokens=4096)
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def op7_source_mixing(spark, sf_dir):
 
 
 def op8_token_files(spark, sf_dir):
-    return token_files.token_files(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), spaced=True, end_id=0, vocabulary=50_257)
+    return token_files.token_files(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0, vocabulary=50_257)
 
 
 def op9_secret_scan(spark, sf_dir):

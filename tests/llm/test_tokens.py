@@ -1,8 +1,10 @@
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,29 +17,64 @@ DOCS = [(i, t) for i, t in enumerate(ODD)] + [(100, "word " * 9000), (101, "dup
 
 
 def plain(name):
+    """The library's own plain call."""
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
-CASES = [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)]
+NAMES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
+
+
+def encoded(enc, texts):
+    ids, size = enc(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] if len(size) else []
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_odd_texts_as_the_library(name):
+    texts = [t for _, t in DOCS]
+    enc = tokens.Encoder(public_tokenizers.path(name))
+    assert enc.known
+    assert encoded(enc, texts) == encoded(enc, texts) == [plain(name)(t) for t in texts]
+    assert encoded(enc, []) == [] and encoded(enc, [None, ""]) == [[], []]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_special_strings_as_text(name):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    text = "a <|endoftext|> b<|startoftext|>"
+    assert encoded(tokens.Encoder(public_tokenizers.path(name), special_as_text=True), [text]) == [t.encode(text, add_special_tokens=False).ids]
+    assert encoded(tokens.Encoder(public_tokenizers.path(name)), [text]) == [plain(name)(text)]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_small_slices_and_a_small_memory_change_nothing(name, monkeypatch):
+    r = random.Random(7)
+    texts = ["".join(r.choice(["word", "Été", "x1", " ", "  ", "\n", "\u00a0", "\u3000", "###", "it's", ".", "ß"]) for _ in range(r.randrange(80))) for _ in range(300)]
+    for k, v in (("SLICE_BYTES", 500), ("SLICE_WORDS", 7), ("CACHE_BYTES", 3000)):
+        monkeypatch.setattr(tokens, k, v)
+    assert encoded(tokens.Encoder(public_tokenizers.path(name)), texts) == [plain(name)(t) for t in texts]
 
 
-@pytest.mark.parametrize("name,spaced", CASES)
-def test_odd_texts_as_the_library(name, spaced):
-    texts = [t or "" for _, t in DOCS]
-    got = tokens.ChunkEncoder(public_tokenizers.path(name), spaced).encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(name)(t) for t in texts]
+def test_other_tokenizers_are_read_text_by_text(tmp_path):
+    with open(public_tokenizers.path(NAMES[1]), encoding="utf-8") as f:
+        said = json.load(f)
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    enc, t = tokens.Encoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not enc.known
+    assert encoded(enc, ["a b", "", "c  d"]) == [t.encode(x, add_special_tokens=False).ids for x in ("a b", "", "c  d")]
 
 
-_both = {c: (tokens.ChunkEncoder(public_tokenizers.path(c[0]), c[1]), plain(c[0])) for c in CASES}
+_both = {c: (tokens.Encoder(public_tokenizers.path(c)), plain(c)) for c in NAMES}
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sStTabcX1.#é ́"), st.characters(codec="utf-8")), max_size=60))
-def test_any_text_as_the_library(text):
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sStTabcX1.#\u00e9 \u0301\u00a0\u2003\u3000\u0085\x1c\u180e"), st.characters(codec="utf-8")), max_size=60), max_size=4))
+def test_any_text_as_the_library(texts):
     for enc, ids in _both.values():
-        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == ids(text)
+        assert encoded(enc, texts) == list(map(ids, texts))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 210])
