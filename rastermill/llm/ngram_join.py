@@ -1,11 +1,10 @@
 """Size-aware heavy-light Jaccard join of word n-gram sets, and the components of its links.
 
-Equal sets are one node.  Small (light) sets enumerate their subsets of every size that a partner may share; large (heavy) sets
-are found by scanning inverted lists of their prefixes, rarest n-grams first by a count sketch of the whole corpus.  The boundary
-is the size with the least estimated cost.  Lists only say which nodes may link.  Long ones are folded to stars where they are
-made, so a list never holds more than a few entries for each map task; the pairs of short ones (at most PAIRS entries) must pass an
-exact lower bound of the difference, from counts in buckets.  Nodes that may link are then tested exactly, side by side, with the
-same bound and union-find in front of each intersection.
+Equal sets are one node.  Small (light) sets enumerate their subsets of every size that a partner may share.  Large (heavy) sets are
+found by scanning inverted lists: a set is dealt into blocks by its n-grams' hashes, and as linked sets differ in few n-grams, they
+must agree in one of their fullest blocks; a list holds the sets with one and the same block.  The boundary is the size with the
+least estimated cost.  Lists only say which nodes may link: each gives a star, so there are never more links than entries.  Nodes that
+may link are then tested exactly, side by side, behind a lower bound of their difference and union-find.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,37 +19,25 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, partitions, prepare
-from .tokens import text_slices
+from .common import cut_lineage, prepare
+from .tokens import byte_slices, text_bytes
 
-#: Counters of the sketch (fixed size, whatever the corpus).
-SKETCH_BITS = 20
-#: Words whose hashes a Python worker remembers.
-CACHE_WORDS = 400_000
 #: Postings a map task holds before it folds and sends them.
-FLUSH = 3_000_000
-#: Nodes and n-grams tested in one task; larger candidate groups are cut into blocks that are tested pair by pair.
-BLOCK_NODES, BLOCK_GRAMS = 1500, 6_000_000
-#: Candidate tables up to this many rows are broadcast (checked), larger ones joined by a shuffle.
+FLUSH = 1_000_000
+#: Nodes and n-grams tested in one task; larger candidate groups are cut into blocks.
+BLOCK_NODES, BLOCK_GRAMS = 512, 2_000_000
+#: Candidate tables up to this many rows (of three numbers) are broadcast (checked), larger ones joined by a shuffle.
 BROADCAST_ROWS = 500_000
 LIGHT_SIZES = 200
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-#: Entries of a list that a map task sends unfolded, and of a whole list whose pairs are tested one by one instead of as a star.
-KEEP, PAIRS = 4, 64
-BUCKETS = 64
-POSTING = np.dtype([("sig", "<u8"), ("node", "<i8"), ("low", "<i4"), ("high", "<i4"), ("many", "<i4")])
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_hashes = _Hashes()
+#: Entries of a list that a map task sends unfolded.
+KEEP = 4
+POSTING = np.dtype([("sig", "<i8"), ("node", "<i8"), ("low", "<i4"), ("high", "<i4")])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -60,18 +46,37 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x * _ODD
 
 
-def gram_sets(texts: list[str], n: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's n-grams; with fewer words the whole sequence is one; without words none."""
-    parts = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: ASCII letters and ASCII white space only
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    words = np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(parts)), np.uint64, int(sizes.sum()))
+def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, how many words each text has); only A-Z are lower-cased; each distinct word is hashed once."""
+    import pyarrow as pa
+
+    at, data = text_bytes(texts)
+    data = _LOWER[data]
+    space = _SPACE[data]
+    begin = ~space
+    begin[1:] &= space[:-1]
+    first = at[:-1][at[:-1] < len(data)]
+    begin[first] = ~space[first]
+    place = np.flatnonzero(begin)
+    held = data[~space]
+    start = (place - np.cumsum(space, dtype=np.int32)[place]).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(np.append(start, np.int32(len(held)))), pa.py_buffer(held)]).dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return hashes[words.indices.to_numpy()], np.diff(np.searchsorted(place, at))
+
+
+def gram_sets(texts, n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's n-grams; with fewer words the whole sequence is one; without words none.  texts: an
+    Arrow array of strings without nulls."""
+    words, sizes = word_hashes(texts)
     grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n):
         grams = _stir(grams + words[k : k + len(grams)])
     out, at = [], 0
     for size in sizes.tolist():
         if size >= n:
-            out.append(np.unique(grams[at : at + size - n + 1]))
+            got = np.sort(grams[at : at + size - n + 1])
+            out.append(got[np.r_[True, got[1:] != got[:-1]]])
         elif size:
             out.append(np.frombuffer(hashlib.blake2b(words[at : at + size].tobytes(), digest_size=8).digest(), "<u8").copy())
         else:
@@ -105,28 +110,72 @@ def n_subsets(size: int, percent: int) -> int:
     return sum(math.comb(size, k) for k in range(size - least_shared(size, percent) + 1))
 
 
+def most_apart(both, percent: int):
+    """The most by which two linked sets may differ; both: the sum of their sizes."""
+    return both - 2 * (-(-percent * both // (100 + percent)))
+
+
+def _bound(both: int, percent: int) -> int:
+    """No less than most_apart, and never less for larger sets."""
+    return both * (100 - percent) // (100 + percent)
+
+
+def size_class(size: int) -> int:
+    """The largest size of a size's class; classes end below powers of two."""
+    return (1 << int(size).bit_length()) - 1
+
+
+def n_blocks(top: int, percent: int) -> int:
+    """Blocks that sets of a class ending at top are dealt into: half as many again as two of its largest may differ by, and one."""
+    return _bound(2 * top, percent) * 3 // 2 + 1
+
+
+def posted(size: int, percent: int) -> list[tuple[int, int]]:
+    """(class, how many blocks a set posts there), for its own class and for the next if a larger partner may be there.
+
+    Linked sets differ in at most d n-grams, hence in at most d blocks of either.  In one order of block contents, the first block
+    that both hold comes among the first d + 1 of each.
+    """
+    most, out = 100 * size // percent, []
+    for top in dict.fromkeys((size_class(size), size_class(most))):
+        out.append((top, min(n_blocks(top, percent), _bound(size + min(top, most), percent) + 1)))
+    return out
+
+
+def block_signatures(grams: np.ndarray, percent: int) -> np.ndarray:
+    """A hash of each posted block: the fullest first, ties by hash.  grams: sorted, so that a block is a run of them."""
+    out = []
+    mixed = np.r_[np.uint64(0), np.cumsum(_stir(grams ^ _ODD), dtype=np.uint64)]
+    for top, most in posted(len(grams), percent):
+        m = n_blocks(top, percent)
+        ends = np.searchsorted(grams >> np.uint64(32), (np.arange(1, m + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(m))
+        ends[-1] = len(grams)
+        upto = mixed[ends]
+        count = np.diff(np.r_[0, ends])
+        sig = _stir(np.diff(np.r_[np.uint64(0), upto]) + _stir(np.arange(m, dtype=np.uint64) + np.uint64(top << 32)))
+        out.append(sig[np.lexsort((sig, -count))[:most]])
+    return np.concatenate(out)
+
+
 @dataclass
 class Plan:
     n: int
     percent: int
     boundary: int
-    rank: np.ndarray
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
         size, out = len(grams), []
         if 0 < size <= self.boundary:
             out.append(_stir(subset_signatures(grams, self.percent)))
         if size > 0 and 100 * size >= self.percent * (self.boundary + 1):  # may meet a heavy set
-            place = self.rank[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            prefix = size - least_shared(size, self.percent) + 1
-            out.append(grams[np.argsort(place, kind="stable")[:prefix]])
+            out.append(block_signatures(grams, self.percent))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) -> int:
-    """Largest light size of least cost: subsets that light sets enumerate, and postings with the lists that heavy sets scan."""
+    """Largest light size of least cost: subsets that light sets enumerate, and blocks that heavy sets post with the lists they scan."""
     light = {s: c * n_subsets(s, percent) for s, c in sizes.items()}
-    heavy = {s: c * (s - least_shared(s, percent) + 1) * (1 + list_length) for s, c in sizes.items()}
+    heavy = {s: c * sum(k for _, k in posted(s, percent)) * (1 + list_length) for s, c in sizes.items()}
     best, cost = 0, sum(heavy.values())
     for x in range(1, LIGHT_SIZES):
         if n_subsets(x, percent) > 100_000:
@@ -142,171 +191,137 @@ def bucket_counts(grams: np.ndarray, bits: int = 6) -> bytes:
     return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def most_apart(both, percent: int):
-    """The most by which two linked sets may differ; both: the sum of their sizes."""
-    return both - 2 * (-(-percent * both // (100 + percent)))
-
-
-def runs_of(postings: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct postings by list and size, where runs begin).
+def runs_of(p: np.ndarray, percent: int) -> np.ndarray:
+    """Where runs begin in postings sorted by list and size.
 
     A run ends where the next entry is too large for any before it, for no pair across can link.
     """
-    p = np.sort(postings, order=("sig", "low", "node"))
     if not len(p):
-        return p, np.zeros(0, np.int64)
-    p = p[np.r_[True, (p["sig"][1:] != p["sig"][:-1]) | (p["node"][1:] != p["node"][:-1]) | (p["low"][1:] != p["low"][:-1]) | (p["many"][1:] > 1) | (p["many"][:-1] > 1)]]
+        return np.zeros(0, np.int64)
     new = np.r_[True, p["sig"][1:] != p["sig"][:-1]]
     number = np.cumsum(new).astype(np.int64) << 32
     top = np.maximum.accumulate(p["high"] + number) - number
-    return p, np.flatnonzero(new | np.r_[True, percent * p["low"][1:].astype(np.int64) > 100 * top[:-1]])
+    return np.flatnonzero(new | np.r_[True, percent * p["low"][1:].astype(np.int64) > 100 * top[:-1]])
 
 
 def star(p: np.ndarray, begins: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Links of the chosen runs' entries to their first."""
+    """Distinct links of the chosen runs' entries to their first."""
     run = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(p)]))
     links = np.stack([p["node"], p["node"][begins][run]], 1)[chosen[run]]
     return np.unique(np.sort(links[links[:, 0] != links[:, 1]], 1), axis=0)
 
 
-def fold(postings: np.ndarray, percent: int, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray]:
+def fold(p: np.ndarray, percent: int, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray]:
     """(postings to send, links): a run of more than keep entries becomes one posting and a star."""
-    p, begins = runs_of(postings, percent)
+    p = np.unique(p)
+    p = p[np.lexsort((p["node"], p["low"], p["sig"]))]
+    begins = runs_of(p, percent)
     if not len(p):
         return p, np.zeros((0, 2), np.int64)
     size = np.diff(np.r_[begins, len(p)])
     many = size > keep
     folded = p[begins][many]
-    folded["high"], folded["many"] = np.maximum.reduceat(p["high"], begins)[many], np.add.reduceat(p["many"], begins)[many]
+    folded["high"] = np.maximum.reduceat(p["high"], begins)[many]
     return np.concatenate([p[~np.repeat(many, size)], folded]), star(p, begins, many)
 
 
-def scan_lists(postings: np.ndarray, percent: int, most: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, links) of whole lists: all pairs of possible sizes in a short run, a star over a long one."""
-    p, begins = runs_of(postings, percent)
-    if not len(p):
-        return (np.zeros((0, 2), np.int64),) * 2
-    size = np.diff(np.r_[begins, len(p)])
-    long = (np.maximum.reduceat(p["many"], begins) > 1) | (size > most)
-    run, short, pairs = np.repeat(np.arange(len(begins)), size), ~np.repeat(long, size), []
-    for d in range(1, min(most, len(p))):
-        near = (run[d:] == run[:-d]) & short[d:] & (percent * p["low"][d:].astype(np.int64) <= 100 * p["low"][:-d].astype(np.int64))
-        if not near.any():
-            break
-        pairs.append(np.stack([p["node"][:-d][near], p["node"][d:][near]], 1))
-    found = np.sort(np.concatenate(pairs), 1) if pairs else np.zeros((0, 2), np.int64)
-    return np.unique(found[found[:, 0] != found[:, 1]], axis=0), star(p, begins, long)
+def scan(batches, percent: int):
+    """Links of lists that come sorted by (sig, low): a star over each run.  An open run is carried to the next batch as one posting."""
+    carried = np.zeros(0, POSTING)
+    for p in batches:
+        p = np.concatenate([carried, p])
+        if not len(p):
+            continue
+        begins = runs_of(p, percent)
+        carried = p[begins[-1:]].copy()
+        carried["high"] = p["high"][begins[-1] :].max()
+        yield star(p, begins, np.ones(len(begins), bool))
 
 
-def sets_and_sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Rows doc_id, size, node of all documents and, with counts set, a compressed sketch of each task."""
+def sets_of(docs: DataFrame, n: int) -> DataFrame:
+    """Rows doc_id, key, size, node of all documents (doc_id, key, text)."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "size", "node", "buckets", "counts"]
         for batch in batches:
-            for keys, texts in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sets = gram_sets(texts, n)
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(bucket_counts, sets), pa.binary()), pa.nulls(len(sets), pa.binary())], names)
-        if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(np.minimum(counts, (1 << 16) - 1).astype("<u2").tobytes(), 1)], pa.binary())], names)
-
-    return docs.mapInArrow(run, "doc_id long, size long, node long, buckets binary, counts binary")
-
+            texts = pc.fill_null(batch.column(2), "")
+            for lo, hi in byte_slices(texts):
+                sets = gram_sets(texts.slice(lo, hi - lo), n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "key", "size", "node"])
 
-def merged_sketch(rows: DataFrame) -> np.ndarray:
-    """Sum of the tasks' sketches, in two steps of about equal width; one array of fixed size reaches the driver."""
-
-    def add(width: str):
-        def run(batches):
-            import pyarrow as pa
-
-            total = np.zeros(1 << SKETCH_BITS, "<i8")
-            for batch in batches:
-                for x in batch.column(0).to_pylist():
-                    total += np.frombuffer(zlib.decompress(x), width)
-            if total.any():
-                yield pa.RecordBatch.from_pydict({"counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-        return run
-
-    held = rows.filter("counts is not null").select("counts")
-    some = max(1, math.isqrt(held.rdd.getNumPartitions()))
-    got = held.repartition(some).mapInArrow(add("<u2"), "counts binary").repartition(1).mapInArrow(add("<i8"), "counts binary").collect()
-    return np.frombuffer(zlib.decompress(got[0][0]), "<i8") if got else np.zeros(1 << SKETCH_BITS, np.int64)
+    return docs.mapInArrow(run, "doc_id long, key long, size long, node long")
 
 
 def candidate_links(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b, star): nodes that share a subset or a prefix entry, a < b: pairs of short lists, stars over long ones."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    held = spark.sparkContext.broadcast(plan)
+    """(a, b): links of nodes that share a subset or a block, a < b: a star over each list.
+
+    Postings are rows that Spark deals by list and sorts (on disk where they don't fit); a map task folds what it holds of long lists,
+    so that a list never has more than a few entries for each FLUSH of a task.
+    """
 
     def post(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        plan, parts, links, n = held.value, [], [], 0
+        parts, n = [], 0
 
         def send():
-            runs, pairs = fold(np.concatenate(parts), plan.percent)
-            of_run, of_pair = (runs["sig"] % np.uint64(buckets)).astype(np.int64), pairs[:, 0] % buckets
-            runs, of_run = runs[o := np.argsort(of_run, kind="stable")], of_run[o]
-            pairs, of_pair = pairs[o := np.argsort(of_pair, kind="stable")], of_pair[o]
-            a, b = (np.searchsorted(x, np.arange(buckets + 1)) for x in (of_run, of_pair))
-            some = [i for i in range(buckets) if a[i] < a[i + 1] or b[i] < b[i + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([runs[a[i] : a[i + 1]].tobytes() for i in some], pa.binary()), pa.array([pairs[b[i] : b[i + 1]].tobytes() for i in some], pa.binary())], ["bucket", "postings", "links"])
+            runs, links = fold(np.concatenate(parts), plan.percent)
+            link = np.zeros(len(links), POSTING)  # a link made here travels as a posting without a size
+            link["sig"], link["node"] = links[:, 0], links[:, 1]
+            rows = np.concatenate([runs, link])
+            for lo in range(0, len(rows), 100_000):
+                some = rows[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[k])) for k in POSTING.names], list(POSTING.names))
 
         for batch in batches:
-            for _, texts in text_slices(range(batch.num_rows), batch.column(0).to_pylist()):
-                for grams in gram_sets(texts, plan.n):
+            texts = pc.fill_null(batch.column(0), "")
+            for lo, hi in byte_slices(texts):
+                for grams in gram_sets(texts.slice(lo, hi - lo), plan.n):
                     sigs = plan.signatures(grams)
                     if len(sigs):
                         p = np.empty(len(sigs), POSTING)
-                        p["sig"], p["node"], p["low"], p["high"], p["many"] = sigs, node_of(grams), len(grams), len(grams), 1
+                        p["sig"], p["node"], p["low"], p["high"] = sigs.view(np.int64), node_of(grams), len(grams), len(grams)
                         parts.append(p)
                         n += len(p)
-                if n > FLUSH:
-                    yield send()
-                    parts.clear()
-                    links.clear()
-                    n = 0
+                    if n > FLUSH:
+                        yield from send()
+                        parts.clear()
+                        n = 0
         if parts:
-            yield send()
+            yield from send()
 
-    def scan(batches):
+    def read(batches):
         import pyarrow as pa
 
-        parts, links = [np.zeros(0, POSTING)], [np.zeros((0, 2), np.int64)]
-        for batch in batches:
-            parts += [np.frombuffer(x, POSTING) for x in batch.column(1).to_pylist()]
-            links += [np.frombuffer(x, "<i8").reshape(-1, 2) for x in batch.column(2).to_pylist()]
-        pairs, found = scan_lists(np.concatenate(parts), plan_percent)
-        for kind, rows in ((False, pairs), (True, np.unique(np.concatenate([found, *links]), axis=0))):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.full(len(rows), kind))], ["a", "b", "star"])
-
-    plan_percent = plan.percent
-    sent = docs.select("text").mapInArrow(post, "bucket int, postings binary, links binary")
-    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(scan, "a long, b long, star boolean").distinct()
-
+        def postings():
+            for batch in batches:
+                p = np.empty(batch.num_rows, POSTING)
+                for i, k in enumerate(POSTING.names):
+                    p[k] = batch.column(i).to_numpy()
+                made = p["low"] == 0
+                yield p[~made], p[made]
 
-def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose bucket counts differ by no more than linked sets may; nodes: node, size, buckets."""
+        held = []
 
-    def run(batches):
-        import pyarrow as pa
+        def lists():
+            for p, made in postings():
+                held.append(np.stack([made["sig"], made["node"]], 1))
+                yield p
 
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for i in (3, 5))
-            both = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            near = np.abs(x - y).sum(1) <= most_apart(both, percent)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], ["a", "b"])
+        for links in scan(lists(), percent):
+            links = np.unique(np.concatenate([links, *held]), axis=0)
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+        if held:
+            links = np.concatenate(held)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
-    one = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("buckets").alias("buckets_a"))
-    two = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("buckets").alias("buckets_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "buckets_a", "size_b", "buckets_b").mapInArrow(run, "a long, b long")
+    percent = plan.percent
+    sent = docs.select("text").mapInArrow(post, "sig long, node long, low int, high int")
+    return sent.repartition("sig").sortWithinPartitions("sig", "low").mapInArrow(read, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -334,16 +349,19 @@ def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Label (index of the first member) of each set's component under the exact condition; sets: sorted distinct hashes.
+def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Label (index of a member) of each set's component under the exact condition; sets: sorted distinct hashes.
 
-    Only sets of possible sizes, not yet in one component, and within the bound of finer bucket counts are intersected, some at a
-    time, so that a link found saves the tests of what it joins.
+    known: labels (any indices) of sets already known to be in one component.  Only sets of possible sizes, not yet in one component,
+    and within the bound of bucket counts are intersected, some at a time, so that a link found saves the tests of what it joins.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(s) for s in sets], np.int64)[order]
     counts = np.frombuffer(b"".join(bucket_counts(sets[i], 8) for i in order), np.uint8).reshape(-1, 256).astype(np.int16)
     label = np.arange(len(sets))
+    if known is not None:
+        _, first, back = np.unique(known[order], return_index=True, return_inverse=True)
+        label = first[back]
     last = np.searchsorted(size, 100 * size // percent, "right")
     for i in range(len(sets)):
         js = np.arange(i + 1, last[i])
@@ -364,83 +382,128 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, nodes: DataFrame, heads: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, label): exact components among the candidates.  nodes: node, size, first (a document's id); heads: node, head."""
-    spark = docs.sparkSession
-    members = cut_lineage(heads.join(nodes.select("node", "size", "first"), "node"))
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("size") / BLOCK_GRAMS)).cast("int")
-    sized = members.groupBy("head").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("head", "blocks")
-    dealt = cut_lineage(members.join(sized, "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    wanted = dealt.select(F.col("first").alias("doc_id"), F.col("node").alias("wanted"), "head", "blocks", "own")
-    wanted = F.broadcast(wanted) if dealt.count() <= BROADCAST_ROWS else wanted
-    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("text", "wanted", "head", "blocks", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("x"), F.greatest(k, "own").alias("y")))).alias("pair"))
+def _tested(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, label, head, blocks) of rows head, blocks, x, y, node, known, text: exact components inside each (head, x, y)."""
 
     def run(key, table):
         import pyarrow as pa
 
-        seen: dict[int, np.ndarray] = {}
-        for lo in range(0, table.num_rows, 200):
-            part = table.slice(lo, 200)
-            for node, grams in zip(part["wanted"].to_pylist(), gram_sets([t or "" for t in part["text"].to_pylist()], n), strict=True):
-                if node not in seen and node_of(grams) == node:  # rows that share an id may hold other texts
-                    seen[node] = grams
+        seen: dict[int, tuple] = {}
+        table = table.combine_chunks()
+        texts = table["text"].combine_chunks() if table["text"].num_chunks != 1 else table["text"].chunk(0)
+        nodes, known = table["node"].to_pylist(), table["known"].to_pylist()
+        for lo, hi in byte_slices(texts):
+            for i, grams in enumerate(gram_sets(texts.slice(lo, hi - lo), n), lo):
+                if nodes[i] not in seen and node_of(grams) == nodes[i]:
+                    seen[nodes[i]] = grams, known[i]
         ids = np.fromiter(seen, np.int64, len(seen))
-        label = ids[linked(list(seen.values()), percent)] if len(ids) else ids
-        return pa.table({"node": ids, "label": label, "blocks": pa.array([key[1].as_py()] * len(ids), pa.int32())})
+        label = ids[linked([g for g, _ in seen.values()], percent, np.array([k for _, k in seen.values()], np.int64))] if len(ids) else ids
+        return pa.table({"node": ids, "label": label, "head": pa.array([key[0].as_py()] * len(ids), pa.int64()), "blocks": pa.array([key[1].as_py()] * len(ids), pa.int32())})
 
-    tested = cut_lineage(texts.select("head", "blocks", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), "wanted", "text").groupBy("head", "blocks", "x", "y").applyInArrow(run, "node long, label long, blocks int"))
-    one = tested.filter("blocks = 1").select("node", "label")
-    more = tested.filter("blocks > 1")
-    if not more.limit(1).count():
-        return one
-    return one.unionAll(components(more.select(F.col("node").alias("a"), F.col("label").alias("b"))).toDF("node", "label"))
+    return texts.select("head", "blocks", "x", "y", "node", "known", "text").groupBy("head", "blocks", "x", "y").applyInArrow(run, "node long, label long, head long, blocks int")
 
 
-def join_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: sets link when 100 * shared >= percent * united.
+def _some(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
 
-    Null, empty and white texts have no n-grams and stand alone (their own id, null for a null id); equal sets are linked; a
-    component's id is its least non-null doc_id; repeated rows are in one component; other columns are ignored; an empty table gives no rows.
+
+def verified(docs: DataFrame, nodes: DataFrame, heads: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, label): exact components among the candidates.  docs: doc_id, key, text; nodes: node, size, first (a document's doc_id
+    and key); heads: node, head.
+
+    A group too large for one task is cut into blocks.  Each is tested by itself; then one member of each cluster found, against each
+    other; then, for the links still possible, all that is outside the group's largest cluster against every block.  So a group of
+    near copies costs its size, and only the number of *different* texts that look alike costs more.
     """
+    members = cut_lineage(heads.join(nodes, "node"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("size") / BLOCK_GRAMS)).cast("int")
+    sized = members.groupBy("head").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("head", "blocks")
+    wanted = cut_lineage(members.join(sized, "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", "size", "head", "blocks", "own", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key")))
+    at = wanted.select("node", "doc_id", "key")
+    at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
+    texts = docs.alias("d").join(at.alias("w"), (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("node", "text").dropDuplicates(["node"])
+    texts = cut_lineage(texts)
+    inside = cut_lineage(_tested(texts.join(wanted, "node").select("*", F.col("own").alias("x"), F.col("own").alias("y"), F.col("node").alias("known")), n, percent))
+    one = inside.filter("blocks = 1").select("node", "label")
+    large = inside.filter("blocks > 1")
+    if not _some(large):
+        return one
+    heads_of = F.broadcast(wanted.filter("blocks > 1").select("head").distinct()) if wanted.filter("blocks > 1").select("head").distinct().count() <= BROADCAST_ROWS else wanted.filter("blocks > 1").select("head").distinct()
+    held = cut_lineage(texts.join(wanted, "node").join(heads_of, "head"))
+
+    def united(clusters: DataFrame, found: DataFrame) -> DataFrame:
+        """clusters (node, label, head) with the labels that found (label, label) links unite."""
+        named = components(found.toDF("a", "b")).toDF("label", "united")
+        return cut_lineage(clusters.join(named, "label", "left").select("node", F.coalesce("united", "label").alias("label"), "head"))
+
+    # one member of each cluster
+    some = large.filter("node = label").select("node", "head")
+    dealt = some.join(some.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("n")), "head").withColumn("x", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int"))
+    first = _tested(held.join(dealt.select("node", "x"), "node").select("*", F.col("x").alias("y"), F.col("node").alias("known")), n, percent)
+    clusters = united(large.select("node", "label", "head"), first.select(F.col("node"), "label"))
+    # what is outside the largest cluster, against all
+    largest = clusters.groupBy("head", "label").count().groupBy("head").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    rest = cut_lineage(clusters.join(largest, "head").filter("label <> largest").select("node", "head"))
+    if _some(rest):
+        split = rest.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("n"))
+        rows = held.join(clusters.select("node", F.col("label").alias("known")), "node").join(split, "head")
+        every = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("x", F.col("own"))
+        apart = rows.join(rest.select("node"), "node", "left_semi").withColumn("y", F.pmod(F.xxhash64("node", F.lit(2)), F.col("n")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        found = _tested(every.unionByName(apart), n, percent).select("node", F.col("label").alias("met"))
+        of = clusters.select(F.col("node").alias("met"), F.col("label").alias("other"))
+        clusters = united(clusters, found.filter("node <> met").join(clusters, "node").join(of, "met").filter("label <> other").select("label", "other").distinct())
+    return one.unionAll(clusters.select("node", "label"))
+
+
+def _rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key (hash of the text), size, node, least (doc_id and key of the component's first row) of every row."""
     spark = docs.sparkSession
     prepare(spark)
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = cut_lineage(sets_and_sketch(kept, n))
-    rows = made.filter("counts is null").select("doc_id", "size", "node", "buckets")
-    counts = merged_sketch(made)
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = cut_lineage(sets_of(kept, n))
     sizes = {r[0]: r[1] for r in rows.filter(F.col("size").between(1, LIGHT_SIZES)).groupBy("size").count().collect()}  # at most LIGHT_SIZES rows
-    total = max(1, int(counts.sum()))
-    typical = max(1.0, float((counts.astype(float) ** 2).sum() / total - total / len(counts)))
-    rank = np.searchsorted(levels := np.unique(counts), counts)
-    rank = (rank * 65535 // max(1, len(levels) - 1)).astype(np.uint16)
-    plan = Plan(n, percent, boundary_by_cost(sizes, typical, percent), rank)
-    nodes = cut_lineage(rows.filter("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("buckets").alias("buckets"), F.min("doc_id").alias("first")))
-    found = cut_lineage(candidate_links(kept, plan))
-    links = found.filter("star").select("a", "b").unionAll(possible(found.filter("not star").select("a", "b"), nodes, percent))
-    labels = verified(kept, nodes, components(links), n, percent)
+    plan = Plan(n, percent, boundary_by_cost(sizes, 1.0, percent))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    nodes = cut_lineage(rows.filter("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.min(order).alias("first")))
+    labels = verified(kept, nodes, components(candidate_links(kept, plan)), n, percent)
     named = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_node = named.join(least, "label").select("node", "component_id")
-    return rows.join(of_node, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = named.groupBy("label").agg(F.min("first").alias("least"))
+    return rows.join(named.join(least, "label").select("node", "least"), "node", "left").select("doc_id", "key", "size", "node", "least")
+
+
+def join_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: sets link when 100 * shared >= percent * united (percent of 50 or more).
+
+    Null, empty and white texts have no n-grams and stand alone (their own id, null for a null id); equal sets are linked; a
+    component's id is its least non-null doc_id; repeated rows are in one component; texts of any length are read whole; other
+    columns are ignored; an empty table gives no rows.
+    """
+    rows = _rows(docs, n, percent, id_col, text_col)
+    return rows.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """documents, of each component only the row of the least id; of rows that repeat an id the first text in order.
+    """documents, of each component only the row of the least id (for an id with several texts, the one of the least text hash).
 
-    Rows with a null id can't be told apart and all stay.  The texts are not shuffled while the ids to drop fit a broadcast.
+    Null, empty and white texts have no n-grams and all stay, but for repeated rows; of rows that repeat both id and text the first in
+    order of the other columns stays.  Rows with a null id can't be told apart and all stay.  An empty table stays empty.  Names of
+    other columns don't matter but for those that begin with two underscores.  The texts are not shuffled while the rows to drop fit a
+    broadcast of checked size.
     """
-    found = cut_lineage(join_components(docs, n, percent).filter("doc_id is not null"))
+    found = cut_lineage(_rows(docs, n, percent, "doc_id", "text").filter("doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "least"))
 
     def bounded(ids: DataFrame) -> DataFrame:
         ids = cut_lineage(ids)
         return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
-    others = bounded(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if not again.limit(1).count():
-        return kept
+    keyed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__key"))
+    others = bounded(found.filter("__id <> least.doc_id or __key <> least.key").select("__id", "__key").distinct())
+    kept = keyed.join(others, same, "left_anti")
+    again = found.groupBy("__id", "__key").count().filter("count > 1").select("__id", "__key")
+    if not _some(again):
+        return kept.select(*docs.columns)
     again = bounded(again)
-    first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    repeated = kept.join(again, "doc_id").withColumn("__place", F.row_number().over(first)).filter("__place = 1").select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(repeated)
+    first = Window.partitionBy("doc_id", "__hash").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    repeated = kept.join(again, same, "left_semi").withColumn("__place", F.row_number().over(first)).filter("__place = 1").select(*docs.columns)
+    return kept.join(again, same, "left_anti").select(*docs.columns).unionAll(repeated)

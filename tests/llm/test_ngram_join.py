@@ -56,10 +56,8 @@ def corpus(seed):
 @pytest.mark.parametrize("n,percent,block", [(3, 90, 1500), (5, 80, 7)])
 def test_components_by_all_pairs(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK_NODES", block)
-    if block < 100:  # all lists as stars
-        monkeypatch.setattr(ngram_join.fold, "__defaults__", (0,))
-        monkeypatch.setattr(ngram_join.scan_lists, "__defaults__", (1,))
     if block < 100:
+        monkeypatch.setattr(ngram_join.fold, "__defaults__", (0,))
         monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     rows = corpus(n)
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, size int, node int").repartition(3)
@@ -84,14 +82,7 @@ def test_light_subsets_and_boundary():
     assert ngram_join.boundary_by_cost(sizes, 1.0, 90) < ngram_join.boundary_by_cost(sizes, 50.0, 90)
 
 
-@pytest.mark.parametrize("keep,most", [(4, 16), (0, 1), (2, 400)])
-def test_lists_keep_every_possible_link(keep, most):
-    rng = np.random.default_rng(4)
-    p = np.zeros(400, ngram_join.POSTING)
-    p["sig"], p["node"], p["many"] = rng.integers(0, 20, 400), np.arange(400), 1
-    p["low"] = p["high"] = rng.integers(5, 400, 400)
-    halves = [ngram_join.fold(x, 80, keep) for x in (p[:150], p[150:])]
-    pairs, last = ngram_join.scan_lists(np.concatenate([h[0] for h in halves]), 80, most)
+def joined(links):
     head = list(range(400))
 
     def find(i):
@@ -99,11 +90,61 @@ def test_lists_keep_every_possible_link(keep, most):
             i = head[i]
         return i
 
-    for a, b in np.concatenate([last, *(h[1] for h in halves)]).tolist():
+    for a, b in links:
         head[find(a)] = find(b)
-    direct = set(map(tuple, pairs.tolist()))
+    return [find(i) for i in range(400)]
+
+
+@pytest.mark.parametrize("keep,step", [(4, 16), (0, 1), (2, 400)])
+def test_lists_keep_every_possible_link(keep, step):
+    rng = np.random.default_rng(4)
+    p = np.zeros(400, ngram_join.POSTING)
+    p["sig"], p["node"] = rng.integers(0, 20, 400), np.arange(400)
+    p["low"] = p["high"] = rng.integers(5, 400, 400)
+    halves = [ngram_join.fold(x, 80, keep) for x in (p[:150], p[150:])]
+    sent = np.sort(np.concatenate([h[0] for h in halves]), order=("sig", "low"))
+    links = [*ngram_join.scan((sent[i : i + step] for i in range(0, len(sent), step)), 80), *(h[1] for h in halves)]
+    assert sum(map(len, links)) <= 2 * len(p)
+    label = joined(np.concatenate(links).tolist())
     for i in range(400):
         for j in range(i):
             a, b = sorted((int(p["low"][i]), int(p["low"][j])))
-            if p["sig"][i] == p["sig"][j] and 100 * a >= 80 * b:
-                assert (j, i) in direct or find(i) == find(j)
+            assert p["sig"][i] != p["sig"][j] or 100 * a < 80 * b or label[i] == label[j]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_posted_block(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(400):
+        size = int(rng.integers(1, 600))
+        apart = ngram_join.most_apart(2 * size, percent)
+        a = rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2)
+        new = rng.integers(0, 1 << 63, int(rng.integers(0, apart + 1))).astype(np.uint64)
+        b = np.unique(np.concatenate([a[int(rng.integers(0, max(1, apart - len(new) + 1))) :], new]))
+        a = np.unique(a)
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared >= percent * (len(a) + len(b) - shared):
+            assert set(ngram_join.block_signatures(a, percent).tolist()) & set(ngram_join.block_signatures(b, percent).tolist())
+
+
+def test_an_id_with_several_texts_loses_only_copies(spark):
+    copy, own = fixture.text(1, 60), fixture.text(2, 60)
+    rows = [(1, copy), (2, copy), (2, own), (3, own), (None, own), (4, ""), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, copy), (2, own), (None, own), (4, ""), (5, None)], key=str)
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 8)
+    r, base = random.Random(3), [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(r.randrange(3)):
+            words[r.randrange(120)] = f"x{r.randrange(999)}"
+        for _ in range(7 if i % 9 == 0 else 0):
+            words[r.randrange(120)] = f"far{r.randrange(999)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join.join_components(docs, 3, 90).collect()), key=str) == naive(rows, 3, 90)
