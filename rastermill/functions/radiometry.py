@@ -155,19 +155,34 @@ def illumination(slope, aspect, sza, saa) -> Column:
     return _cos(slope) * _cos(sza) + F.coalesce(_sin(slope) * _sin(sza) * F.cos(F.radians(col(saa) - col(aspect))), F.lit(0.0))
 
 
-def theil_sen(df: DataFrame, x: str, y: str, pairs: int = 20_000, seed: int = 1) -> DataFrame:
-    """One row m, b: median slope over pairs of rows, and median residual.  Rows meet by rank of two hashes, pairs at most."""
-    ranked = [df.filter(all_present(x, y)).select(F.col(x).alias(f"x{k}"), F.col(y).alias(f"y{k}")).orderBy(F.xxhash64(F.lit(seed + k), f"x{k}", f"y{k}")).limit(pairs).withColumn("at", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + k), f"x{k}", f"y{k}")))) for k in (0, 1)]
-    slopes = ranked[0].join(ranked[1], "at").filter("x0 <> x1").agg(F.median((F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))).alias("m"))
-    return ranked[0].crossJoin(F.broadcast(slopes)).groupBy("m").agg(F.median(F.col("y0") - F.col("m") * F.col("x0")).alias("b"))
-
-
-def norm_topo(df: DataFrame, bands: list[str], method: str = "empirical-rotation", slope="slope", aspect="aspect", sza="sza", saa="saa", slope_thresh: float = 2, min_samples: int = 100, keys: tuple[str, ...] = ()) -> DataFrame:
-    """empirical-rotation, c or cos.  The regressions of all bands are one aggregate (per keys, such as time), joined back as one small table."""
+def theil_sen(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = (), seed: int = 1) -> DataFrame:
+    """keys, m, b: Theil's incomplete fit over all rows: each row of the lower half by x meets one of the upper half, by rank of a hash
+    in buckets; m is the median slope of these pairs, b the median residual (both to 1 in 10,000 of rank).  No row is left out but
+    for the few that a bucket has more of on one side."""
+    rows = df.filter(all_present(x, y)).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
+    middle = rows.groupBy(*keys).agg(F.percentile_approx("x", 0.5, 10_000).alias("middle"), F.ceil(F.count(F.lit(1)) / 50_000).alias("n"))
+    sided = (rows.join(F.broadcast(middle), list(keys)) if keys else rows.crossJoin(F.broadcast(middle))).withColumn("upper", F.col("x") > F.col("middle"))
+    h = F.xxhash64(F.lit(seed), "x", "y")
+    dealt = sided.withColumn("at", F.pmod(h, F.col("n"))).withColumn("place", F.row_number().over(Window.partitionBy(*keys, "upper", "at").orderBy(h, "x", "y")))
+    low, high = dealt.filter("not upper").select(*keys, "at", "place", "x", "y"), dealt.filter("upper").select(*keys, "at", "place", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    slope = (F.col("y1") - F.col("y")) / (F.col("x1") - F.col("x"))
+    slopes = low.join(high, [*keys, "at", "place"]).groupBy(*keys).agg(F.percentile_approx(slope, 0.5, 10_000).alias("m"))
+    held = rows.join(F.broadcast(slopes), list(keys)) if keys else rows.crossJoin(F.broadcast(slopes))
+    return held.groupBy(*keys, "m").agg(F.percentile_approx(F.col("y") - F.col("m") * F.col("x"), 0.5, 10_000).alias("b"))
+
+
+def norm_topo(df: DataFrame, bands: list[str], method: str = "empirical-rotation", slope="slope", aspect="aspect", sza="sza", saa="saa", slope_thresh: float = 2, min_samples: int = 100, keys: tuple[str, ...] = (), robust: bool = False) -> DataFrame:
+    """empirical-rotation, c or cos.  The regressions of all bands are one aggregate (per keys, such as time), joined back as one small
+    table; robust fits them by theil_sen instead, band by band."""
     held = df.withColumns({"__il": illumination(slope, aspect, sza, saa), "__cz": _cos(sza)})
     steep = (col(slope) >= slope_thresh) & all_present(*bands)
     aggs = [f(F.when(steep, col(b)), F.when(steep, F.col("__il"))).alias(f"__{n}_{b}") for b in bands for n, f in (("m", F.regr_slope), ("b", F.regr_intercept))]
     fit = held.groupBy(*keys).agg(F.count(F.when(steep, 1)).alias("__n"), *aggs)
+    if robust:
+        for b in bands:
+            line = theil_sen(held.filter(steep), "__il", b, keys).select(*keys, F.col("m").alias(f"__m_{b}"), F.col("b").alias(f"__b_{b}"))
+            fit = fit.drop(f"__m_{b}", f"__b_{b}")
+            fit = fit.join(line, list(keys), "left") if keys else fit.crossJoin(line)
     held = held.join(fit, list(keys)) if keys else held.crossJoin(F.broadcast(fit))
 
     def one(b):

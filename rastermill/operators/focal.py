@@ -78,30 +78,46 @@ def _gathered(df, band, nrows, ncols, stat, half, perc, weights, keys):
     placed = df.withColumn("__r", F.explode(_places("row", nrows, half))).withColumn("__c", F.explode(_places("col", ncols, half)))
     step = [F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(1.0 - math.hypot(dr, dc) / corner if weights and corner else 1.0).alias("w")) for dr in range(-half, half + 1) for dc in range(-half, half + 1)]
     near = placed.select(*[k for k in keys if k == "time"], "__r", "__c", col(band).cast("double").alias("v"), F.inline(F.array(*step)))
-    target = near.select(*[k for k in keys if k == "time"], (F.col("__r") + F.col("dr")).alias("row"), (F.col("__c") + F.col("dc")).alias("col"), "v", "w").filter(F.col("row").between(0, nrows - 1) & F.col("col").between(0, ncols - 1))
+    target = near.select(*[k for k in keys if k == "time"], (F.col("__r") + F.col("dr")).alias("row"), (F.col("__c") + F.col("dc")).alias("col"), "v", "w", "dr", "dc").filter(F.col("row").between(0, nrows - 1) & F.col("col").between(0, ncols - 1))
     kept = F.when(F.col("v").isNotNull(), F.col("w"))
+    mean = F.try_divide(F.sum(F.col("v") * kept), F.sum(kept))
     if stat == "perc":
         # lower nearest rank of what is not missing
         held = F.array_sort(F.collect_list(F.when(F.col("w") > 0, F.col("v")) if weights else F.col("v")))
         value = F.get(held, F.greatest(F.floor(F.size(held) * perc / 100).cast("int") - 1, F.lit(0)))
+    elif stat in ("var", "std"):
+        # weighted values around the weighted mean, over the sum of weights
+        found = target.groupBy(*keys).agg(mean.alias("m"), F.sum(kept).alias("w"), F.collect_list(F.col("v") * kept).alias("held"))
+        apart = F.try_divide(F.aggregate("held", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))), F.col("w"))
+        return found.select(*keys, (F.sqrt(apart) if stat == "std" else apart).alias(band))
+    elif stat == "expand":
+        here = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col("v")))
+        value = F.when((here == 0) & F.coalesce(F.bool_or((F.col("w") > 0) & (F.col("v") == 1)), F.lit(False)), 1.0).otherwise(here)
     else:
-        mean = F.try_divide(F.sum(F.col("v") * kept), F.sum(kept))
         value = {"mean": mean, "min": F.min(F.when(F.col("w") >= 0.33, F.col("v"))), "max": F.max(F.col("v") * F.col("w"))}[stat]
     return target.groupBy(*keys).agg(value.alias(band))
 
 
-def slope_aspect(df: DataFrame, elev: str, nrows: int, ncols: int, cellx: float, celly: float) -> DataFrame:
-    """Zevenbergen-Thorne slope and aspect in degrees (aspect clockwise from north, NULL where flat), edges reflected."""
+def _beside(df: DataFrame, axis: str, n: int, keys: list[str], names: tuple[str, str], tile: int) -> DataFrame:
+    """Adds the values v of the cells before and behind on an axis (a cell beyond the edge repeats the edge; NULL where absent)."""
+    at = df.withColumn("__at", F.explode(_places(axis, n, 1)))
+    low, high = F.greatest(F.lit(0), F.floor((F.col("__at") - 1) / tile)), F.least(F.lit((n - 1) // tile), F.floor((F.col("__at") + 1) / tile))
+    w = Window.partitionBy(*[k for k in keys if k != axis], "__tile").orderBy("__at")
+    dealt = at.withColumn("__tile", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    found = dealt.withColumns({names[0]: F.max("v").over(w.rangeBetween(-1, -1)), names[1]: F.max("v").over(w.rangeBetween(1, 1))})
+    return found.filter((F.col("__at") == F.col(axis)) & (F.floor(F.col("__at") / tile) == F.col("__tile"))).drop("__at", "__tile")
+
+
+def slope_aspect(df: DataFrame, elev: str, nrows: int, ncols: int, cellx: float, celly: float, tile: int = TILE) -> DataFrame:
+    """Adds Zevenbergen-Thorne slope and aspect in degrees (aspect clockwise from north, NULL where flat), edges repeated.
+
+    A neighbour that is absent or NULL inside the image makes both NULL; so does a NULL cell.  Rows and columns are read in tiles.
+    """
     keys = [k for k in ("time", "row", "col") if k in df.columns]
-    e = F.col(elev)
-
-    def neighbours(axis: str, n: int) -> tuple[Column, Column]:
-        w = Window.partitionBy(*[k for k in keys if k != axis]).orderBy(axis)
-        return F.coalesce(F.lag(e).over(w), e), F.coalesce(F.lead(e).over(w), e)
-
-    west, east = neighbours("col", ncols)
-    north, south = neighbours("row", nrows)
-    got = df.withColumns({"__dx": (east - west) / (2 * cellx), "__dy": (north - south) / (2 * celly)})
-    dx, dy = F.col("__dx"), F.col("__dy")
-    aspect = F.when((dx == 0) & (dy == 0), F.lit(None)).otherwise(F.pmod(F.degrees(F.atan2(-dx, -dy)) + 360.0, F.lit(360.0)))
-    return got.withColumns({"slope": F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))), "aspect": aspect}).drop("__dx", "__dy")
+    cells = df.select(*keys, col(elev).cast("double").alias("v"))
+    held = _beside(_beside(cells, "col", ncols, keys, ("__w", "__e"), tile), "row", nrows, keys, ("__n", "__s"), tile)
+    held = held.withColumns({"__dx": (F.col("__e") - F.col("__w")) / (2 * cellx), "__dy": (F.col("__n") - F.col("__s")) / (2 * celly)})
+    dx, dy, there = F.col("__dx"), F.col("__dy"), F.col("v").isNotNull()
+    aspect = F.when(there & ~((dx == 0) & (dy == 0)), F.pmod(F.degrees(F.atan2(-dx, -dy)) + 360.0, F.lit(360.0)))
+    slope = F.when(there, F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))))
+    return df.drop("slope", "aspect").join(held.select(*keys, slope.alias("slope"), aspect.alias("aspect")), keys)

@@ -47,15 +47,28 @@ def stratified_sample(df: DataFrame, band: str, strata: dict[str, float], seed:
     for s in reversed(names):
         label = F.when(stratum(band, s), F.lit(s)).otherwise(label)
     marked = df.withColumn("stratum", label).filter("stratum is not null")
-    w = Window.partitionBy("stratum")
-    # candidates are thinned by hash ranges first, so the rank sorts no more than a small multiple of what is wanted
-    ranked = marked.withColumn("__rank", F.row_number().over(w.orderBy(_draw(seed), "row", "col")))
-    if any(0 < v < 1 for v in strata.values()):
-        ranked = ranked.withColumn("__size", F.count(F.lit(1)).over(w))
-    keep = F.lit(False)
-    for s, v in strata.items():
-        keep = F.when(F.col("stratum") == s, F.col("__rank") <= (F.round(F.col("__size") * v) if 0 < v < 1 else F.lit(int(v)))).otherwise(keep)
-    return ranked.filter(keep).drop("__rank", "__size")
+    # exact sizes first (a row a stratum); then a bound on the draw lets about twice the wanted rows pass to the rank within a stratum
+    sizes = {r[0]: r[1] for r in marked.groupBy("stratum").count().collect()}
+    wanted = {s: min(n, round(n * strata[s]) if 0 < strata[s] < 1 else int(strata[s])) for s, n in sizes.items()}
+    span, wide = 1 << 40, 2.0
+    draw = F.pmod(_draw(seed), F.lit(span))
+    pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("stratum"))
+    while wanted:
+        bound = {s: int(min(span, span * (wide * (k + 64) / sizes[s]))) for s, k in wanted.items()}
+        passed = marked.filter(draw < pick(bound))
+        short = [r[0] for r in passed.groupBy("stratum").count().collect() if r[1] < wanted[r[0]]] or set(k for k, v in wanted.items() if v) - {r[0] for r in passed.select("stratum").distinct().collect()}
+        if not short:
+            break
+        wide *= 8
+    if not wanted:
+        return marked
+    # a stratum taken by half or more would still be one task: it is dealt by ranges of the draw, whose counts say where ranks begin
+    ranges = 1 << 10
+    part = F.floor(draw / (span // ranges)).cast("int")
+    counts = passed.groupBy("stratum", part.alias("__part")).count().withColumn("__ahead", F.sum("count").over(Window.partitionBy("stratum").orderBy("__part")) - F.col("count"))
+    inside = Window.partitionBy("stratum", "__part").orderBy(draw, "row", "col")
+    ranked = passed.withColumn("__part", part).withColumn("__rank", F.row_number().over(inside)).join(F.broadcast(counts.drop("count")), ["stratum", "__part"])  # at most 1024 rows a stratum
+    return ranked.filter(F.col("__rank") + F.col("__ahead") <= pick(wanted)).select("stratum", *df.columns)
 
 
 def spaced_sample(df: DataFrame, grid: GridMeta, n: int, min_dist: float, seed: int = 1, attempts: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import col
 from ..grid import Bounds, GridMeta, col_of, row_of, x_of, y_of
+from .shared import components
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -56,14 +57,24 @@ def _box(ring: Column) -> list[Column]:
     return [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]
 
 
-def cells_of(shapes: DataFrame, grid: GridMeta, all_touched: bool = False) -> DataFrame:
-    """id, value, row, col of the grid's cells in each polygon (centre inside; or touched at all), cell by cell of its box."""
+def _tiles(shapes: DataFrame, grid: GridMeta, tile: int) -> DataFrame:
+    """The polygons that meet the grid, once for each tile that their box meets: __trow, __tcol."""
     left, bottom, right, top = _box(F.col("ring"))
-    rows = F.sequence(F.greatest(F.lit(0), row_of(grid, top)), F.least(F.lit(grid.nrows - 1), row_of(grid, bottom)))
-    cols = F.sequence(F.greatest(F.lit(0), col_of(grid, left)), F.least(F.lit(grid.ncols - 1), col_of(grid, right)))
+    span = lambda a, b, n: F.sequence(F.greatest(F.lit(0), F.floor(a / tile).cast("int")), F.least(F.lit((n - 1) // tile), F.floor(b / tile).cast("int")))
     meets = (top > grid.bounds.bottom) & (bottom < grid.bounds.top) & (right > grid.bounds.left) & (left < grid.bounds.right)
-    cells = shapes.filter(meets).withColumn("row", F.explode(rows)).withColumn("col", F.explode(cols))
-    return cells.filter(_covers(grid, all_touched)).drop("ring")
+    return shapes.filter(meets).withColumn("__trow", F.explode(span(row_of(grid, top), row_of(grid, bottom), grid.nrows))).withColumn("__tcol", F.explode(span(col_of(grid, left), col_of(grid, right), grid.ncols)))
+
+
+def cells_of(shapes: DataFrame, grid: GridMeta, all_touched: bool = False, tile: int = 64) -> DataFrame:
+    """id, value, row, col of the grid's cells in each polygon (centre inside; or touched at all).
+
+    The tiles that a polygon's box meets are dealt over the tasks before their cells are listed, so a large polygon isn't one task.
+    """
+    left, bottom, right, top = _box(F.col("ring"))
+    within = lambda t, n, a, b: F.sequence(F.greatest(F.col(t) * tile, a), F.least(F.col(t) * tile + (tile - 1), F.lit(n - 1), b))
+    dealt = _tiles(shapes, grid, tile).repartition("__trow", "__tcol")
+    cells = dealt.withColumn("row", F.explode(within("__trow", grid.nrows, row_of(grid, top), row_of(grid, bottom)))).withColumn("col", F.explode(within("__tcol", grid.ncols, col_of(grid, left), col_of(grid, right))))
+    return cells.filter(_covers(grid, all_touched)).drop("ring", "__trow", "__tcol")
 
 
 def _covers(grid: GridMeta, all_touched: bool) -> Column:
@@ -76,10 +87,7 @@ def _covers(grid: GridMeta, all_touched: bool) -> Column:
 
 def covered(pixels: DataFrame, shapes: DataFrame, grid: GridMeta, all_touched: bool = False, tile: int = 64) -> DataFrame:
     """Pixels joined to the polygons that cover them: an equi-join on tile keys, then the exact test."""
-    left, bottom, right, top = _box(F.col("ring"))
-    span = lambda a, b, n: F.sequence(F.greatest(F.lit(0), F.floor(a / tile).cast("int")), F.least(F.lit((n - 1) // tile), F.floor(b / tile).cast("int")))
-    meets = (top > grid.bounds.bottom) & (bottom < grid.bounds.top) & (right > grid.bounds.left) & (left < grid.bounds.right)
-    dealt = shapes.filter(meets).withColumn("__trow", F.explode(span(row_of(grid, top), row_of(grid, bottom), grid.nrows))).withColumn("__tcol", F.explode(span(col_of(grid, left), col_of(grid, right), grid.ncols)))
+    dealt = _tiles(shapes, grid, tile)
     keyed = pixels.withColumns({"__trow": F.floor(F.col("row") / tile).cast("int"), "__tcol": F.floor(F.col("col") / tile).cast("int")})
     return keyed.join(dealt, ["__trow", "__tcol"]).filter(_covers(grid, all_touched)).drop("__trow", "__tcol", "ring")
 
@@ -169,29 +177,52 @@ def remove_near_points(points: DataFrame, radius: float) -> DataFrame:
     return points.join(near, "id", "left_anti")
 
 
-def regions(pixels: DataFrame, band: str, connectivity: int = 4) -> DataFrame:
-    """row, col, value, region: connected cells of equal value share the least cell number of theirs.
+def regions(pixels: DataFrame, band: str, connectivity: int = 4, tile: int = 256) -> DataFrame:
+    """row, col, value, region: connected cells of equal value share the least cell number of theirs.  NULL cells have no row.
 
-    Least labels spread to neighbours and jump along labels, with a checkpoint each round, until nothing changes.
+    Each tile is labelled by itself (a task holds tile x tile cells); only the labels that meet across tiles are joined as a graph, in
+    rounds that are written and read again.
     """
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     cells = pixels.filter(F.col(band).isNotNull()).select("row", "col", F.col(band).alias("value"))
-    number = F.shiftleft(F.col("row").cast("long"), 31) + F.col("col")
-    cells = cells.withColumn("cell", number)
+    kind = cells.schema["value"].dataType.simpleString()
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
+
+    def label(key, rows):
+        import numpy as np
+        import pandas as pd
+
+        r, c = rows["row"].to_numpy(np.int64), rows["col"].to_numpy(np.int64)
+        number = (r << 31) + c
+        code = pd.factorize(rows["value"], use_na_sentinel=False)[0]
+        box = np.full((tile + 1, tile + 2), -1)
+        box[r % tile, c % tile + 1] = np.arange(len(rows))
+        pairs = []
+        for dr, dc in steps:
+            a, b = box[:tile, 1:-1], box[dr : dr + tile, 1 + dc : 1 + dc + tile]
+            near = (a >= 0) & (b >= 0)
+            a, b = a[near], b[near]
+            pairs.append(np.stack([a, b])[:, code[a] == code[b]])
+        a, b = np.concatenate(pairs, 1)
+        order = np.argsort(number)  # the place in this order stands for the cell, so that least places are least numbers
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.arange(len(rows))
+        head, a, b = np.arange(len(rows)), place[a], place[b]
+        while (head[a] != head[b]).any():
+            x, y = head[a], head[b]
+            np.minimum.at(head, np.maximum(x, y), np.minimum(x, y))
+            while (head != head[head]).any():
+                head = head[head]
+        return rows[["row", "col", "value"]].assign(region=number[order][head[place]])
+
+    dealt = cells.groupBy(F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc"))
+    marked = _held(dealt.applyInPandas(label, f"row int, col int, value {kind}, region long"))
+    last = lambda c: F.pmod(F.col(c), F.lit(tile)) == tile - 1
     near = F.inline(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in steps]))
-    moved = cells.select(F.col("cell").alias("a"), "row", "col", "value", near).select("a", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "value")
-    pairs = moved.join(cells.withColumnRenamed("cell", "b"), ["row", "col", "value"]).select("a", "b")
-    edges = _held(pairs.unionAll(pairs.select(F.col("b"), F.col("a")).toDF("a", "b")))
-    labels = _held(cells.select("cell", F.col("cell").alias("label")))
-    while True:
-        spread = edges.join(labels, edges.b == labels.cell).groupBy("a").agg(F.min("label").alias("m"))
-        least = labels.join(spread, labels.cell == spread.a, "left").select("cell", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
-        jump = least.select(F.col("cell").alias("k"), F.col("label").alias("further"))
-        new = _held(least.join(jump, least.label == jump.k, "left").select("cell", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
-        changed = new.filter("label <> old").limit(1).count()
-        labels = new.select("cell", "label")
-        if not changed:
-            return cells.join(labels, "cell").select("row", "col", "value", F.col("label").alias("region"))
+    rim = marked.filter(last("row") | last("col") | (F.pmod(F.col("col"), F.lit(tile)) == 0)).select(F.col("region").alias("a"), "row", "col", "value", near)
+    moved = rim.select("a", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "value")
+    links = moved.join(marked.withColumnRenamed("region", "b"), ["row", "col", "value"]).filter("a <> b").select("a", "b").distinct()
+    heads = components(links)
+    return marked.join(heads, marked.region == heads.node, "left").select("row", "col", "value", F.coalesce("head", "region").alias("region"))
 
 
 def _held(df: DataFrame) -> DataFrame:
