@@ -20,13 +20,13 @@ from .tokens import text_slices
 
 #: The training sample's bounds: documents in all, and code points of a document (longer ones are not sampled).
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 20_000
-#: Languages that can be told apart; rarer ones beyond are not learned.
-MOST_LANGUAGES = 64
+#: More languages than this are refused (the field has FEATURES weights for each).
+MOST_LANGUAGES = 512
 #: Spliced training sequences and their length in words.
 SEQUENCES, SEQUENCE_WORDS = 4000, 40
 FEATURES = 1 << 17
-#: Words whose scores a Python worker remembers.
-CACHE_WORDS = 400_000
+#: Bytes (about) of words and scores that a task remembers.
+CACHE_BYTES = 64 << 20
 #: Words of a text that are read one after another; such blocks of all texts are read side by side.
 BLOCK = 32
 
@@ -186,32 +186,37 @@ def train(sample: list[tuple[str, str]], rounds: int = 40, seed: int = 4, rate:
 
 
 class Reader:
-    """Scores words once and remembers them."""
+    """Scores the letters of words once and remembers them; one for each task."""
 
     def __init__(self, field: Field):
         self.field, self.move = field, np.exp(field.transitions)
-        self.number: dict[str, int] = {}
-        self.scores = np.empty((1024, len(field.labels)))
-        self.n = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}  # of words, -1 without a letter
+        self.of_core: dict[str, int] = {}
+        self.scores = np.empty((1024, len(self.field.labels)))
+        self.n = self.bytes = 0
 
     def _learn(self, words: list[str]) -> None:
         cores = list(map(core, words))
-        fit = [(w, c) for w, c in zip(words, cores, strict=True) if c]
-        got = self.field.word_scores([c for _, c in fit]).astype(float)
+        new = [c for c in dict.fromkeys(cores) if c and c not in self.of_core]
+        got = self.field.word_scores(new).astype(float)
         got = np.exp(np.maximum(got - got.max(1, keepdims=True), -60)) if len(got) else got
-        while self.n + len(fit) > len(self.scores):
-            self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
-        self.scores[self.n : self.n + len(fit)] = got
-        self.number.update((w, -1) for w, c in zip(words, cores, strict=True) if not c)
-        self.number.update((w, self.n + i) for i, (w, _) in enumerate(fit))
-        self.n += len(fit)
+        if self.n + len(new) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.empty((max(len(new), len(self.scores)), self.scores.shape[1]))])
+        self.scores[self.n : self.n + len(new)] = got
+        self.of_core.update(zip(new, range(self.n, self.n + len(new)), strict=True))
+        self.of_core[""] = -1
+        self.number.update(zip(words, map(self.of_core.__getitem__, cores), strict=True))
+        self.n += len(new)
+        self.bytes += sum(map(len, words)) + sum(map(len, new)) + 150 * (len(words) + len(new)) + 16 * got.size
 
     def marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(labelled words of each text, marginals of those words); words without a letter are passed over."""
         parts = [t.split() for t in texts]
-        if len(self.number) > CACHE_WORDS:
-            self.number.clear()
-            self.n = 0
+        if self.bytes > CACHE_BYTES:
+            self._forget()
         if missing := set(itertools.chain.from_iterable(parts)).difference(self.number):
             self._learn(list(missing))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -229,15 +234,17 @@ class Reader:
 
 def sample(docs: DataFrame, learn, sample_docs: int = SAMPLE_DOCS, id_col="doc_id", text_col="text", lang_col="lang") -> list[tuple[str, str]]:
     """(text, language) of rows for which the column learn holds and the language is known: of each language its first
-    sample_docs // languages usable rows by a hash of the id, or all if it has fewer, whatever the table's size and the
-    language's share.  Usable are texts with a letter and at most SAMPLE_CHARS code points.
+    sample_docs // languages usable rows (one at least) by a hash of the id, or all if it has fewer, whatever the table's
+    size and the language's share.  More than MOST_LANGUAGES languages are an error.  Usable are texts with a letter and at most SAMPLE_CHARS code points.
 
     A draw bound of each language lets about twice the wanted rows pass, so that few rows are ranked; a language that falls short
     (many rows of one id) is read again with a wider bound.
     """
     usable = (F.length(text_col) <= SAMPLE_CHARS) & F.regexp_like(F.col(text_col), F.lit(r"\p{L}"))
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & usable)
-    known = {k[0]: k[1] for k in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
+    known = {k[0]: k[1] for k in rows.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     each = max(1, sample_docs // max(1, len(known)))
     span, wide = 1 << 30, 2 * each + 64
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(span))
@@ -263,7 +270,7 @@ def predict(docs: DataFrame, field: Field, id_col="doc_id", text_col="text") ->
 
     A text that is null or has no letter is und with score 0; null ids and repeated rows are predicted like others; other columns
     are ignored; no rows, no result.  Texts are read whole and not shuffled.  The model has a fixed size bound (FEATURES x
-    MOST_LANGUAGES weights and a bounded lexicon) and travels with the tasks.
+    languages weights and a bounded lexicon) and travels with the tasks.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -288,7 +295,11 @@ def predict(docs: DataFrame, field: Field, id_col="doc_id", text_col="text") ->
 
 
 def keep_identified(docs: DataFrame, field: Field, least: float = 0.5) -> DataFrame:
-    """documents (all their columns) of a known language and at least this score; the text is read once, in place."""
+    """documents (all their columns) of a known language and at least this score; the text is read once, in place.
+
+    Null texts and texts without a letter go.  Where no language could be learned (no row with a language) all texts with a letter
+    stay.  Rows are judged one by one, so ids, repeated rows and names of other columns don't matter; an empty table stays empty.
+    """
     spark = docs.sparkSession
     prepare(spark)
     held, names = spark.sparkContext.broadcast(field), docs.columns
@@ -301,7 +312,10 @@ def keep_identified(docs: DataFrame, field: Field, least: float = 0.5) -> DataFr
         for batch in batches:
             keep = []
             for _, texts in text_slices(range(batch.num_rows), batch.column(names.index("text")).to_pylist()):
-                n, m = reader.marginals(texts) if model.labels else (np.zeros(len(texts), np.int64), np.zeros((0, 1)))
+                if not model.labels:
+                    keep += [any(map(str.isalpha, t)) for t in texts]
+                    continue
+                n, m = reader.marginals(texts)
                 doc = np.repeat(np.arange(len(texts)), n)
                 mass = np.stack([np.bincount(doc, m[:, y], len(texts)) for y in range(m.shape[1])], 1)
                 keep += ((n > 0) & (mass.max(1) >= least * n)).tolist()

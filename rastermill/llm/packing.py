@@ -79,34 +79,54 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, max_tokens
     return docs.mapInArrow(run, PIECES)
 
 
-def pack(pieces: DataFrame, n_rows: int, max_tokens: int = 4096, max_docs: int = 4096, max_attention: int | None = None, weights: tuple = (1.0, 0.05, 0.05), score: str = "norm") -> DataFrame:
+def assigned(size: np.ndarray, limits: tuple, weights: np.ndarray, score: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of pieces that come in decreasing length; limits: tokens, pieces, attention cost (sum of squared lengths).
+
+    A piece that alone is beyond the limit of attention stands alone.
+    """
+    demand = np.stack([size, np.ones_like(size), size**2], 1).astype(float)
+    alone = demand[:, 2] > limits[2]
+    bins = np.empty(len(size), np.int64)
+    bins[~alone] = best_fit(demand[~alone], np.array(limits, float), weights, score)
+    bins[alone] = (bins[~alone].max() + 1 if (~alone).any() else 0) + np.arange(alone.sum())
+    place = np.lexsort((np.arange(len(bins)), bins))
+    ahead = starts(size[place])
+    first = np.r_[True, np.diff(bins[place]) != 0] if len(bins) else np.zeros(0, bool)
+    offset = np.empty_like(size)
+    offset[place] = ahead - np.repeat(ahead[first], np.diff(np.r_[np.flatnonzero(first), len(bins)]))
+    return bins, offset
+
+
+def pack(pieces: DataFrame, n_rows: int, max_tokens: int = 4096, max_docs: int | None = None, max_attention: int | None = None, weights: tuple = (1.0, 0.05, 0.05), score: str = "norm", bounded: dict | None = None) -> DataFrame:
     """Adds sequence_id and offset to rows PIECES.
 
-    Resources of a sequence: tokens, pieces, and attention cost (sum of squared lengths; default: what one full sequence costs).
-    n_rows sets the number of groups that are packed apart, about GROUP_PIECES rows each, by a hash of the key; each leaves about
-    one bin part filled.  Null keys and repeated rows are packed like others.
+    Resources of a sequence: tokens, pieces, and attention cost (sum of squared lengths); the last two default to what one sequence of
+    max_tokens can hold at most, so that they don't bind.  n_rows sets the number of groups that are packed apart, about GROUP_PIECES
+    rows each, by a hash of the key; each leaves about one bin part filled.  bounded: max_docs and max_attention of a second packing
+    of the same pieces (bounded_sequence_id, bounded_offset).  Null keys and repeated rows are packed like others.
     """
     groups = max(1, round(n_rows / GROUP_PIECES))
-    capacity = np.array([max_tokens, max_docs, max_attention or max_tokens**2], float)
+    limits = [(max_tokens, max_docs or max_tokens, max_attention or max_tokens**2)]
+    names = ["sequence_id", "offset"]
+    if bounded:
+        limits.append((max_tokens, bounded["max_docs"], bounded["max_attention"]))
+        names += ["bounded_sequence_id", "bounded_offset"]
     w = np.array(weights, float)
 
     def run(key, rows):
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").drop(columns="bin_group")
         size = rows["length"].to_numpy(np.int64)
-        bins = best_fit(np.stack([size, np.ones_like(size), size**2], 1).astype(float), capacity, w, score)
-        place = np.lexsort((np.arange(len(bins)), bins))
-        ahead = np.cumsum(size[place]) - size[place]
-        first = np.r_[True, np.diff(bins[place]) != 0] if len(bins) else np.zeros(0, bool)
-        offset = np.empty_like(size)
-        offset[place] = ahead - np.repeat(ahead[first], np.diff(np.r_[np.flatnonzero(first), len(bins)]))
-        return rows.drop(columns="bin_group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offset)
+        for k, limit in enumerate(limits):
+            bins, offset = assigned(size, limit, w, score)
+            rows[names[2 * k]], rows[names[2 * k + 1]] = (int(key[0]) << 32) + bins, offset
+        return rows
 
     dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("bin_group").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    return dealt.groupBy("bin_group").applyInPandas(run, PIECES + "".join(f", {n} long" for n in names))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False, **limits) -> DataFrame:
-    """One row per piece: PIECES, sequence_id, offset.
+    """One row per piece: PIECES, sequence_id, offset (and bounded_sequence_id, bounded_offset with bounded limits).
 
     Null and empty texts are end_id alone; texts of any length are used whole; other columns are ignored, whatever their names;
     no rows in, no rows out; rows of one id are separate documents.

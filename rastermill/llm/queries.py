@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import language_id, mixing, ngram_join, packing, quality, secret_scan, syncmers, token_files, url_reputation, warc
 
+#: Limits of op2's second packing: documents of a sequence, and its attention cost (a longer piece stands alone).
+BOUNDED = {"max_docs": 8, "max_attention": 2048**2}
+
 #: Verdict, host and path of the URL rules.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -32,7 +35,8 @@ def op1_syncmers(spark, sf_dir):
 
 
 def op2_best_fit_packing(spark, sf_dir):
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, max_tokens=4096)
+    # the fewest sequences leave the other two capacities slack, so a second packing of the same pieces lets them bind
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, max_tokens=4096, bounded=BOUNDED)
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -68,7 +72,7 @@ def op6_weak_supervision(spark, sf_dir):
 
 
 def op7_source_mixing(spark, sf_dir):
-    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "source_blocks", (F.col("size") * F.size("shards")).alias("taken"))
 
 
 def op8_token_files(spark, sf_dir):
@@ -141,10 +145,13 @@ ranked AS (
   SELECT d.*, source_size, target, passes, target - passes * source_size AS rest,
     sum(size) OVER (PARTITION BY d.source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY d.source, key) AS same
   FROM d JOIN parts ON d.source IS NOT DISTINCT FROM parts.source),
+blocks AS (SELECT source, substr(key, 1, 3) AS block, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY substr(key, 1, 3)) AS upto FROM d GROUP BY source, substr(key, 1, 3)),
+quotas AS (SELECT p.source, any_value(passes) * 4096 + coalesce(max(CASE WHEN rest > 0 AND upto - words < rest AND upto >= rest THEN ('0x' || block)::INT + 1 END), 0) AS source_blocks
+  FROM (SELECT *, target - passes * source_size AS rest FROM parts) p LEFT JOIN blocks b ON b.source IS NOT DISTINCT FROM p.source GROUP BY p.source),
 mixed AS (SELECT *, passes + CASE WHEN rest > 0 AND 2 * upto - same <= 2 * rest THEN 1 ELSE 0 END AS times FROM ranked)
 """
 
-OP7_SQL = f"WITH {MIX_CTE} SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken FROM mixed"
+OP7_SQL = f"WITH {MIX_CTE} SELECT doc_id, size, source_size, target, source_blocks::BIGINT AS source_blocks, (size * times)::BIGINT AS taken FROM mixed JOIN quotas ON mixed.source IS NOT DISTINCT FROM quotas.source"
 
 
 def _matches_sql(pattern: str, kind: int, group: int, least: int) -> str:
@@ -158,10 +165,12 @@ def _matches_sql(pattern: str, kind: int, group: int, least: int) -> str:
 
 OP9_SQL = rf"""
 WITH base AS (SELECT doc_id, start, kind, start + len AS stop FROM ({_matches_sql(secret_scan.ASSIGN, 0, 2, 8)} UNION ALL {_matches_sql(secret_scan.ACCESS, 1, 0, 16)} UNION ALL {_matches_sql(secret_scan.HEX, 2, 0, 32)})),
-runs AS (SELECT doc_id, source, start, start + len AS stop, hit FROM {_matches_sql(secret_scan.CANDIDATE, 3, 0, 24)} JOIN documents USING (doc_id)
+runs AS (SELECT doc_id, source, text, start, start + len AS stop, hit FROM {_matches_sql(secret_scan.CANDIDATE, 3, 0, 24)} JOIN documents USING (doc_id)
   WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')),
 apart AS (SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop)),
-owned AS (SELECT hit FROM apart GROUP BY hit HAVING count(DISTINCT source) <= 1 AND count(DISTINCT doc_id) <= 3),
+held AS (SELECT hit, source, count(DISTINCT text) AS n FROM apart GROUP BY hit, source),
+whole AS (SELECT hit, count(DISTINCT text) AS n FROM apart GROUP BY hit),
+owned AS (SELECT hit FROM held GROUP BY hit HAVING count(*) = 1 UNION SELECT hit FROM held JOIN whole USING (hit, n)),
 spans AS (SELECT * FROM base UNION ALL SELECT doc_id, start, 3, stop FROM apart SEMI JOIN owned USING (hit)),
 listed AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

@@ -95,18 +95,51 @@ def likeness(a: np.ndarray, b: np.ndarray, m: int = SAMPLE) -> float:
     return float(np.searchsorted(twice, union[-1], "right") / len(union))
 
 
+def paired(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in a, positions in b) of common anchors: the r-th of a hash in a with the r-th in b, and where a has more, its others
+    with the last; so a passage that either repeats is met at every place of the one that has more of it, and costs no more than both."""
+
+    def ranked(h):
+        order = np.argsort(h, kind="stable")
+        new = np.r_[True, h[order][1:] != h[order][:-1]] if len(h) else np.zeros(0, bool)
+        return order, np.flatnonzero(new), np.diff(np.r_[np.flatnonzero(new), len(h)])
+
+    (pa, ha), (pb, hb) = a, b
+    (oa, fa, na), (ob, fb, nb) = ranked(ha), ranked(hb)
+    _, ia, ib = np.intersect1d(ha[oa][fa], hb[ob][fb], assume_unique=True, return_indices=True)
+    most = np.maximum(na[ia], nb[ib])
+    rank = np.arange(most.sum()) - np.repeat(np.cumsum(most) - most, most)
+    x = np.repeat(fa[ia], most) + np.minimum(rank, np.repeat(na[ia] - 1, most))
+    y = np.repeat(fb[ib], most) + np.minimum(rank, np.repeat(nb[ib] - 1, most))
+    return pa[oa[x]], pb[ob[y]]
+
+
+def runs(a, b, k: int = K) -> np.ndarray:
+    """Positional matching: rows (start in a, start in b, length) of maximal runs covered by common anchors on one diagonal."""
+    x, y = paired(a, b)
+    order = np.lexsort((x, y - x))
+    x, y = x[order], y[order]
+    if not len(x):
+        return np.zeros((0, 3), np.int64)
+    begin = np.flatnonzero(np.r_[True, (np.diff(y - x) != 0) | (np.diff(x) > k)])
+    last = np.r_[begin[1:], len(x)] - 1
+    return np.stack([x[begin], y[begin], x[last] + k - x[begin]], 1)
+
+
 def match(a: str, b: str, k: int = K, s: int = S) -> list[tuple[int, int, int]]:
-    """Positional matching: (start in a, start in b, length) of maximal runs covered by common anchors on one diagonal."""
-    (pa, ha), (pb, hb) = text_anchors(a, k, s), text_anchors(b, k, s)
-    first = {h: p for p, h in zip(pb[::-1].tolist(), hb[::-1].tolist(), strict=True)}
-    pairs = sorted((first[h] - p, p) for p, h in zip(pa.tolist(), ha.tolist(), strict=True) if h in first)
-    out: list[list[int]] = []
-    for d, p in pairs:
-        if out and out[-1][1] - out[-1][0] == d and p <= out[-1][0] + out[-1][2]:
-            out[-1][2] = p + k - out[-1][0]
-        else:
-            out.append([p, p + d, k])
-    return [tuple(x) for x in out]
+    """(start in a, start in b, length) of the passages that two texts share, by diagonal."""
+    return [tuple(r) for r in runs(text_anchors(a, k, s), text_anchors(b, k, s), k).tolist()]
+
+
+def aligned(a, b, n_chars: int, k: int = K) -> float:
+    """Share of a text's n_chars code points that lie in runs with another text; a: the text's anchors; of an empty text all."""
+    found = runs(a, b, k)
+    if not n_chars:
+        return 1.0
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    end = np.minimum(found[:, 0] + found[:, 2], n_chars)
+    before = np.r_[0, np.maximum.accumulate(end)[:-1]] if len(end) else end
+    return float(np.maximum(end - np.maximum(found[:, 0], before), 0).sum() / n_chars)
 
 
 def fingerprint(text: str) -> np.ndarray:
@@ -157,11 +190,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text against its edited form (the last quarter replaced by the head of the next document) and the next document.
 
-    Null texts are empty; null ids come first; rows of one id follow each other by text; the only document is its own next; other
+    aligned_edited is the positional share: how much of the text lies in runs of anchors on one diagonal with its edited form.  Null
+    texts are empty; null ids come first; rows of one id follow each other by text; the only document is its own next; other
     columns are ignored; no rows, no result.  Texts of any length are used whole.
     """
     prepare(docs.sparkSession)
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, aligned_edited double"
 
     def run(batches):
         import pyarrow as pa
@@ -169,25 +203,27 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         held = None  # the document before, until the next is known
         rows: list[tuple] = []
 
-        def closed(doc, text, mark, after, after_mark):
+        def closed(doc, text, at, mark, after, after_mark):
             cut = len(text) // 4
             edited = text[: len(text) - cut] + after[:cut]
-            other = fingerprint(edited) if edited != text else mark
-            rows.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), written(mark), written(other), likeness(mark, other), likeness(mark, after_mark)))
+            found = text_anchors(edited) if edited != text else at
+            other = sample(found[1]) if edited != text else mark
+            rows.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), written(mark), written(other), likeness(mark, other), likeness(mark, after_mark), aligned(at, found, len(text))))
 
         def flush():
-            cols = zip(*rows, strict=True) if rows else [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            cols = zip(*rows, strict=True) if rows else [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64())
             out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
             rows.clear()
             return out
 
         for batch in batches:
             for borrowed, doc, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                mark = fingerprint(text)
+                at = text_anchors(text)
+                mark = sample(at[1])
                 if held:
                     closed(*held, text, mark)
-                held = None if borrowed else (doc, text, mark)
+                held = None if borrowed else (doc, text, at, mark)
                 if len(rows) >= 1000:
                     yield flush()
         yield flush()

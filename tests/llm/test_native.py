@@ -26,8 +26,9 @@ def unique_ids():
 def test_mixing_as_sql(spark, tmp_path):
     rows = fixture.documents()
     d = fixture.stored(tmp_path, documents=fixture.frame(spark, rows))
-    got = queries.op7_source_mixing(spark, d).select("doc_id", "size", "source_size", "target", "taken").collect()
-    want = fixture.duck(documents=(rows, DOCS)).sql(f"SELECT doc_id, size, source_size, target, taken FROM ({queries.OP7_SQL})").fetchall()
+    names = "doc_id, size, source_size, target, source_blocks, taken"
+    got = queries.op7_source_mixing(spark, d).select(*names.split(", ")).collect()
+    want = fixture.duck(documents=(rows, DOCS)).sql(f"SELECT {names} FROM ({queries.OP7_SQL})").fetchall()
     assert same(got, want)
     assert queries.op7_source_mixing(spark, d).exceptAll(queries.op7_source_mixing(spark, d)).count() == 0
 
@@ -45,6 +46,31 @@ def test_mixing_deals_exact_disjoint_copies(spark):
     assert mixing.mix(fixture.frame(spark, [])).count() == 0 and mixing.draw(fixture.frame(spark, [])).count() == 0
 
 
+def test_shards_hold_disjoint_exact_runs_of_blocks(spark):
+    """A source's blocks, pass by pass, are cut into runs, one a shard, whose lengths add up to its quota."""
+    rows = mixing.mix(fixture.frame(spark), shards=8).collect()
+    slots, ends = 16**mixing.BLOCK_DIGITS, {}
+    for r in rows:
+        place = [t * slots + int(r.key[: mixing.BLOCK_DIGITS], 16) for t in range(len(r.shards))]
+        assert all(p < r.source_blocks for p in place) and r.shards == sorted(r.shards)
+        ends.setdefault(r.source, []).extend(zip(place, r.shards, strict=True))
+    for held in ends.values():
+        assert [s for _, s in sorted(held)] == sorted(s for _, s in held)  # later blocks are never in an earlier shard
+        assert len({p for p, _ in held}) == len(set(held))  # a block is in one shard
+
+
+def test_draws_beyond_the_library(monkeypatch):
+    rng = np.random.default_rng(2)
+    big = [mixing.hypergeometric(rng, 3 * 10**9, 10**9, 10**6) for _ in range(30)]
+    assert abs(np.mean(big) - 750_000) < 5 * 433 / 30**0.5 and all(0 <= x <= 10**6 for x in big)
+    monkeypatch.setattr(mixing, "LIBRARY", 50)
+    draws = np.array([mixing.draw_of_each(rng, np.array([30, 20, 50, 0, 100]), 60) for _ in range(3000)])
+    assert (draws.sum(1) == 60).all() and (draws <= [30, 20, 50, 0, 100]).all()
+    assert np.abs(draws.mean(0) - np.array([9, 6, 15, 0, 30])).max() < 0.3
+    assert abs(draws[:, 4].var() - 60 * 0.25 * 140 / 199) < 1.5
+    assert mixing.hypergeometric(rng, 40, 40, 0) == 0 and mixing.hypergeometric(rng, 40, 0, 7) == 7 and mixing.hypergeometric(rng, 40, 30, 70) == 40
+
+
 def test_targets_reshare_until_none_is_above():
     got = mixing.targets([("a", 100), ("b", 1000), (None, 10), ("c", 0)], (3, 1, 2), Fraction(3, 2), 2)
     assert got[0][0] == 200 and got[2][0] == 20 and got[3][0] == 0

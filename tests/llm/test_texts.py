@@ -35,6 +35,22 @@ def test_long_texts_are_read_whole_and_alike(monkeypatch):
     assert [(b - a, n > 4900) for a, b, n in syncmers.match(odd, "xyz " * 10 + odd)] == [(40, True)]
 
 
+def covered(a, b):
+    """Share of a's code points in runs with b, one by one."""
+    found = {p for x, _, n in syncmers.match(a, b) for p in range(x, min(x + n, len(a)))}
+    return len(found) / len(a) if a else 1.0
+
+
+def test_runs_are_found_at_every_place():
+    r = np.random.default_rng(3)
+    one, two = ("".join(map(chr, r.integers(97, 123, 400))) for _ in range(2))
+    places = {(x, y) for x, y, n in syncmers.match(one, two + one + two + one) if n > 300}
+    assert {(y - x) for x, y in places} == {400, 1200}
+    assert {(y - x) for x, y, n in syncmers.match(two + one + one, one) if n > 300} == {-400, -800}
+    assert syncmers.match("", one) == [] and syncmers.aligned(syncmers.text_anchors(one), syncmers.text_anchors(one), 400) > 0.95
+    assert len(syncmers.match("a" * 20_000, "a" * 20_000)) == 1
+
+
 def test_op1_contract(spark, tmp_path):
     rows = fixture.documents()
     d = fixture.stored(tmp_path, documents=fixture.frame(spark, rows).repartition(5))
@@ -45,7 +61,7 @@ def test_op1_contract(spark, tmp_path):
         cut = len(text) // 4
         edited = text[: len(text) - cut] + after[:cut]
         f, e, n = map(syncmers.fingerprint, (text, edited, after))
-        want.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), syncmers.written(f), syncmers.written(e), syncmers.likeness(f, e), syncmers.likeness(f, n)))
+        want.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), syncmers.written(f), syncmers.written(e), syncmers.likeness(f, e), syncmers.likeness(f, n), covered(text, edited)))
     got = [tuple(x) for x in queries.op1_syncmers(spark, d).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert syncmers.compare_with_edits(fixture.frame(spark, [])).count() == 0

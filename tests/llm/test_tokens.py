@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rastermill.llm import packing, token_files, tokens
+from rastermill.llm import packing, queries, token_files, tokens
 
 ODD = ["", " ", "a  b", "a\tb  c", "\n\nx", "x \n y", " lead", "trail ", "a b c", "á ́b", "Don't WE'LL it's", "été", "<|endoftext|> x", "x<|endoftext|>y", "　日本 語", "ΑΣ ΑΣ.", "\0null \0", "\x1cfs x", "12 345\r\nq", "The the THE, tHe. the### ###", "a\0b \0. x\0.", "İ. ß# ǰ.", None]
 DOCS = [(i, t) for i, t in enumerate(ODD)] + [(100, "word " * 9000), (101, "dup text"), (101, "dup text"), (None, "no id")]
@@ -131,6 +131,28 @@ def test_packing_is_whole_and_gapless(spark, score):
     assert packing.pack_documents(frame(spark).limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_second_packing_keeps_limits_that_bind(spark, tmp_path):
+    rows = [(i, "word " * (i * 37 % 2000), 1, "x") for i in range(400)] + [(500, "word " * 9000, 1, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, bucket int, path string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_best_fit_packing(spark, str(tmp_path)).collect()
+    for name, most, attention in (("", 4096, 4096**2), ("bounded_", queries.BOUNDED["max_docs"], queries.BOUNDED["max_attention"])):
+        bins = {}
+        for r in got:
+            bins.setdefault(r[f"{name}sequence_id"], []).append((r[f"{name}offset"], r.length))
+        loads = []
+        for parts in bins.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            cost = sum(n * n for _, n in parts)
+            assert at <= 4096 and len(parts) <= most and (cost <= attention or len(parts) == 1)
+            loads.append((at, len(parts), cost))
+        if name:  # each limit stops some sequence that the others would let grow
+            assert any(n == most and t < 3000 and c < attention * 0.9 for t, n, c in loads)
+            assert any(attention * 0.8 < c <= attention and n < most and t < 4000 for t, n, c in loads)
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(score):
     rng = np.random.default_rng(5)
