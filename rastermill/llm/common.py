@@ -16,12 +16,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of an Arrow batch that a Python worker gets at once (unless the session says otherwise); a longer row stands alone.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package (same path, as on one machine or a shared file system; elsewhere ship it with --py-files)."""
+    """Let Python workers import this package (same path, as on one machine or a shared file system; elsewhere ship it with
+    --py-files), get batches bounded by bytes, and give freed arrays back to the system, so that idle workers hold little."""
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
     env["TOKENIZERS_PARALLELISM"] = "false"
+    for k, v in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_MMAP_THRESHOLD_", str(4 << 20))):
+        env.setdefault(k, v)
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

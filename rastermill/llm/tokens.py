@@ -14,9 +14,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes (about) of the pieces that an encoder remembers, in two generations.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 48 << 20
 #: Bytes of text read together (a longer text stands alone) and words looked up together.
-SLICE_BYTES, SLICE_WORDS = 4 << 20, 1 << 19
+SLICE_BYTES, SLICE_WORDS = 2 << 20, 1 << 18
 #: Code points that row-wise readers handle together.
 SLICE_CHARS = 1_000_000
 #: New words encoded as one text.
@@ -87,21 +87,20 @@ class Encoder:
     def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
-        if path not in _tokenizers:  # the files' own content, once for each worker process
+        if path not in _tokenizers:  # what the file says, once for each worker process
             with open(path, encoding="utf-8") as f:
                 said = json.load(f)
-            _tokenizers[path] = Tokenizer.from_file(path), {k: said.get(k) for k in SPACED}, said.get("added_tokens") or [], said["model"].get("end_of_word_suffix")
-        self.tokenizer, parting, added, suffix = _tokenizers[path]
+            spaced, added = {k: said.get(k) for k in SPACED} == SPACED, said.get("added_tokens") or []
+            known = spaced or {k: said.get(k) for k in SPACED} == UNSPACED and said["model"].get("end_of_word_suffix") == "</w>"
+            plain = all(t.get("special") and not (t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in added)
+            vocabulary = said["model"]["vocab"] if known else {}
+            marked = np.zeros(max(list(vocabulary.values()) + [t["id"] for t in added], default=-1) + 1, bool)  # tokens that begin (spaced) or end a word
+            marked[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if spaced else t.endswith("</w>"))]] = True
+            _tokenizers[path] = Tokenizer.from_file(path), spaced, known and plain, [t["content"] for t in added], marked
+        self.tokenizer, self.spaced, self.known, added, self.marked = _tokenizers[path]
         self.tokenizer.encode_special_tokens = special_as_text
-        self.spaced = parting == SPACED
-        plain = all(t.get("special") and not (t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in added)
-        self.known = plain and (self.spaced or parting == UNSPACED and suffix == "</w>")
-        self.special = [] if special_as_text else [t["content"] for t in added]
+        self.special = [] if special_as_text else added
         self.new, self.old = _Pieces(), _Pieces()
-        if self.known:
-            vocabulary = self.tokenizer.get_vocab()
-            self.marked = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin (spaced) or end a word
-            self.marked[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.spaced else t.endswith("</w>"))]] = True
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
