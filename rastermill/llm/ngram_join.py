@@ -325,20 +325,30 @@ def candidate_links(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, head): the least node of each node's component, by alternating large-star and small-star steps with checkpoints."""
+    """(node, head): the least node of each node's component, by alternating large-star and small-star steps with checkpoints.
+
+    Least neighbours, at most two rows a link, are broadcast while BROADCAST_ROWS holds them (checked each round): then links are not
+    shuffled by node, and a node with very many links is no task of its own.  Beyond that they are joined by a shuffle.
+    """
+
+    def state(edges: DataFrame):
+        return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+
+    def pair(u: str, v: str):
+        return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    before = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    before, now = None, state(edges)
+    while now[0] and now != before:
+        bounded = F.broadcast if 2 * now[0] <= BROADCAST_ROWS else (lambda df: df)
+        both = edges.select(F.inline(F.array(pair("u", "v"), pair("v", "u"))))
         near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.join(bounded(near), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # no more rows than edges
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("x"), "m").filter("x != m").unionAll(least.select(F.col("u"), F.col("m"))).toDF("u", "v").distinct()
+        small = large.join(bounded(least), "u").select(F.inline(F.array(pair("v", "m"), pair("u", "m")))).filter("u != v").distinct()
         edges = cut_lineage(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before or now[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("head")).unionAll(edges.select(F.col("v"), F.col("v")).distinct())
-        before = now
+        before, now = now, state(edges)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("head")).unionAll(edges.select(F.col("v"), F.col("v")).distinct())
 
 
 def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
