@@ -5,13 +5,15 @@ Floating results are rounded to six places on both sides: sums depend on their o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import radiometry
 from ..grid import Bounds, GridMeta, chunk_grid, lonlat_to_xy
 from ..operators import align, classify, combine, focal, index, masks, sample, temporal, tiles, vector
-from ..sensors import BANDPASS, BRDF_WEIGHTS, TASSELED_CAP, wavelengths
+from ..sensors import BANDPASS, BRDF_WEIGHTS, QA_BITS, QA_CODES, TASSELED_CAP, wavelengths
 from ..sources import reader
 from . import adapters
 from .pipeline import scene_cube
@@ -154,14 +156,16 @@ def _arithmetic(spark, sf_dir):
 # --- masks -----------------------------------------------------------------------------------------------------------------
 
 
-def _qa_sql(sensor: str, items: list[str], confidence: int) -> str:
-    from ..sensors import QA_BITS, QA_CODES
-
+def _code_sql(sensor: str, items: list[str], confidence: int) -> str:
     out = "0"
     for i in items:
         high, low = QA_BITS[sensor][i]
         out = f"CASE WHEN ((qa >> {low}) & {(1 << (high - low + 1)) - 1}) >= {confidence if i.endswith('conf') else 1} THEN {QA_CODES[i]} ELSE {out} END"
-    return f"WITH {QUALITY} SELECT row, col, {out} AS code FROM quality"
+    return out
+
+
+def _qa_sql(sensor: str, items: list[str], confidence: int) -> str:
+    return f"WITH {QUALITY} SELECT row, col, {_code_sql(sensor, items, confidence)} AS code FROM quality"
 
 
 for _name, _sensor, _items, _word, _level in (("qa_codes_l8", "l8-c1", ["cirrusconf", "snowiceconf", "shadowconf", "cloudconf", "cloud", "fill"], "maybe", 2), ("qa_codes_hls", "hls", ["cirrus", "cloud", "adjacent", "shadow", "water"], "yes", 3), ("qa_codes_ard", "ard", ["fill", "water", "shadow", "snow", "cloud"], "yes", 3)):
@@ -410,7 +414,27 @@ def _rasterize(spark, sf_dir):
     return vector.rasterize(spark, shapes, grid, all_touched=False)
 
 
-@query("rasterize_all_touched")
+def _touches(ring) -> str:
+    """Whether an edge of a fixed ring meets the box of a cell: the ranges of its parameter inside the box's columns and rows overlap."""
+
+    def slab(a, b, low):
+        if a == b:
+            inside = f"{a} BETWEEN {low} AND {low} + 1"
+            return f"CASE WHEN {inside} THEN -1 ELSE 2 END", f"CASE WHEN {inside} THEN 2 ELSE -1 END"
+        ends = f"({low} - {a}::DOUBLE) / ({b} - {a}::DOUBLE), ({low} + 1 - {a}::DOUBLE) / ({b} - {a}::DOUBLE)"
+        return f"least({ends})", f"greatest({ends})"
+
+    hits = []
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+        (t, u), (v, w) = slab(x1, x2, "col"), slab(y1, y2, "row")
+        hits.append(f"greatest({t}, {v}, 0.0) <= least({u}, {w}, 1.0)")
+    return f"({' OR '.join(hits)})"
+
+
+_TOUCHED = "touched AS (" + " UNION ALL ".join(f"SELECT {i} AS id, {v}.0::DOUBLE AS value, row, col FROM image WHERE {_inside(r)} OR {_touches(r)}" for i, v, r in _RINGS) + ")"
+
+
+@query("rasterize_all_touched", f"WITH {IMAGE}, {_TOUCHED} SELECT row, col, coalesce(arg_max(value, id), 0.0) AS value FROM image LEFT JOIN touched USING (row, col) GROUP BY row, col")
 def _touched(spark, sf_dir):
     _, grid, shapes = _image(spark, sf_dir)
     return vector.rasterize(spark, shapes, grid, all_touched=True)
@@ -466,13 +490,19 @@ def _systematic(spark, sf_dir):
     return sample.systematic_sample(df.select("row", "col", "label"), grid, 130.0)
 
 
-@query("random_sample")
+#: The operators' draw: 60 bits of a digest.
+_DRAW = "('0x' || substr(md5(concat_ws(' ', 1, row, col)), 1, 15))::BIGINT"
+
+
+@query("random_sample", f"WITH {IMAGE} SELECT row, col, label, 600000.0 + (col + 0.5) * 30.0 AS x, 4000000.0 - (row + 0.5) * 30.0 AS y FROM image ORDER BY {_DRAW}, row, col LIMIT 50")
 def _random(spark, sf_dir):
     df, grid, _ = _image(spark, sf_dir)
     return sample.with_coordinates(sample.random_sample(df.select("row", "col", "label"), 50), grid)
 
 
-@query("stratified_sample")
+@query("stratified_sample", f"""WITH {IMAGE}, m AS (SELECT row, col, label, {_DRAW} % 1099511627776 AS draw, CASE WHEN label >= 7 THEN 'ge,7' WHEN label > 1 AND label <= 4 THEN 'gt,1;le,4' END AS stratum FROM image),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY draw, row, col) AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM m WHERE stratum IS NOT NULL)
+SELECT stratum, row, col, label FROM r WHERE rank <= CASE stratum WHEN 'ge,7' THEN 10 ELSE round_even(n * 0.5, 0) END""")
 def _stratified(spark, sf_dir):
     return sample.stratified_sample(adapters.image(spark, sf_dir).select("row", "col", "label"), "label", {"ge,7": 10, "gt,1;le,4": 0.5})
 
@@ -533,11 +563,14 @@ def _slope(spark, sf_dir):
 
 # --- grids -----------------------------------------------------------------------------------------------------------------
 
-_TARGET = "target AS (SELECT (i // 16)::INT AS row, (i % 16)::INT AS col, (4000000.0 - (3999970.0 - (i // 16 + 0.5) * 40.0)) / 30.0 - 0.5 AS r, (600050.0 + (i % 16 + 0.5) * 40.0 - 600000.0) / 30.0 - 0.5 AS c FROM range(192) t(i))"
+#: Cells of 40 m from another corner to the image's far edges, the last ones beyond them; those whose nearest neighbour is outside have no row.
+_TARGET = """target AS (SELECT * FROM (SELECT (i // 18)::INT AS row, (i % 18)::INT AS col, (4000000.0 - (3999970.0 - (i // 18 + 0.5) * 40.0)) / 30.0 - 0.5 AS r, (600050.0 + (i % 18 + 0.5) * 40.0 - 600000.0) / 30.0 - 0.5 AS c
+FROM (SELECT unnest(range(0, (((SELECT max(row) + 1 FROM image) * 30 - 30 + 39) // 40 * 18)::BIGINT)) AS i)) WHERE floor(r + 0.5) BETWEEN 0 AND (SELECT max(row) FROM image) AND floor(c + 0.5) BETWEEN 0 AND 24)"""
 
 
 def _other(grid: GridMeta) -> GridMeta:
-    return GridMeta(600050.0, 3999970.0, 40.0, 40.0, 12, 16, 32621)
+    far = grid.bounds
+    return GridMeta(600050.0, 3999970.0, 40.0, 40.0, math.ceil((3999970.0 - far.bottom) / 40.0), math.ceil((far.right - 600050.0) / 40.0), 32621)
 
 
 @query("align_nearest", f"WITH {IMAGE}, {_TARGET} SELECT t.row, t.col, round(i.red, 6) AS red FROM target t JOIN image i ON i.row = floor(r + 0.5) AND i.col = floor(c + 0.5)")
@@ -602,13 +635,15 @@ def _azimuth(spark, sf_dir):
     return rounded(adapters.angled(spark, sf_dir).select("row", "col", radiometry.relative_azimuth("saa", "vaa").alias("raa")), "raa")
 
 
-def _srem_sql(bands: list[str]) -> str:
+def _srem_sql(bands: list[str], read: str = "{b}", digits: int = 6) -> str:
+    """read: what a band's reflectance is read as."""
     waves, out = wavelengths("l7"), []
     for b in bands:
+        v = read.format(b=b)
         tau = radiometry.rayleigh_depth(waves[b] * 1000)
         path = f"phase * (1 - exp(-m * {tau!r}::DOUBLE)) / (4 * (cs + cv))"
         through = lambda c, tau=tau: f"(exp(-{tau!r}::DOUBLE / {c}) * exp(0.52 * {tau!r}::DOUBLE / {c}))"
-        out.append(f"round(least(greatest(({b} - {path}) / (({b} - {path}) * 0.92 * {tau!r}::DOUBLE * exp(-{tau!r}::DOUBLE) + {through('cs')} * {through('cv')}), 0.0), 1.0), 6) AS {b}")
+        out.append(f"round(least(greatest(({v} - {path}) / (({v} - {path}) * 0.92 * {tau!r}::DOUBLE * exp(-{tau!r}::DOUBLE) + {through('cs')} * {through('cv')}), 0.0), 1.0), {digits}) AS {b}")
     return f"""WITH {ANGLED}, t AS (SELECT *, cos(radians(sza)) AS cs, cos(radians(vza)) AS cv, radians((saa - vaa + 720) % 360) AS raa FROM angled),
 u AS (SELECT *, 1 / cs + 1 / cv AS m, (3 * 0.9587256 / (4 + 1 - 0.9587256)) * (1 + pow(least(greatest(-cs * cv - sin(radians(sza)) * sin(radians(vza)) * cos(raa), -1.0), 1.0), 2)) AS phase FROM t)
 SELECT row, col, {', '.join(out)} FROM u"""
@@ -651,7 +686,21 @@ for _method, _formula in _TOPO_BY.items():
         return rounded(radiometry.norm_topo(adapters.angled(spark, sf_dir), ["red"], method).select("row", "col", "red"), "red")
 
 
-@query("scene_cube")
+def _scene_cube_sql() -> str:
+    """SREM over calibrated numbers, BRDF weights, bandpass and the quality code, each as in the query of its own."""
+    bands = ["blue", "green", "red", "nir"]
+    head, tail = _srem_sql(bands, "({b} / cs)", 15).rsplit("\nSELECT row, col, ", 1)
+    kernels = f"k AS (SELECT *, {_kernel_sql('1', 'radians(vza)', 'radians(sza)', 'radians((saa - vaa + 720) % 360)')}, {_kernel_sql('0', 'radians(0.0)', f'radians({_SZA0!r}::DOUBLE)', 'radians(0.0)')} FROM s)"
+    out = []
+    for b in bands:
+        iso, geo, vol = BRDF_WEIGHTS[b][0], BRDF_WEIGHTS[b][1], BRDF_WEIGHTS[b][2]
+        shape = f"{b} * ({iso} + {vol} * v0 + {geo} * g0) / ({iso} + {vol} * v1 + {geo} * g1)"
+        out.append(f"CASE WHEN code < 2 THEN round(({BANDPASS['l7'][b][0]}) + ({BANDPASS['l7'][b][1]}) * ({shape}), 6) END AS {b}")
+    code = _code_sql("l8-c1", [i for i in QA_BITS["l8-c1"] if i in QA_CODES], 2).replace("qa", "(row * 25 + col)")
+    return f"{head}, s AS (SELECT row, col, sza, saa, vza, vaa, {code} AS code, {tail.replace(' FROM u', '')} FROM u), {kernels}\nSELECT row, col, {', '.join(out)} FROM k"
+
+
+@query("scene_cube", _scene_cube_sql())
 def _scene(spark, sf_dir):
     df = adapters.angled(spark, sf_dir).withColumn("qa", (F.col("row") * 25 + F.col("col")).cast("int"))
     bands = ["blue", "green", "red", "nir"]
