@@ -45,9 +45,11 @@ class RasterConfig:
         if self.ref_image:
             r = self.ref_image
             return own.replace(left=r.left, top=r.top, cellx=r.cellx, celly=r.celly, nrows=r.nrows, ncols=r.ncols, crs=r.crs)
+        if self.ref_crs is not None:
+            own = own.in_crs(parse_crs(self.ref_crs))
         bounds = Bounds.parse(self.ref_bounds) if self.ref_bounds is not None else own.bounds
         res = self.ref_res if self.ref_res is not None else own.res
-        crs = parse_crs(self.ref_crs) if self.ref_crs is not None else own.crs
+        crs = own.crs
         if self.ref_tar:
             t = self.ref_tar
             shift = lambda v, o, c: o + round((v - o) / c) * c

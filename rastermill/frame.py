@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import radiometry
 from .functions.expr import clean
-from .grid import Bounds, GridMeta
+from .grid import Bounds, GridMeta, parse_crs
 from .operators import align, classify, combine, focal, index, masks, sample, temporal, tiles, vector
 from .sources import reader
 
@@ -133,7 +133,9 @@ class RasterFrame:
     def align_to(self, target: GridMeta, resampling: str = "nearest") -> RasterFrame:
         return RasterFrame(align.align(self.df, self.grid, target, self.bands, resampling), target.replace(bands=self.grid.bands))
 
-    transform_crs = align_to
+    def transform_crs(self, crs, res=None, resampling: str = "nearest") -> RasterFrame:
+        """Warped to another CRS (an EPSG number, PROJ or WKT text), or to a given grid."""
+        return self.align_to(crs if isinstance(crs, GridMeta) else self.grid.in_crs(parse_crs(crs), res), resampling)
 
     def moving(self, band: str, stat="mean", w=3, **options) -> RasterFrame:
         return self._like(focal.moving(self.df, band, self.grid.nrows, self.grid.ncols, stat, w, **options), [band])

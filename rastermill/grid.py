@@ -15,7 +15,8 @@ ITEM_BYTES = {"uint8": 1, "int8": 1, "uint16": 2, "int16": 2, "uint32": 4, "int3
 
 
 def parse_crs(crs) -> int:
-    """EPSG number of an int, "EPSG:n", "n", a dict with init/epsg, or a PROJ string of UTM, Web Mercator or lon/lat."""
+    """EPSG number of an int, "EPSG:n", "n", a dict with init/epsg, a PROJ string of UTM, Web Mercator or lon/lat, or WKT (its last
+    EPSG identifier is the whole system's; without one, a name of a UTM zone on WGS 84)."""
     if isinstance(crs, bool) or not isinstance(crs, (int, str, dict)):
         raise TypeError(f"a CRS is an int, str or dict, not {type(crs).__name__}")
     if isinstance(crs, dict):
@@ -24,6 +25,10 @@ def parse_crs(crs) -> int:
         return crs
     if m := re.fullmatch(r"(?:(?i:epsg):)?(\d{4,6})", crs.strip()):
         return int(m[1])
+    if codes := re.findall(r"(?i)\b(?:AUTHORITY|ID)\s*\[\s*\"EPSG\"\s*,\s*\"?(\d+)", crs):
+        return int(codes[-1])
+    if m := re.search(r"(?i)WGS[ _]?(?:19)?84\s*/\s*UTM[ _]zone[ _](\d+)([NS])", crs.replace("_", " ")):
+        return (32700 if m[2].upper() == "S" else 32600) + int(m[1])
     if "+proj=utm" in crs and (m := re.search(r"\+zone=(\d+)", crs)):
         return (32700 if "+south" in crs else 32600) + int(m[1])
     if "+proj=merc" in crs and "6378137" in crs:
@@ -155,6 +160,13 @@ class GridMeta:
     def replace(self, **changes) -> GridMeta:
         return replace(self, **changes)
 
+    def same_phase(self, other: GridMeta) -> bool:
+        """One CRS and cell size, and cell edges that fall on each other: only whole cells lie between the two."""
+        if self.crs != other.crs or not all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(self.res, other.res, strict=True)):
+            return False
+        apart = (self.left - other.left) / self.cellx, (self.top - other.top) / self.celly
+        return all(abs(v - round(v)) < 1e-6 for v in apart)
+
     def same_grid(self, other: GridMeta) -> bool:
         return self.crs == other.crs and (self.nrows, self.ncols) == (other.nrows, other.ncols) and all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(self.transform, other.transform, strict=True))
 
@@ -166,6 +178,15 @@ class GridMeta:
             b = align_bounds(b.left, b.bottom, b.right, b.top, res)[0]
         return cls(b.left, b.top, xres, yres, max(1, round((b.top - b.bottom) / yres)), max(1, round((b.right - b.left) / xres)), parse_crs(crs), **more)
 
+    def in_crs(self, crs: int, res=None) -> GridMeta:
+        """The grid that covers this one in another CRS; without a resolution its square cells are as many along the diagonal."""
+        if crs == self.crs and res is None:
+            return self
+        b = bounds_in(self, crs)
+        cell = res or math.hypot(b.right - b.left, b.top - b.bottom) / math.hypot(self.nrows, self.ncols)
+        made = GridMeta.from_bounds(b, cell, crs)
+        return self.replace(left=made.left, top=made.top, cellx=made.cellx, celly=made.celly, nrows=made.nrows, ncols=made.ncols, crs=crs)
+
     def window_of(self, bounds) -> tuple[int, int, int, int]:
         """(row_off, col_off, height, width) of bounds, cut at the image."""
         b = Bounds.parse(bounds)
@@ -273,20 +294,32 @@ def xy_to_lonlat(x, y, crs: int, m=F):
     return m.atan2(m.sinh(v), m.cos(u)) * deg + (6 * zone - 183), phi * deg
 
 
-def project_bounds(bounds, crs: int) -> Bounds:
-    """Bounds in degrees to the box around their projected edge (21 points a side)."""
-    b = Bounds.parse(bounds)
+def _edge_box(b: Bounds, place) -> Bounds:
+    """The box around a box's edge (21 points a side) after place(x, y)."""
     steps = [i / 20 for i in range(21)]
     edge = [(b.left + s * (b.right - b.left), y) for s in steps for y in (b.bottom, b.top)] + [(x, b.bottom + s * (b.top - b.bottom)) for s in steps for x in (b.left, b.right)]
-    xs, ys = zip(*(lonlat_to_xy(x, y, crs, math) for x, y in edge), strict=True)
+    xs, ys = zip(*(place(x, y) for x, y in edge), strict=True)
     return Bounds(min(xs), min(ys), max(xs), max(ys))
 
 
+def project_bounds(bounds, crs: int) -> Bounds:
+    """Bounds in degrees to the box around their projected edge."""
+    return _edge_box(Bounds.parse(bounds), lambda x, y: lonlat_to_xy(x, y, crs, math))
+
+
+def bounds_in(grid: GridMeta, crs: int) -> Bounds:
+    """The grid's bounds in another CRS."""
+    if grid.crs == crs:
+        return grid.bounds
+    return _edge_box(grid.bounds, lambda x, y: lonlat_to_xy(*xy_to_lonlat(x, y, grid.crs, math), crs, math))
+
+
 def common_bounds(grids: list[GridMeta], bounds_by: str = "reference") -> Bounds:
-    """reference (the first), union or intersection of grids of one CRS."""
+    """reference (the first), union or intersection of grids, in the first one's CRS."""
     found = grids[0].bounds
     for g in grids[1:] if bounds_by != "reference" else []:
-        found = found.union(g.bounds) if bounds_by == "union" else found.intersection(g.bounds)
+        other = bounds_in(g, grids[0].crs)
+        found = found.union(other) if bounds_by == "union" else found.intersection(other)
     if bounds_by not in ("reference", "union", "intersection"):
         raise ValueError(f"bounds_by is reference, union or intersection, not {bounds_by!r}")
     if found.left >= found.right or found.bottom >= found.top:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import col
 from ..grid import GridMeta, common_bounds
+from .align import align
 from .index import condition
 
 HOW = {"min": F.min, "max": F.max, "mean": F.avg}
@@ -21,12 +22,21 @@ def shift_to(df: DataFrame, own: GridMeta, target: GridMeta) -> DataFrame:
     return moved.filter(F.col("row").between(0, target.nrows - 1) & F.col("col").between(0, target.ncols - 1))
 
 
-def mosaic(frames: list[tuple[DataFrame, GridMeta]], bands: list[str], overlap: str = "max", bounds_by: str = "reference") -> tuple[DataFrame, GridMeta]:
-    """Overlaps reduced by min, max or mean over what is not missing."""
+def on_grid(df: DataFrame, own: GridMeta, target: GridMeta, bands: list[str], resampling: str = "nearest") -> DataFrame:
+    """Pixels on the target's cells: renumbered where only whole cells lie between the grids, else resampled (cell size, phase or CRS differ)."""
+    keys = [k for k in ("time", "row", "col") if k in df.columns]
+    held = df.select(*keys, *bands)
+    if own.same_grid(target):
+        return held
+    return shift_to(held, own, target) if own.same_phase(target) else align(held, own, target, bands, resampling)
+
+
+def mosaic(frames: list[tuple[DataFrame, GridMeta]], bands: list[str], overlap: str = "max", bounds_by: str = "reference", resampling: str = "nearest") -> tuple[DataFrame, GridMeta]:
+    """Overlaps reduced by min, max or mean over what is not missing; images on other grids are resampled to the first one's cells."""
     first = frames[0][1]
     grid = GridMeta.from_bounds(common_bounds([g for _, g in frames], bounds_by), first.res, first.crs, bands=tuple(bands), nodata=first.nodata)
     keys = [k for k in ("time", "row", "col") if k in frames[0][0].columns]
-    united = reduce(DataFrame.unionByName, [shift_to(d.select(*keys, *bands), g, grid) for d, g in frames])
+    united = reduce(DataFrame.unionByName, [on_grid(d, g, grid, bands, resampling) for d, g in frames])
     return united.groupBy(*keys).agg(*[HOW[overlap](b).alias(b) for b in bands]), grid
 
 

@@ -594,6 +594,18 @@ def _cubic(spark, sf_dir):
     return rounded(align.align(df, grid, _other(grid), ["red"], "cubic"), "red")
 
 
+#: Cells of 20 m in another phase: what lies under the centre of a 30 m cell.
+_FINE = "fine AS (SELECT row, col, 1.0 - red AS red FROM image)"
+
+
+@query("mosaic_warped", f"WITH {IMAGE}, {_FINE} SELECT row, col, round(avg(red), 6) AS red FROM (SELECT row, col, red FROM image UNION ALL SELECT i.row, i.col, f.red FROM image i JOIN fine f ON f.row = floor(((i.row + 0.5) * 30.0 - 7.0) / 20.0) AND f.col = floor(((i.col + 0.5) * 30.0 - 13.0) / 20.0)) GROUP BY row, col")
+def _warped(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    fine = grid.replace(left=grid.left + 13.0, top=grid.top - 7.0, cellx=20.0, celly=20.0)
+    other = df.select("row", "col", (1.0 - F.col("red")).alias("red"))
+    return rounded(combine.mosaic([(df, grid), (other, fine)], ["red"], "mean")[0], "red")
+
+
 @query("coarsen", f"WITH {IMAGE} SELECT (row // 4)::INT AS row, (col // 4)::INT AS col, round(avg(red), 6) AS red FROM image GROUP BY ALL")
 def _coarsen(spark, sf_dir):
     return rounded(align.coarsen(adapters.image(spark, sf_dir), ["red"], 4), "red")

@@ -100,31 +100,45 @@ def write_geotiff(df: DataFrame, grid: GridMeta, bands: list[str], path: str, dt
     df.select("row", "col", *bands).groupBy(F.lit(0).alias("__one")).applyInPandas(run, "n long").collect()
 
 
-def open_raster(spark: SparkSession, path, bands: list[str] | None = None, times: list | None = None, mosaic: bool = False, overlap: str = "max", bounds_by: str = "reference", bounds=None, stack_dim: str = "time", nodata=None):
-    """One path, or several as a mosaic or stacked on time or band; (DataFrame, GridMeta)."""
+def open_raster(spark: SparkSession, path, bands: list[str] | None = None, times: list | None = None, mosaic: bool = False, overlap: str = "max", bounds_by: str = "reference", bounds=None, stack_dim: str = "time", nodata=None, target: GridMeta | None = None, resampling: str = "nearest"):
+    """One path, or several as a mosaic or stacked on time or band; (DataFrame, GridMeta).
+
+    Images come onto one grid: the target's, or what the settings' ref_* say of the first image's own; several images without either
+    take the first one's.  Other cell sizes, phases and CRSs are resampled, whole-cell shifts are not.
+    """
+    wanted = lambda own: target or current().resolve_grid(own)
     if isinstance(path, str):
-        kind = extension(path)
-        if kind in UNSUPPORTED or kind not in FORMATS:
-            raise OSError(f"no reader for {kind or path!r} files")
-        if FORMATS[kind] == "layout":
-            return read_layout(spark, path, bands, bounds)
-        df, grid = read_geotiff(spark, path, bands, nodata)
-        if bounds is None:
-            return df, grid
-        from ..operators.vector import clip
-
-        return clip(df, list(grid.bands), Bounds.parse(bounds), grid)
-    opened = [open_raster(spark, p, bands if stack_dim != "band" or mosaic else None, bounds=bounds, nodata=nodata) for p in path]
-    names = list(opened[0][1].bands)
+        df, own = _open_one(spark, path, bands, bounds, nodata)
+        goal = wanted(own)
+        return (df, own) if own.same_grid(goal) else (combine.on_grid(df, own, goal, list(own.bands), resampling), goal.replace(bands=own.bands, nodata=own.nodata))
+    opened = [_open_one(spark, p, bands if stack_dim != "band" or mosaic else None, bounds, nodata) for p in path]
+    names, first = list(opened[0][1].bands), opened[0][1]
+    goal = wanted(first).replace(bands=first.bands, nodata=first.nodata)
     if mosaic:
-        return combine.mosaic(opened, names, overlap, bounds_by)
+        if not first.same_grid(goal):
+            opened = [(combine.on_grid(d, g, goal, names, resampling), goal) for d, g in opened]
+        return combine.mosaic(opened, names, overlap, bounds_by, resampling)
+    on_goal = [combine.on_grid(d, g, goal, list(g.bands), resampling) for d, g in opened]
     if stack_dim == "band":
         labels = list(bands or [str(i + 1) for i in range(len(opened))])
-        frames = [d.select("row", "col", F.col(g.bands[0]).alias(b)) for (d, g), b in zip(opened, labels, strict=True)]
-        return combine.stack_bands(frames), opened[0][1].replace(bands=tuple(labels))
-    target = opened[0][1]
-    aligned = [combine.shift_to(d, g, target) for d, g in opened]
-    return combine.concat_time(list(zip(times or filename_times(path), aligned, strict=True)), names, overlap), target
+        frames = [d.select("row", "col", F.col(g.bands[0]).alias(b)) for d, (_, g), b in zip(on_goal, opened, labels, strict=True)]
+        return combine.stack_bands(frames), goal.replace(bands=tuple(labels))
+    return combine.concat_time(list(zip(times or filename_times(path), on_goal, strict=True)), names, overlap), goal
+
+
+def _open_one(spark: SparkSession, path: str, bands, bounds, nodata) -> tuple[DataFrame, GridMeta]:
+    """One file or layout on its own grid, cut at bounds."""
+    kind = extension(path)
+    if kind in UNSUPPORTED or kind not in FORMATS:
+        raise OSError(f"no reader for {kind or path!r} files")
+    if FORMATS[kind] == "layout":
+        return read_layout(spark, path, bands, bounds)
+    df, grid = read_geotiff(spark, path, bands, nodata)
+    if bounds is None:
+        return df, grid
+    from ..operators.vector import clip
+
+    return clip(df, list(grid.bands), Bounds.parse(bounds), grid)
 
 
 def filename_times(paths: Iterable[str]) -> list[str]:

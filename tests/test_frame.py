@@ -258,3 +258,42 @@ def test_catalog_composite(spark):
     read = lambda scenes: scenes.select("time", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(5000.0).alias("red"), F.lit(0).alias("qa"))
     got = reader.composite_catalog(manifest, read, ["red"], "hls_l30", "qa", "MS", max_cloud=50).collect()
     assert [(str(r.time)[:10], r.red) for r in got] == [("2022-01-01", 0.5)]
+
+
+def test_open_warps_other_phases_and_systems(spark, tmp_path):
+    """Images of one phase are renumbered, others take the value under each cell's centre; compared with plain loops over the cells."""
+    import math
+
+    from rastermill.config import configured
+    from rastermill.grid import lonlat_to_xy, xy_to_lonlat
+
+    grids = {"a": GRID, "b": GRID.replace(left=600043.0, top=3999991.0, cellx=20.0, celly=20.0), "c": GRID.in_crs(4326), "d": GRID.in_crs(32620)}
+    data = {k: np.random.default_rng(i).random((g.nrows, g.ncols)) for i, (k, g) in enumerate(grids.items())}
+    for k, g in grids.items():
+        RasterFrame.from_numpy(spark, data[k][None], g, ["v"]).save(f"{tmp_path}/{k}")
+
+    def under(k, goal):
+        out, g = np.full((goal.nrows, goal.ncols), np.nan), grids[k]
+        for r in range(goal.nrows):
+            for c in range(goal.ncols):
+                x, y = goal.left + (c + 0.5) * goal.cellx, goal.top - (r + 0.5) * goal.celly
+                if g.crs != goal.crs:
+                    x, y = lonlat_to_xy(*xy_to_lonlat(x, y, goal.crs, math), g.crs, math)
+                i, j = math.floor((g.top - y) / g.celly), math.floor((x - g.left) / g.cellx)
+                if 0 <= i < g.nrows and 0 <= j < g.ncols:
+                    out[r, c] = data[k][i, j]
+        return out
+
+    both = RasterFrame.open(spark, [f"{tmp_path}/{k}" for k in grids], mosaic=True, overlap="max")
+    want = np.nanmax(np.stack([under(k, GRID) for k in grids]), axis=0)
+    assert both.grid.same_grid(GRID) and np.allclose(both.to_numpy()[0], want)
+    stacked = RasterFrame.open(spark, [f"{tmp_path}/{k}" for k in ("a", "c")], stack_dim="band", bands=["one", "two"])
+    seen = under("c", GRID)
+    got = stacked.to_numpy()
+    assert np.allclose(got[1][~np.isnan(got[1])], seen[~np.isnan(got[1])]) and np.isnan(got[1]).sum() == np.isnan(seen).sum()
+    with configured(ref_crs=4326):
+        warped = RasterFrame.open(spark, f"{tmp_path}/a")
+    assert warped.grid.crs == 4326 and np.allclose(warped.to_numpy()[0], under("a", warped.grid), equal_nan=True)
+    wide = RasterFrame.open(spark, [f"{tmp_path}/a", f"{tmp_path}/d"], mosaic=True, bounds_by="union")
+    assert wide.grid.nrows >= GRID.nrows and wide.grid.ncols >= GRID.ncols
+    assert np.allclose(RasterFrame.open(spark, f"{tmp_path}/a").transform_crs(4326).to_numpy(), warped.to_numpy(), equal_nan=True)

@@ -84,3 +84,16 @@ def test_sensors():
     assert sensors.wavelengths("s2a20")["rededge"] == 0.8647 and sensors.wavelengths("l8l7mspan")["pan"] == 0.59
     assert sensors.hls_band("nir", "hls_s30") == "B8A" and sensors.hls_band("nir", "HLSL30") == "B05" and sensors.hls_band("odd", "hls_l30") == "odd"
     assert all(len(m) <= len(sensors.SENSORS[s if s != "l8" else "l8l7"]) for s, m in sensors.TASSELED_CAP.items())
+
+
+def test_crs_of_wkt_and_grids_in_another_crs():
+    wkt = 'PROJCS["WGS 84 / UTM zone 21N",GEOGCS["WGS 84",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","32621"]]'
+    assert parse_crs(wkt) == 32621 and parse_crs('PROJCRS["x",BASEGEOGCRS["WGS 84",ID["EPSG",4326]],ID["EPSG",32721]]') == 32721
+    assert parse_crs('PROJCS["WGS_1984_UTM_Zone_21S",GEOGCS["GCS_WGS_1984"]]'.replace("1984_UTM", "1984 / UTM")) == 32721
+    own = GridMeta(600000.0, 4000000.0, 30.0, 30.0, 40, 25, 32621)
+    there = own.in_crs(4326)
+    lon, lat = xy_to_lonlat(600375.0, 3999400.0, 32621, math)
+    b = there.bounds
+    assert there.crs == 4326 and b.left < lon < b.right and b.bottom < lat < b.top
+    assert abs(math.hypot(there.nrows, there.ncols) - math.hypot(40, 25)) < 2 and own.in_crs(32621) is own
+    assert own.same_phase(own.replace(left=600300.0)) and not own.same_phase(own.replace(left=600301.0)) and not own.same_phase(there)
