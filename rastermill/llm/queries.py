@@ -182,5 +182,26 @@ FROM documents LEFT JOIN listed USING (doc_id)
 """
 
 
+#: A digest's 40 hexadecimal digits by fives: 20 bits are four base32 letters.
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INT, 1)), '')"
+
+OP5_SQL = f"""
+WITH held AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM held
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS grams FROM w),
+nodes AS (SELECT min(doc_id) AS node, grams, len(grams) AS n FROM s WHERE len(grams) > 0 GROUP BY grams),
+lists AS (SELECT node, n, unnest(grams) AS gram FROM nodes),
+links AS (SELECT a.node AS a, b.node AS b FROM lists a JOIN lists b ON a.gram = b.gram AND a.node <> b.node AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT node, node AS head FROM nodes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.head),
+heads AS (SELECT node, min(head) AS head FROM reach GROUP BY node)
+SELECT doc_id, len(s.grams)::BIGINT AS n_shingles, coalesce(head, doc_id) AS component_id FROM s LEFT JOIN nodes ON nodes.grams = s.grams LEFT JOIN heads USING (node)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_reputation": OP3_SQL, "op7_source_mixing": OP7_SQL, "op9_secret_scan": OP9_SQL}
+    return {"op3_url_reputation": OP3_SQL, "op5_warc_members": OP5_SQL, "op7_source_mixing": OP7_SQL, "op9_secret_scan": OP9_SQL, "op10_ngram_join": OP10_SQL}
