@@ -57,28 +57,54 @@ def rayleigh_depth(nanometres: float) -> float:
     return 0.008569 * w**-4 * (1 + 0.0113 * w**-2 + 0.0013 * w**-4)
 
 
-def srem(toar, wavelength: float, sza, saa, vza, vaa) -> Column:
-    """Surface reflectance without aerosol; wavelength in micrometres, taken as nanometres inside."""
-    tau, delta = rayleigh_depth(wavelength * 1000), 0.9587256
-    cs, cv = _cos(sza), _cos(vza)
-    cosine = scattering_cosine(sza, vza, relative_azimuth(saa, vaa))
-    phase = (3 * delta / (4 + 1 - delta)) * (1 + cosine * cosine)
-    airmass = F.try_divide(F.lit(1.0), cs) + F.try_divide(F.lit(1.0), cv)
-    path = F.try_divide(phase * (1 - F.exp(-airmass * tau)), 4 * (cs + cv))
+#: Fixed value: depolarisation of the Rayleigh phase function.
+DELTA = 0.9587256
+
+
+def _phase(cosine) -> Column:
+    return (3 * DELTA / (4 + 1 - DELTA)) * (1 + cosine * cosine)
+
+
+def _airmass(cs, cv) -> Column:
+    return F.try_divide(F.lit(1.0), cs) + F.try_divide(F.lit(1.0), cv)
+
 
-    def through(c):
-        direct = F.exp(F.try_divide(F.lit(-tau), c))
-        return direct + direct * (F.exp(F.try_divide(F.lit(0.52 * tau), c)) - 1)
+def _scattered(tau: float, phase, airmass, cs, cv) -> Column:
+    return F.try_divide(phase * (1 - F.exp(-airmass * tau)), 4 * (cs + cv))
 
-    sphere = 0.92 * tau * math.exp(-tau)
-    clear = col(toar) - path
-    return clip(finite(F.try_divide(clear, clear * sphere + through(cs) * through(cv))), 0, 1)
+
+def _transmitted(tau: float, c) -> Column:
+    direct = F.exp(F.try_divide(F.lit(-tau), c))
+    return direct + direct * (F.exp(F.try_divide(F.lit(0.52 * tau), c)) - 1)
+
+
+def _below(tau: float, clear, through) -> Column:
+    """Reflectance under a Rayleigh atmosphere: what is left after the path's share, over what passes it and is thrown back."""
+    return F.try_divide(clear, clear * (0.92 * tau * math.exp(-tau)) + through)
+
+
+def srem(toar, wavelength: float, sza, saa, vza, vaa) -> Column:
+    """Surface reflectance without aerosol; wavelength in micrometres, taken as nanometres inside."""
+    tau, cs, cv = rayleigh_depth(wavelength * 1000), _cos(sza), _cos(vza)
+    phase = _phase(scattering_cosine(sza, vza, relative_azimuth(saa, vaa)))
+    clear = col(toar) - _scattered(tau, phase, _airmass(cs, cv), cs, cv)
+    return clip(finite(_below(tau, clear, _transmitted(tau, cs) * _transmitted(tau, cv))), 0, 1)
 
 
 def toar_to_sr(df: DataFrame, bands: list[str], sensor: str, sza="sza", saa="saa", vza="vza", vaa="vaa") -> DataFrame:
-    """SREM for each band; a pixel with any band missing is missing as a whole."""
-    waves, whole = wavelengths(sensor), all_present(*bands)
-    return df.withColumns({b: F.when(whole, srem(b, waves[b], sza, saa, vza, vaa)) for b in bands})
+    """SREM for each band; a pixel with any band missing is missing as a whole.
+
+    What bands share, and what a band uses twice, are columns of their own, so each is computed once and the generated code stays small.
+    """
+    waves = wavelengths(sensor)
+    depth = {b: rayleigh_depth(waves[b] * 1000) for b in bands}
+    cs, cv, phase, airmass = (F.col(f"__{n}") for n in ("cs", "cv", "phase", "airmass"))
+    held = df.withColumns({"__whole": all_present(*bands), "__cs": _cos(sza), "__cv": _cos(vza), "__cosine": scattering_cosine(sza, vza, relative_azimuth(saa, vaa))})
+    held = held.withColumns({"__phase": _phase(F.col("__cosine")), "__airmass": _airmass(cs, cv)})
+    held = held.withColumns({f"__clear_{b}": F.col(b) - _scattered(depth[b], phase, airmass, cs, cv) for b in bands})
+    held = held.withColumns({f"__below_{b}": _below(depth[b], F.col(f"__clear_{b}"), _transmitted(depth[b], cs) * _transmitted(depth[b], cv)) for b in bands})
+    held = held.withColumns({f"__below_{b}": finite(f"__below_{b}") for b in bands})
+    return held.withColumns({b: F.when(F.col("__whole"), clip(f"__below_{b}", 0, 1)) for b in bands}).select(*df.columns)
 
 
 def dn_to_sr(df: DataFrame, bands: list[str], sensor: str, gains: dict[str, float], biases: dict[str, float], sza="sza", saa="saa", vza="vza", vaa="vaa") -> DataFrame:
