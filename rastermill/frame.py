@@ -143,6 +143,12 @@ class RasterFrame:
     def extract(self, points: DataFrame) -> DataFrame:
         return vector.extract_points(self.df, self.bands, points, self.grid)
 
+    def extract_wide(self, places: DataFrame, **options) -> DataFrame:
+        return vector.extract_wide(self.df, self.bands, places, self.grid, **options)
+
+    def class_stats(self, label="targ") -> DataFrame:
+        return classify.class_stats(self.df, self.bands, label)
+
     def sample(self, n: int, seed: int = 1) -> DataFrame:
         return sample.with_coordinates(sample.random_sample(self.df, n, seed), self.grid)
 

@@ -63,3 +63,15 @@ def predict(pixels: DataFrame, bands: list[str], model: PipelineModel) -> DataFr
 
 def fit_predict(pixels: DataFrame, bands: list[str], est: Estimator, label: str | None = "targ") -> DataFrame:
     return predict(pixels, bands, fit(pixels, bands, est, label))
+
+
+def class_stats(df: DataFrame, bands: list[str], label: str = "targ") -> DataFrame:
+    """label, n, and of each band the mean and population deviation over the samples of a class; unlabelled pixels have none."""
+    held = df.filter(F.col(label).isNotNull())
+    return held.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[f(b).alias(f"{b}_{name}") for b in bands for name, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
+def standardize(df: DataFrame, bands: list[str], label: str = "targ") -> DataFrame:
+    """Bands less their mean, over their deviation plus 1e-8, both of the labelled samples; one row of statistics is joined to all pixels."""
+    of = df.filter(F.col(label).isNotNull()).agg(*[f(b).alias(f"__{b}_{n}") for b in bands for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    return df.crossJoin(F.broadcast(of)).select(*[((F.col(c) - F.col(f"__{c}_mean")) / (F.col(f"__{c}_std") + 1e-8)).alias(c) if c in bands else F.col(c) for c in df.columns])

@@ -145,6 +145,19 @@ def extract_points(pixels: DataFrame, bands: list[str], points: DataFrame, grid:
     return placed.join(pixels.select(*keys, "row", "col", *bands), ["row", "col"])
 
 
+def extract_wide(pixels: DataFrame, bands: list[str], places: DataFrame, grid: GridMeta, all_touched: bool = False, times: list | None = None) -> DataFrame:
+    """A row for each point, or for each pixel that a polygon covers, with columns t1_<band>, t2_<band>, ... by ascending time.
+
+    times: the slices wanted; without it the cube's distinct ones, a value each on the driver.  Missing values and slices that lack the
+    pixel are NULL; places outside have no row; equal rows of places are one.
+    """
+    found = covered(pixels, places, grid, all_touched) if "ring" in places.columns else extract_points(pixels, bands, places, grid)
+    listed = sorted(times if times is not None else [r[0] for r in pixels.select("time").distinct().collect()])
+    keys = [c for c in places.columns if c != "ring"]
+    at = lambda t, b: F.max(F.when(F.col("time") == F.lit(t).cast(pixels.schema["time"].dataType), F.col(b)))
+    return found.groupBy(*keys, "row", "col").agg(*[at(t, b).alias(f"t{i}_{b}") for i, t in enumerate(listed, 1) for b in bands])
+
+
 def polygon_points(shapes: DataFrame, res: tuple[float, float], frac: float = 1.0, min_points: int | None = None, seed: int = 1) -> DataFrame:
     """Cell centres inside each polygon on a grid from its own top left corner; frac of them, unless there are few."""
     left, bottom, right, top = _box(F.col("ring"))

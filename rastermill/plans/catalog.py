@@ -388,6 +388,29 @@ def _extract(spark, sf_dir):
     return rounded(vector.extract_points(df, ["red", "nir"], points, grid).select("id", "row", "col", "red", "nir"), "red", "nir")
 
 
+def _two_times(df: DataFrame) -> DataFrame:
+    held = lambda t, d, a: d.select(F.lit(t).cast("timestamp").alias("time"), "row", "col", *[a(F.col(b)).alias(b) for b in ("red", "nir")])
+    return held("2020-01-01", df, lambda v: v).unionAll(held("2020-02-01", df.filter("label < 5"), lambda v: 1.0 - v))
+
+
+_WIDE = ", ".join(f"round({v}, 6) AS {n}" for n, v in (("t1_red", "red"), ("t1_nir", "nir"), ("t2_red", "CASE WHEN label < 5 THEN 1.0 - red END"), ("t2_nir", "CASE WHEN label < 5 THEN 1.0 - nir END")))
+_WIDE_NAMES = ("t1_red", "t1_nir", "t2_red", "t2_nir")
+
+
+@query("extract_points_wide", f"WITH {IMAGE}, p AS (SELECT c_custkey AS id, (c_custkey * 7 % 30)::INT AS col, (c_custkey * 3 % 40)::INT AS row FROM customer) SELECT id, row, col, {_WIDE} FROM p JOIN image USING (row, col)")
+def _points_wide(spark, sf_dir):
+    df, grid, _ = _image(spark, sf_dir)
+    key = F.col("c_custkey")
+    points = adapters.table(spark, sf_dir, "customer").select(key.alias("id"), (F.lit(grid.left) + (key * 7 % 30 + 0.25) * grid.cellx).alias("x"), (F.lit(grid.top) - (key * 3 % 40 + 0.75) * grid.celly).alias("y"))
+    return rounded(vector.extract_wide(_two_times(df), ["red", "nir"], points, grid).drop("x", "y"), *_WIDE_NAMES)
+
+
+@query("extract_polygons_wide", f"WITH {IMAGE}, {_COVER} SELECT id, value, row, col, {_WIDE} FROM cover JOIN image USING (row, col)")
+def _polygons_wide(spark, sf_dir):
+    df, grid, shapes = _image(spark, sf_dir)
+    return rounded(vector.extract_wide(_two_times(df), ["red", "nir"], shapes, grid), *_WIDE_NAMES)
+
+
 @query("polygon_cells", f"WITH {IMAGE}, {_COVER} SELECT id, row, col FROM cover")
 def _cells(spark, sf_dir):
     _, grid, shapes = _image(spark, sf_dir)
@@ -722,6 +745,20 @@ def _scene(spark, sf_dir):
 # --- models, tiles, catalogs ---------------------------------------------------------------------------------------------------
 
 
+_CLASS_STATS = ", ".join(f"round(avg({b}), 6) AS {b}_mean, round(stddev_pop({b}), 6) AS {b}_std" for b in ("red", "nir"))
+
+
+@query("class_stats", f"WITH {IMAGE} SELECT label, count(*) AS n, {_CLASS_STATS} FROM image GROUP BY label")
+def _class_stats(spark, sf_dir):
+    return rounded(classify.class_stats(adapters.image(spark, sf_dir), ["red", "nir"], "label"), "red_mean", "red_std", "nir_mean", "nir_std")
+
+
+@query("standardize", f"WITH {IMAGE}, s AS (SELECT avg(red) AS m, stddev_pop(red) AS d FROM image WHERE label < 5) SELECT row, col, round((red - m) / (d + 1e-8), 6) AS red FROM image, s")
+def _standardize(spark, sf_dir):
+    df = adapters.image(spark, sf_dir).select("row", "col", "red", F.when(F.col("label") < 5, F.col("label")).alias("targ"))
+    return rounded(classify.standardize(df, ["red"]).select("row", "col", "red"), "red")
+
+
 @query("classify_forest")
 def _forest(spark, sf_dir):
     df = adapters.image(spark, sf_dir)
