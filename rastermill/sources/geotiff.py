@@ -1,6 +1,6 @@
 """Minimal GeoTIFF: uncompressed or deflate strips/tiles of one type, pixel scale and tie point; enough for round trips.
 
-Decoding runs on executors, one task for each file; encoding writes one file for each partition value.
+Decoding runs on executors, a block at a time; one file is one task, so large images are written as a folder of files.
 """
 
 from __future__ import annotations
@@ -50,8 +50,8 @@ def encode(data: np.ndarray, grid: GridMeta, compress: bool = True, rows_per_str
     return b"".join([*head, struct.pack("<I", 0), *extra, *strips])
 
 
-def decode(raw: bytes) -> tuple[np.ndarray, GridMeta]:
-    """(bands x rows x cols, grid)."""
+def header(raw: bytes) -> tuple[dict, GridMeta]:
+    """(layout of the blocks, grid) from a file's tags; no cell is decoded."""
     order = {b"II": "<", b"MM": ">"}[raw[:2]]
     magic, first = struct.unpack(f"{order}HI", raw[2:8])
     if magic != 42:
@@ -73,21 +73,36 @@ def decode(raw: bytes) -> tuple[np.ndarray, GridMeta]:
     tiled = 322 in tags
     tw, th = (tags[322][0], tags[323][0]) if tiled else (width, tags.get(278, (height,))[0])
     offsets, lengths = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    per = 1 if planar == 2 else bands
-    across, down = -(-width // tw), -(-height // th)
-    out = np.empty((bands, height, width), dtype.newbyteorder("="))
-    for k, (o, length) in enumerate(zip(offsets, lengths, strict=True)):
-        body = raw[o : o + length]
-        body = zlib.decompress(body) if compression != 1 else body
-        plane, r, c = k // (across * down), k % (across * down) // across * th, k % across * tw
-        rows = th if tiled else min(th, height - r)
-        part = np.frombuffer(body, dtype, rows * tw * per).reshape(rows, tw, per)[: height - r, : width - c]
-        for b in range(per):
-            out[plane if planar == 2 else b, r : r + part.shape[0], c : c + part.shape[1]] = part[..., b]
     sx, sy = tags.get(33550, (1.0, 1.0))[:2]
     tie = tags.get(33922, (0.0,) * 6)
     keys = tags.get(34735, ())
     crs = next((keys[i + 3] for i in range(4, len(keys), 4) if keys[i] in (3072, 2048) and keys[i + 1] == 0), 4326)
     nodata = b"".join(tags[42113]).rstrip(b"\0 ").decode() if 42113 in tags else None
-    grid = GridMeta(tie[3] - tie[0] * sx, tie[4] + tie[1] * sy, sx, sy, height, width, int(crs), tuple(str(b + 1) for b in range(bands)), float(nodata) if nodata else None, out.dtype.name)
+    grid = GridMeta(tie[3] - tie[0] * sx, tie[4] + tie[1] * sy, sx, sy, height, width, int(crs), tuple(str(b + 1) for b in range(bands)), float(nodata) if nodata else None, dtype.newbyteorder("=").name)
+    layout = {"dtype": dtype, "packed": compression != 1, "planar": planar == 2, "tiled": tiled, "tw": tw, "th": th, "offsets": offsets, "lengths": lengths}
+    return layout, grid
+
+
+def blocks(raw: bytes, layout: dict, grid: GridMeta):
+    """(row, column, bands x rows x cols) of each block, one at a time."""
+    tw, th, bands = layout["tw"], layout["th"], len(grid.bands)
+    across, down = -(-grid.ncols // tw), -(-grid.nrows // th)
+    for place in range(across * down):
+        r, c = place // across * th, place % across * tw
+        rows = th if layout["tiled"] else min(th, grid.nrows - r)
+        parts = []
+        for k in range(place, len(layout["offsets"]), across * down) if layout["planar"] else (place,):
+            body = raw[layout["offsets"][k] : layout["offsets"][k] + layout["lengths"][k]]
+            body = zlib.decompress(body) if layout["packed"] else body
+            per = 1 if layout["planar"] else bands
+            parts.append(np.frombuffer(body, layout["dtype"], rows * tw * per).reshape(rows, tw, per)[: grid.nrows - r, : grid.ncols - c])
+        yield r, c, np.concatenate(parts, 2).transpose(2, 0, 1)
+
+
+def decode(raw: bytes) -> tuple[np.ndarray, GridMeta]:
+    """(bands x rows x cols, grid)."""
+    layout, grid = header(raw)
+    out = np.empty((len(grid.bands), grid.nrows, grid.ncols), grid.dtype)
+    for r, c, part in blocks(raw, layout, grid):
+        out[:, r : r + part.shape[1], c : c + part.shape[2]] = part
     return out, grid

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import current
 from ..functions.expr import clean
-from ..grid import Bounds, GridMeta
+from ..grid import Bounds, GridMeta, common_bounds
 from ..operators import combine, masks
 from ..sensors import COLLECTION_SCALING
 
@@ -55,49 +55,75 @@ def read_layout(spark: SparkSession, path: str, bands: list[str] | None = None,
 
 
 def read_geotiff(spark: SparkSession, path: str, bands: list[str] | None = None, nodata=None) -> tuple[DataFrame, GridMeta]:
-    """Pixels of one file; the header is read on the driver, the cells are decoded in a task."""
-    from .geotiff import decode
+    """Pixels of a file, or of all files of a folder that are parts of one grid.
 
-    files = spark.read.format("binaryFile").load(path)
-    _, grid = decode(bytes(files.select("content").first()[0]))
-    names = list(current().band_names(bands, None, len(grid.bands)))
-    missing = current().value("nodata", nodata, grid.nodata)
+    Tasks read the headers and give the driver a line for each file; cells are decoded block by block, a file in a task.
+    """
+    from .geotiff import blocks, header
 
-    def run(batches):
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def heads(batches):
         import pandas as pd
 
         for batch in batches:
-            for raw in batch["content"]:
-                data, _ = decode(bytes(raw))
-                for r0 in range(0, data.shape[1], 256):  # a few rows at a time
-                    part = data[:, r0 : r0 + 256]
-                    y, x = np.mgrid[r0 : r0 + part.shape[1], 0 : part.shape[2]]
-                    yield pd.DataFrame({"row": y.ravel().astype(np.int32), "col": x.ravel().astype(np.int32)} | {b: part[k].ravel().astype(float) for k, b in enumerate(names)})
-
-    df = files.select("content").mapInPandas(run, "row int, col int, " + ", ".join(f"`{b}` double" for b in names))
-    return df.withColumns({b: clean(b, missing) for b in names}), grid.replace(bands=tuple(names), nodata=missing)
+            yield pd.DataFrame({"grid": [header(bytes(raw))[1].json() for raw in batch["content"]]})
+
+    grids = [GridMeta.from_json(r.grid) for r in files.mapInPandas(heads, "grid string").collect()]
+    if not grids:
+        raise OSError(f"no files in {path!r}")
+    if not all(g.same_phase(grids[0]) for g in grids):
+        raise ValueError("the files of a folder are parts of one grid; open images of other grids as a list of paths")
+    first = grids[0]
+    whole = first if len(grids) == 1 else GridMeta.from_bounds(common_bounds(grids, "union"), first.res, first.crs, bands=first.bands, nodata=first.nodata, dtype=first.dtype)
+    names = list(current().band_names(bands, None, len(first.bands)))
+    missing = current().value("nodata", nodata, first.nodata)
 
+    def run(batches):
+        import pandas as pd
 
-def write_geotiff(df: DataFrame, grid: GridMeta, bands: list[str], path: str, dtype: str = "float64", compress: bool = True) -> None:
-    """One file for an image that fits a task: cells are gathered on an executor, which writes it."""
+        for batch in batches:
+            for raw in map(bytes, batch["content"]):
+                layout, own = header(raw)
+                down, right = round((whole.top - own.top) / own.celly), round((own.left - whole.left) / own.cellx)
+                for r, c, block in blocks(raw, layout, own):
+                    for r0 in range(0, block.shape[1], 256):  # a few rows at a time
+                        part = block[:, r0 : r0 + 256]
+                        y, x = np.mgrid[r + r0 + down : r + r0 + down + part.shape[1], c + right : c + right + part.shape[2]]
+                        yield pd.DataFrame({"row": y.ravel().astype(np.int32), "col": x.ravel().astype(np.int32)} | {b: part[k].ravel().astype(float) for k, b in enumerate(names)})
+
+    df = files.mapInPandas(run, "row int, col int, " + ", ".join(f"`{b}` double" for b in names))
+    return df.withColumns({b: clean(b, missing) for b in names}), whole.replace(bands=tuple(names), nodata=missing)
+
+
+def write_geotiff(df: DataFrame, grid: GridMeta, bands: list[str], path: str, dtype: str = "float64", compress: bool = True, block: int | None = None) -> None:
+    """One file, for an image that fits a task; with block a folder of files of block x block cells, each written by the task that has
+    its cells.  A repeated task writes the same file again; blocks without any cell have none."""
     from .geotiff import encode
 
     fill = grid.nodata if grid.nodata is not None else (np.nan if dtype.startswith("float") else 0)
+    side = block or max(grid.nrows, grid.ncols)
 
     def run(key, rows):
         import pandas as pd
         from pyarrow import fs
 
-        data = np.full((len(bands), grid.nrows, grid.ncols), fill, dtype)
+        r, c = int(key[0]) * side, int(key[1]) * side
+        own = grid.at_window(r, c, min(side, grid.nrows - r), min(side, grid.ncols - c))
+        data = np.full((len(bands), own.nrows, own.ncols), fill, dtype)
         for k, b in enumerate(bands):
             v = rows[b].astype(float).to_numpy()
-            data[k, rows["row"], rows["col"]] = np.where(np.isnan(v), fill, v).astype(dtype)
+            data[k, rows["row"] - r, rows["col"] - c] = np.where(np.isnan(v), fill, v).astype(dtype)
         system, place = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+        if block:
+            system.create_dir(place, recursive=True)
+            place = f"{place}/block-{key[0]}-{key[1]}.tif"
         with system.open_output_stream(place) as out:
-            out.write(encode(data, grid.replace(dtype=dtype), compress))
+            out.write(encode(data, own.replace(dtype=dtype), compress))
         return pd.DataFrame({"n": [len(rows)]})
 
-    df.select("row", "col", *bands).groupBy(F.lit(0).alias("__one")).applyInPandas(run, "n long").collect()
+    tiles = [F.floor(F.col(k) / side).cast("int").alias(f"__{k}") for k in ("row", "col")]
+    df.select("row", "col", *bands).groupBy(*tiles).applyInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
 def open_raster(spark: SparkSession, path, bands: list[str] | None = None, times: list | None = None, mosaic: bool = False, overlap: str = "max", bounds_by: str = "reference", bounds=None, stack_dim: str = "time", nodata=None, target: GridMeta | None = None, resampling: str = "nearest"):

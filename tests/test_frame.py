@@ -297,3 +297,20 @@ def test_open_warps_other_phases_and_systems(spark, tmp_path):
     wide = RasterFrame.open(spark, [f"{tmp_path}/a", f"{tmp_path}/d"], mosaic=True, bounds_by="union")
     assert wide.grid.nrows >= GRID.nrows and wide.grid.ncols >= GRID.ncols
     assert np.allclose(RasterFrame.open(spark, f"{tmp_path}/a").transform_crs(4326).to_numpy(), warped.to_numpy(), equal_nan=True)
+
+
+@pytest.mark.parametrize("block", [None, 5, 8])
+def test_geotiff_folder_of_blocks(spark, tmp_path, block):
+    f = frame(spark)
+    f.save(f"{tmp_path}/a.tif", block=block)
+    again = RasterFrame.open(spark, f"{tmp_path}/a.tif", bands=f.bands)
+    assert again.grid.same_grid(GRID) and np.allclose(again.to_numpy(), f.to_numpy())
+
+
+def test_geotiff_folder_of_unlike_grids(spark, tmp_path):
+    f = frame(spark)
+    f.save(f"{tmp_path}/a.tif")
+    RasterFrame(f.df, f.grid.replace(left=600013.0)).save(f"{tmp_path}/b.tif")
+    with pytest.raises(ValueError):
+        RasterFrame.open(spark, f"{tmp_path}/*.tif")
+    assert RasterFrame.open(spark, [f"{tmp_path}/a.tif", f"{tmp_path}/b.tif"], mosaic=True).grid.same_grid(GRID)
