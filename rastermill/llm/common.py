@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage: files of shuffles that no query holds any more go then, which else comes at any time.
+
+    The last query run is still held by the listener bus, so another must have run after those whose files are to go.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI or a plain local path."""
     from pyarrow import fs

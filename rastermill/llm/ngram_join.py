@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, prepare
+from .common import cut_lineage, prepare, release
 from .tokens import byte_slices, text_bytes
 
 #: Postings a map task holds before it folds and sends them.
@@ -28,6 +28,9 @@ FLUSH = 1_000_000
 BLOCK_NODES, BLOCK_GRAMS = 512, 2_000_000
 #: Candidate tables up to this many rows (of three numbers) are broadcast (checked), larger ones joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bits of a sketch; the most nodes of a block of sketches, and the least of one of up to SKETCH_PARTS blocks.
+SKETCH_BITS = 512
+SKETCH_NODES, SKETCH_LEAST, SKETCH_PARTS = 4096, 128, 16
 LIGHT_SIZES = 200
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -191,6 +194,37 @@ def bucket_counts(grams: np.ndarray, bits: int = 6) -> bytes:
     return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of bucket counts: as each n-gram flips one bit, two sets differ by at least as many n-grams as their sketches by bits."""
+    bucket = (grams >> np.uint64(65 - SKETCH_BITS.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def alike(bits: np.ndarray, size: np.ndarray, one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Label (an index) of each set's component, where sets of one and of other (indices) meet if sizes and sketches let them link."""
+    label = np.arange(len(size))
+    one, other = one[np.argsort(size[one], kind="stable")], other[np.argsort(size[other], kind="stable")]
+    words = np.ascontiguousarray(bits.view(np.uint64).T)
+    sizes = size[other]
+    for at in range(0, len(one), 64):
+        rows = one[at : at + 64]
+        lo = np.searchsorted(sizes, -(-percent * size[rows[0]] // 100))
+        hi = np.searchsorted(sizes, 100 * size[rows[-1]] // percent, "right")
+        if lo == hi:
+            continue
+        some = other[lo:hi]
+        apart = np.zeros((len(rows), hi - lo), np.int32)
+        for w in words:
+            apart += np.bitwise_count(w[rows][:, None] ^ w[some])
+        near = apart * np.int64(100 + percent) <= (100 - percent) * (size[rows][:, None] + size[some])
+        for k in np.flatnonzero(near.any(1)):
+            met = np.unique(label[some[near[k]]])
+            met = met[met != label[rows[k]]]
+            if len(met):
+                label[np.isin(label, met)] = label[rows[k]]
+    return label
+
+
 def runs_of(p: np.ndarray, percent: int) -> np.ndarray:
     """Where runs begin in postings sorted by list and size.
 
@@ -339,6 +373,7 @@ def components(links: DataFrame) -> DataFrame:
 
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     before, now = None, state(edges)
+    release(links.sparkSession)  # candidates were dealt in a shuffle about twice as large as the texts' files
     while now[0] and now != before:
         bounded = F.broadcast if 2 * now[0] <= BROADCAST_ROWS else (lambda df: df)
         both = edges.select(F.inline(F.array(pair("u", "v"), pair("v", "u"))))
@@ -417,22 +452,89 @@ def _some(df: DataFrame) -> bool:
     return df.limit(1).count() > 0
 
 
+def _closer(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): of rows head, node, text, links that connect all nodes of a head which may link by their sizes and sketches.
+
+    Sketches, not texts, are dealt to every pair of a head's blocks: that grows with the square of a group only beyond SKETCH_PARTS *
+    SKETCH_NODES nodes, by SKETCH_BITS / 8 bytes a node and block.
+    """
+
+    def drawn(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo, hi in byte_slices(batch.column(2)):
+                rows = batch.slice(lo, hi - lo)
+                sets = gram_sets(rows.column(2), n)
+                same = pa.array([node_of(s) == k for s, k in zip(sets, rows.column(1).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())], ["head", "node", "size", "bits"]).filter(same)
+
+    def run(key, table):
+        import pyarrow as pa
+
+        node, size, own = (table[k].to_numpy() for k in ("node", "size", "own"))
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8)
+        label = alike(bits, size, *(np.flatnonzero(own == k.as_py()) for k in key[1:]), percent)
+        met = label != np.arange(len(label))
+        return pa.table({"a": node[met], "b": node[label][met]})
+
+    drawn_once = cut_lineage(texts.select("head", "node", "text").mapInArrow(drawn, "head long, node long, size long, bits binary"))
+    nodes = F.count(F.lit(1))
+    parts = F.ceil(nodes / F.least(F.lit(SKETCH_NODES), F.greatest(F.lit(SKETCH_LEAST), nodes / SKETCH_PARTS))).cast("int")
+    dealt = drawn_once.join(drawn_once.groupBy("head").agg(parts.alias("parts")), "head").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
+    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("head", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "node", "size", "bits")
+    return pairs.groupBy("head", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def _marked(df: DataFrame, key: str, keys: DataFrame, of: str) -> DataFrame:
+    """df with __may: true for every row whose key is in keys.of, and for few others.
+
+    A Bloom filter of at most BROADCAST_ROWS words (rows of a broadcast) with three bits a key: what it leaves out needs no shuffle.
+    """
+
+    def word(c: str):
+        return F.pmod(F.xxhash64(F.col(c), F.lit(4)), F.lit(max(1, BROADCAST_ROWS)))
+
+    def bits(c: str):
+        a, b, d = (F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(F.xxhash64(F.col(c), F.lit(5)), 6 * k).bitwiseAND(63).cast("int")) for k in range(3))
+        return a.bitwiseOR(b).bitwiseOR(d)
+
+    words = keys.groupBy(word(of).alias("__word")).agg(F.bit_or(bits(of)).alias("__bits"))
+    found = df.withColumn("__word", word(key)).join(F.broadcast(words), "__word", "left")
+    return found.withColumn("__may", F.coalesce(F.col("__bits").bitwiseAND(bits(key)) == bits(key), F.lit(False))).drop("__word", "__bits")
+
+
 def verified(docs: DataFrame, nodes: DataFrame, heads: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, label): exact components among the candidates.  docs: doc_id, key, text; nodes: node, size, first (a document's doc_id
     and key); heads: node, head.
 
-    A group too large for one task is cut into blocks.  Each is tested by itself; then one member of each cluster found, against each
+    A group too large for one task (many texts may be chained by lines that they share) is first cut into what may link by sketches.
+    What is still too large is cut into blocks.  Each is tested by itself; then one member of each cluster found, against each
     other; then, for the links still possible, all that is outside the group's largest cluster against every block.  So a group of
-    near copies costs its size, and only the number of *different* texts that look alike costs more.
+    near copies costs its size, and only the number of *different* texts whose sketches look alike costs more.
     """
     members = cut_lineage(heads.join(nodes, "node"))
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("size") / BLOCK_GRAMS)).cast("int")
-    sized = members.groupBy("head").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("head", "blocks")
-    wanted = cut_lineage(members.join(sized, "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", "size", "head", "blocks", "own", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key")))
-    at = wanted.select("node", "doc_id", "key")
-    at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        """rows (node, size, head, first) of heads with more than one node, with the head's blocks and the own one."""
+        blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("size") / BLOCK_GRAMS)).cast("int")
+        sized = rows.groupBy("head").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("head", "blocks")
+        return cut_lineage(rows.join(sized, "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", "size", "head", "blocks", "own"))
+
+    wanted = grouped(members)
+    at = wanted.select("node").join(nodes, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
+    if wanted.count() <= BROADCAST_ROWS:
+        at = F.broadcast(at)
+    else:
+        docs = _marked(docs, "key", at, "key").filter("__may")
     texts = docs.alias("d").join(at.alias("w"), (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("node", "text").dropDuplicates(["node"])
     texts = cut_lineage(texts)
+    chained = wanted.filter("blocks > 1")
+    several = _some(chained)
+    release(texts.sparkSession)
+    if several:
+        closer = components(_closer(texts.join(chained.select("node", "head"), "node"), n, percent)).toDF("node", "head")
+        wanted = wanted.filter("blocks = 1").unionByName(grouped(chained.select("node", "size").join(closer, "node")))
     inside = cut_lineage(_tested(texts.join(wanted, "node").select("*", F.col("own").alias("x"), F.col("own").alias("y"), F.col("node").alias("known")), n, percent))
     one = inside.filter("blocks = 1").select("node", "label")
     large = inside.filter("blocks > 1")
@@ -498,7 +600,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Null, empty and white texts have no n-grams and all stay, but for repeated rows; of rows that repeat both id and text the first in
     order of the other columns stays.  Rows with a null id can't be told apart and all stay.  An empty table stays empty.  Names of
     other columns don't matter but for those that begin with two underscores.  The texts are not shuffled while the rows to drop fit a
-    broadcast of checked size.
+    broadcast of checked size; beyond that only those that a filter of that size doesn't rule out.
     """
     found = cut_lineage(_rows(docs, n, percent, "doc_id", "text").filter("doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "least"))
 
@@ -508,8 +610,12 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     keyed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
     same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__key"))
-    others = bounded(found.filter("__id <> least.doc_id or __key <> least.key").select("__id", "__key").distinct())
-    kept = keyed.join(others, same, "left_anti")
+    others = cut_lineage(found.filter("__id <> least.doc_id or __key <> least.key").select("__id", "__key").distinct())
+    if others.count() <= BROADCAST_ROWS:
+        kept = keyed.join(F.broadcast(others), same, "left_anti")
+    else:
+        marked = _marked(keyed, "__hash", others, "__key")
+        kept = marked.filter("not __may").unionAll(marked.filter("__may").join(others, same, "left_anti"))
     again = found.groupBy("__id", "__key").count().filter("count > 1").select("__id", "__key")
     if not _some(again):
         return kept.select(*docs.columns)

@@ -148,3 +148,56 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, ngram_join.join_components(docs, 3, 90).collect()), key=str) == naive(rows, 3, 90)
+
+
+def chained_corpus():
+    """Different texts of which most share some lines, so that lists chain them, with some near copies among them."""
+    r, line = random.Random(8), [" ".join(f"line{k}word{i}" for i in range(14)) for k in range(6)]
+    rows = []
+    for i in range(160):
+        words = [f"{i}own{r.randrange(9999)}" for _ in range(60)]
+        parts = [" ".join(words[:30]), *r.sample(line, 4), " ".join(words[30:])]
+        rows.append((2 * i, "\n".join(parts)))
+        if i % 8 == 0:
+            rows.append((2 * i + 1, rows[-1][1].replace(words[7], "another")))
+    return rows
+
+
+def test_texts_chained_by_shared_lines_are_not_all_tested_against_all(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 8)
+    monkeypatch.setattr(ngram_join, "SKETCH_LEAST", 16)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    rows, read, tested = chained_corpus(), [], ngram_join._tested
+
+    def counted(texts, *rest):
+        read.append(texts.count())
+        return tested(texts, *rest)
+
+    monkeypatch.setattr(ngram_join, "_tested", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join.join_components(docs, 5, 80).collect()), key=str) == naive(rows, 5, 80)
+    assert 40 <= sum(read) <= 2 * len(rows)  # by blocks against blocks: 40 times the rows
+
+
+def test_sketches_never_part_what_links():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        size = int(rng.integers(1, 900))
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, size // 4 + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, size // 4 + 1))).astype(np.uint64)]))
+        sets = [a, b, np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))]
+        bits = np.frombuffer(b"".join(map(ngram_join.sketch, sets)), np.uint8).reshape(3, -1)
+        apart = len(np.setxor1d(a, b))
+        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= apart
+        shared = len(np.intersect1d(a, b))
+        for one, other in (([0, 1, 2], [0, 1, 2]), ([0, 2], [1]), ([1], [0, 2])):
+            label = ngram_join.alike(bits, np.array(list(map(len, sets))), np.array(one), np.array(other), 80)
+            assert label[0] == label[1] or 100 * shared < 80 * (len(a) + len(b) - shared)
+
+
+def test_a_filter_marks_all_that_is_sought_and_little_else(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 500)
+    all_rows = spark.range(20_000).selectExpr("xxhash64(id) as key", "id")
+    got = ngram_join._marked(all_rows, "key", all_rows.filter("id % 20 = 0"), "key")
+    assert got.columns == ["key", "id", "__may"] and got.count() == 20_000
+    assert got.filter("id % 20 = 0 and __may").count() == 1000 and got.filter("__may").count() < 1300
