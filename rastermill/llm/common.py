@@ -64,7 +64,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Collect the driver's garbage: files of shuffles that no query holds any more go then, which else comes at any time.
 
-    The last query run is still held by the listener bus, so another must have run after those whose files are to go.
+    A checkpointed table that is still referred to holds its own shuffles; the last query run is held until another has run.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()

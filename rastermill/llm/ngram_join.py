@@ -371,18 +371,21 @@ def components(links: DataFrame) -> DataFrame:
     def pair(u: str, v: str):
         return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
 
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    before, now = None, state(edges)
-    release(links.sparkSession)  # candidates were dealt in a shuffle about twice as large as the texts' files
-    while now[0] and now != before:
-        bounded = F.broadcast if 2 * now[0] <= BROADCAST_ROWS else (lambda df: df)
+    def nearer(edges: DataFrame, n: int) -> DataFrame:
+        bounded = F.broadcast if 2 * n <= BROADCAST_ROWS else (lambda df: df)
         both = edges.select(F.inline(F.array(pair("u", "v"), pair("v", "u"))))
         near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(bounded(near), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # no more rows than edges
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(bounded(least), "u").select(F.inline(F.array(pair("v", "m"), pair("u", "m")))).filter("u != v").distinct()
-        edges = cut_lineage(small)
-        before, now = now, state(edges)
+        return large.join(bounded(least), "u").select(F.inline(F.array(pair("v", "m"), pair("u", "m")))).filter("u != v").distinct()
+
+    edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    before, now = None, state(edges)
+    while now[0] and now != before:
+        edges = cut_lineage(nearer(edges, now[0]))
+        first, before, now = before is None, now, state(edges)
+        if first:  # the links' own table is no longer held, nor the shuffle of candidates, about twice as large as the texts' files
+            release(links.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("head")).unionAll(edges.select(F.col("v"), F.col("v")).distinct())
 
 
