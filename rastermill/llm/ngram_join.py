@@ -482,9 +482,9 @@ def _closer(texts: DataFrame, n: int, percent: int) -> DataFrame:
         return pa.table({"a": node[met], "b": node[label][met]})
 
     drawn_once = cut_lineage(texts.select("head", "node", "text").mapInArrow(drawn, "head long, node long, size long, bits binary"))
-    nodes = F.count(F.lit(1))
+    nodes = F.count(F.lit(1))  # heads are few, as each has more than a block; dealt by head alone, a group's pairs would be one task
     parts = F.ceil(nodes / F.least(F.lit(SKETCH_NODES), F.greatest(F.lit(SKETCH_LEAST), nodes / SKETCH_PARTS))).cast("int")
-    dealt = drawn_once.join(drawn_once.groupBy("head").agg(parts.alias("parts")), "head").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
+    dealt = drawn_once.join(F.broadcast(drawn_once.groupBy("head").agg(parts.alias("parts"))), "head").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
     pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("head", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "node", "size", "bits")
     return pairs.groupBy("head", "x", "y").applyInArrow(run, "a long, b long")
 
