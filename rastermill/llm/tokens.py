@@ -2,7 +2,8 @@
 
 Both supported tokenizers split a text into pieces before any merge, and a piece never reaches over the places where texts are cut
 here.  So the ids of a text are those of its words one after another, and every distinct word is encoded once: words are found and
-made distinct by array operations, the library encodes those that are new, and the ids are put together by one gather.
+made distinct by array operations, the library encodes those that are new, and the ids are put together by one gather.  New words of
+Latin letters go to the library's model alone, already normalised and written as its bytes' letters.
 """
 
 from __future__ import annotations
@@ -21,6 +22,13 @@ SLICE_BYTES, SLICE_WORDS = 2 << 20, 1 << 18
 SLICE_CHARS = 1_000_000
 #: New words encoded as one text.
 JOINED = 256
+#: Letters for bytes as both kinds of files write them: printable bytes stand for themselves, others for what follows U+00FF; but the
+#: space stays, as it parts words here.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = np.zeros(256, "<u2")
+BYTE_LETTERS[_PRINTED] = _PRINTED
+BYTE_LETTERS[[b for b in range(256) if b not in _PRINTED]] = np.arange(256, 512 - len(_PRINTED))
+BYTE_LETTERS[32] = 32
 
 #: ASCII punctuation but for the apostrophe, which begins contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -85,7 +93,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path not in _tokenizers:  # what the file says, once for each worker process
             with open(path, encoding="utf-8") as f:
@@ -96,8 +104,11 @@ class Encoder:
             vocabulary = said["model"]["vocab"] if known else {}
             marked = np.zeros(max(list(vocabulary.values()) + [t["id"] for t in added], default=-1) + 1, bool)  # tokens that begin (spaced) or end a word
             marked[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if spaced else t.endswith("</w>"))]] = True
-            _tokenizers[path] = Tokenizer.from_file(path), spaced, known and plain, [t["content"] for t in added], marked
-        self.tokenizer, self.spaced, self.known, added, self.marked = _tokenizers[path]
+            tokenizer = Tokenizer.from_file(path)
+            bare = Tokenizer(tokenizer.model)  # the same model, not a copy
+            bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            _tokenizers[path] = tokenizer, bare, spaced, known and plain, [t["content"] for t in added], marked
+        self.tokenizer, self.bare, self.spaced, self.known, added, self.marked = _tokenizers[path]
         self.tokenizer.encode_special_tokens = special_as_text
         self.special = [] if special_as_text else added
         self.new, self.old = _Pieces(), _Pieces()
@@ -187,7 +198,7 @@ class Encoder:
         tails = np.flatnonzero(size > held)
         tail = pa.StringArray.from_buffers(len(tails), pa.py_buffer(np.r_[0, np.cumsum((size - held)[tails])].astype(np.int32)), pa.py_buffer(gather(letters, (at[:-1] + held)[tails], (size - held)[tails])))
         pieces = pa.concat_arrays([body, tail]).dictionary_encode()
-        number = self._numbers(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
+        number = self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
         two = np.full((len(words), 2), -1)
         two[:, 0], two[tails, 1] = number[: len(words)], number[len(words) :]
         size = np.where(two < 0, 0, self.new.size[two])
@@ -197,25 +208,27 @@ class Encoder:
         return gather(flat, starts(size)[word], size[word]), size[word]
 
     def _numbers(self, keys: list[str]) -> np.ndarray:
-        """Where the ids of these pieces stand among the new ones; pieces not seen before are encoded."""
+        """Where the ids of these distinct pieces stand among the new ones; pieces not seen before are encoded."""
         if self.new.bytes > CACHE_BYTES // 2:
             self.new, self.old = _Pieces(), self.new
-        missing = [k for k in keys if k not in self.new.number]
-        known = [k for k in missing if k in self.old.number]
-        if known:
-            at = np.fromiter(map(self.old.number.__getitem__, known), np.int64, len(known))
-            self.new.add(known, gather(self.old.flat, self.old.start[at], self.old.size[at]), self.old.size[at])
-        self._learn([k for k in missing if k not in self.old.number])
-        return np.fromiter(map(self.new.number.__getitem__, keys), np.int64, len(keys))
+        number = np.fromiter(map(self.new.number.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        lost = np.flatnonzero(number < 0)
+        missing = [keys[i] for i in lost.tolist()]
+        before = np.fromiter(map(self.old.number.get, missing, itertools.repeat(-1)), np.int64, len(missing))
+        at = before[before >= 0]
+        self.new.add([missing[i] for i in np.flatnonzero(before >= 0).tolist()], gather(self.old.flat, self.old.start[at], self.old.size[at]), self.old.size[at])
+        self._learn([missing[i] for i in np.flatnonzero(before < 0).tolist()])
+        number[lost] = np.fromiter(map(self.new.number.__getitem__, missing), np.int64, len(missing))
+        return number
 
     def _learn(self, keys: list[str]) -> None:
         """Words of Latin letters are encoded many as one text, cut again where the tokens' own marks say; others one by one."""
         fit, rest = [], []
         for k in keys:
             word = k[1:] if self.spaced and k[:1] == " " else k
-            (fit if word.isalpha() and max(word) < "\u0250" and (not self.spaced or word is not k) else rest).append(k)
+            (fit if word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word) and (not self.spaced or word is not k) else rest).append(k)
         groups = [fit[i : i + JOINED] for i in range(0, len(fit), JOINED)]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast([("" if self.spaced else " ").join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, got in zip(groups, self._joined(groups), strict=True):
             ids = np.array(got.ids, np.uint32)
             marks = np.flatnonzero(self.marked[ids])
             if len(marks) != len(group) or marks[0 if self.spaced else -1] != (0 if self.spaced else len(ids) - 1):
@@ -226,6 +239,21 @@ class Encoder:
         sizes = np.array(list(map(len, got)), np.int64)
         self.new.add(rest, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes)
 
+    def _joined(self, groups: list[list[str]]) -> list:
+        """Encodings of each group's words as one text.
+
+        Letters below U+0250 are composed and, but for U+0130, one letter in lower case too; words of them are never parted.  So all
+        that an unspaced file does before the model is done here.
+        """
+        if self.spaced:
+            return self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
+        return self.bare.encode_batch_fast([_lettered(" ".join(g).lower()) for g in groups], add_special_tokens=False)
+
+
+def _lettered(words: str) -> str:
+    """Words with their bytes as BYTE_LETTERS."""
+    return words if words.isascii() else BYTE_LETTERS[np.frombuffer(words.encode(), np.uint8)].tobytes().decode("utf-16-le")
+
 
 def text_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     """(offsets from 0, bytes) of an Arrow array of strings without nulls."""

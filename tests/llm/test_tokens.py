@@ -67,6 +67,37 @@ def test_other_tokenizers_are_read_text_by_text(tmp_path):
     assert encoded(enc, ["a b", "", "c  d"]) == [t.encode(x, add_special_tokens=False).ids for x in ("a b", "", "c  d")]
 
 
+#: Letters below U+0250, each alone, behind and before others, and in words of all kinds of them.
+LETTERS = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+WORDS = [w for c in LETTERS for w in (c, "ab" + c, c + "ba", c + c)] + ["".join(random.Random(k).choices(LETTERS, k=1 + k % 17)) for k in range(3000)]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_words_of_latin_letters_as_the_library(name):
+    texts = [" " + w for w in WORDS] + [" ".join(WORDS)]
+    assert encoded(tokens.Encoder(public_tokenizers.path(name)), texts) == list(map(plain(name), texts))
+
+
+class Counted:
+    """Counts the texts that the whole tokenizer, not the model alone, is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("name", NAMES[:1])
+def test_latin_words_are_given_to_the_model_alone(name):
+    enc = tokens.Encoder(public_tokenizers.path(name))
+    enc.tokenizer = Counted(enc.tokenizer)
+    texts = [" " + " ".join(w for w in WORDS if "\u0130" not in w), " \u0130x 12"]
+    assert encoded(enc, texts) == list(map(plain(name), texts))
+    assert sorted(enc.tokenizer.texts, key=len)[-1] in ("12", "\u0130x") and len(enc.tokenizer.texts) == 2
+
+
 _both = {c: (tokens.Encoder(public_tokenizers.path(c)), plain(c)) for c in NAMES}
 
 
