@@ -29,6 +29,8 @@ BYTE_LETTERS = np.zeros(256, "<u2")
 BYTE_LETTERS[_PRINTED] = _PRINTED
 BYTE_LETTERS[[b for b in range(256) if b not in _PRINTED]] = np.arange(256, 512 - len(_PRINTED))
 BYTE_LETTERS[32] = 32
+#: Words of letters below U+0250, but for U+0130.
+LATIN = "[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+$"
 
 #: ASCII punctuation but for the apostrophe, which begins contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -76,13 +78,15 @@ class _Pieces:
     def _room(a: np.ndarray, need: int) -> np.ndarray:
         return a if need <= len(a) else np.concatenate([a, np.zeros(max(need - len(a), len(a)), a.dtype)])
 
-    def add(self, keys: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+    def add(self, keys: list[str], flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The numbers that these pieces get."""
         n, ids = self.n + len(keys), self.ids + len(flat)
         self.flat, self.start, self.size = self._room(self.flat, ids), self._room(self.start, n), self._room(self.size, n)
         self.flat[self.ids : ids], self.size[self.n : n], self.start[self.n : n] = flat, size, self.ids + starts(size)
         self.number.update(zip(keys, range(self.n, n), strict=True))
         self.bytes += sum(map(len, keys)) + 170 * len(keys) + 4 * len(flat)
         self.n, self.ids = n, ids
+        return np.arange(n - len(keys), n)
 
 
 class Encoder:
@@ -198,7 +202,7 @@ class Encoder:
         tails = np.flatnonzero(size > held)
         tail = pa.StringArray.from_buffers(len(tails), pa.py_buffer(np.r_[0, np.cumsum((size - held)[tails])].astype(np.int32)), pa.py_buffer(gather(letters, (at[:-1] + held)[tails], (size - held)[tails])))
         pieces = pa.concat_arrays([body, tail]).dictionary_encode()
-        number = self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
+        number = self._numbers(pieces.dictionary)[pieces.indices.to_numpy()]
         two = np.full((len(words), 2), -1)
         two[:, 0], two[tails, 1] = number[: len(words)], number[len(words) :]
         size = np.where(two < 0, 0, self.new.size[two])
@@ -207,47 +211,57 @@ class Encoder:
         word = found.indices.to_numpy()
         return gather(flat, starts(size)[word], size[word]), size[word]
 
-    def _numbers(self, keys: list[str]) -> np.ndarray:
+    def _numbers(self, pieces) -> np.ndarray:
         """Where the ids of these distinct pieces stand among the new ones; pieces not seen before are encoded."""
         if self.new.bytes > CACHE_BYTES // 2:
             self.new, self.old = _Pieces(), self.new
+        keys = pieces.to_numpy(zero_copy_only=False).tolist()
         number = np.fromiter(map(self.new.number.get, keys, itertools.repeat(-1)), np.int64, len(keys))
         lost = np.flatnonzero(number < 0)
         missing = [keys[i] for i in lost.tolist()]
         before = np.fromiter(map(self.old.number.get, missing, itertools.repeat(-1)), np.int64, len(missing))
-        at = before[before >= 0]
-        self.new.add([missing[i] for i in np.flatnonzero(before >= 0).tolist()], gather(self.old.flat, self.old.start[at], self.old.size[at]), self.old.size[at])
-        self._learn([missing[i] for i in np.flatnonzero(before < 0).tolist()])
-        number[lost] = np.fromiter(map(self.new.number.__getitem__, missing), np.int64, len(missing))
+        known, at = lost[before >= 0], before[before >= 0]
+        number[known] = self.new.add([keys[i] for i in known.tolist()], gather(self.old.flat, self.old.start[at], self.old.size[at]), self.old.size[at])
+        lost = lost[before < 0]
+        number[lost] = self._learn(pieces.take(lost))
         return number
 
-    def _learn(self, keys: list[str]) -> None:
-        """Words of Latin letters are encoded many as one text, cut again where the tokens' own marks say; others one by one."""
-        fit, rest = [], []
-        for k in keys:
-            word = k[1:] if self.spaced and k[:1] == " " else k
-            (fit if word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word) and (not self.spaced or word is not k) else rest).append(k)
+    def _learn(self, pieces) -> np.ndarray:
+        """Where the ids of these pieces, encoded now, stand.
+
+        Words of Latin letters are encoded many as one text, cut again where the tokens' own marks say; others one by one.
+        """
+        import pyarrow.compute as pc
+
+        keys = pieces.to_numpy(zero_copy_only=False)
+        latin = pc.match_substring_regex(pieces, ("^ " if self.spaced else "^") + LATIN).to_numpy(zero_copy_only=False)
+        fit = np.flatnonzero(latin)
         groups = [fit[i : i + JOINED] for i in range(0, len(fit), JOINED)]
-        for group, got in zip(groups, self._joined(groups), strict=True):
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for group, got in zip(groups, self._joined([keys[g].tolist() for g in groups]), strict=True):
             ids = np.array(got.ids, np.uint32)
             marks = np.flatnonzero(self.marked[ids])
             if len(marks) != len(group) or marks[0 if self.spaced else -1] != (0 if self.spaced else len(ids) - 1):
-                rest += group
+                latin[group] = False
             else:
-                self.new.add(group, ids, np.diff(np.r_[marks, len(ids)] if self.spaced else np.r_[-1, marks]))
+                flat.append(ids)
+                sizes.append(np.diff(np.r_[marks, len(ids)] if self.spaced else np.r_[-1, marks]))
+        number = np.empty(len(keys), np.int64)
+        number[latin] = self.new.add(keys[latin].tolist(), np.concatenate(flat), np.concatenate(sizes))
+        rest = keys[~latin].tolist()
         got = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        sizes = np.array(list(map(len, got)), np.int64)
-        self.new.add(rest, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes)
+        size = np.array(list(map(len, got)), np.int64)
+        number[~latin] = self.new.add(rest, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum())), size)
+        return number
 
     def _joined(self, groups: list[list[str]]) -> list:
         """Encodings of each group's words as one text.
 
-        Letters below U+0250 are composed and, but for U+0130, one letter in lower case too; words of them are never parted.  So all
-        that an unspaced file does before the model is done here.
+        Letters below U+0250 are composed and, but for U+0130, one letter in lower case too; words of them are never parted, and a
+        space before them is one more letter of a spaced file.  So all that a file does before the model is done here.
         """
-        if self.spaced:
-            return self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
-        return self.bare.encode_batch_fast([_lettered(" ".join(g).lower()) for g in groups], add_special_tokens=False)
+        texts = (_lettered("".join(g)).replace(" ", " Ġ") if self.spaced else _lettered(" ".join(g).lower()) for g in groups)
+        return self.bare.encode_batch_fast(list(texts), add_special_tokens=False)
 
 
 def _lettered(words: str) -> str:

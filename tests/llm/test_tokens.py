@@ -89,13 +89,13 @@ class Counted:
         return self.tokenizer.encode_batch_fast(texts, **options)
 
 
-@pytest.mark.parametrize("name", NAMES[:1])
+@pytest.mark.parametrize("name", NAMES)
 def test_latin_words_are_given_to_the_model_alone(name):
     enc = tokens.Encoder(public_tokenizers.path(name))
     enc.tokenizer = Counted(enc.tokenizer)
     texts = [" " + " ".join(w for w in WORDS if "\u0130" not in w), " \u0130x 12"]
     assert encoded(enc, texts) == list(map(plain(name), texts))
-    assert sorted(enc.tokenizer.texts, key=len)[-1] in ("12", "\u0130x") and len(enc.tokenizer.texts) == 2
+    assert sorted(x.strip() for x in enc.tokenizer.texts) == ["12", "\u0130x"]
 
 
 _both = {c: (tokens.Encoder(public_tokenizers.path(c)), plain(c)) for c in NAMES}
