@@ -19,11 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, prepare, release
+from .common import cut_lineage, prepare, release, scratch
 from .tokens import byte_slices, text_bytes
 
 #: Postings a map task holds before it folds and sends them.
 FLUSH = 1_000_000
+#: Times the texts are read for their postings, each time for another part of the lists: so much less is on disk at once.
+PASSES = 3
 #: Nodes and n-grams tested in one task; larger candidate groups are cut into blocks.
 BLOCK_NODES, BLOCK_GRAMS = 512, 2_000_000
 #: Candidate tables up to this many rows (of three numbers) are broadcast (checked), larger ones joined by a shuffle.
@@ -292,17 +294,35 @@ def candidate_links(docs: DataFrame, plan: Plan) -> DataFrame:
     """(a, b): links of nodes that share a subset or a block, a < b: a star over each list.
 
     Postings are rows that Spark deals by list and sorts (on disk where they don't fit); a map task folds what it holds of long lists,
-    so that a list never has more than a few entries for each FLUSH of a task.
+    that a list never has more than a few entries for each FLUSH of a task.  Postings take about twice the input's space, so the lists
+    are made in PASSES parts; the shuffle of one is gone before the next begins.
     """
+    made = scratch(docs.sparkSession, "links")
+    parts = [f"{made}/{k}" for k in range(PASSES)]
+    for k, path in enumerate(parts):
+        _links_of_part(docs, plan, k, len(parts)).write.parquet(path)
+        _freed(docs.sparkSession.read.schema("a long, b long").parquet(path))
+    return docs.sparkSession.read.schema("a long, b long").parquet(*parts)
+
+
+def _freed(written: DataFrame) -> DataFrame:
+    """What was written, read again, when the shuffles that made it are gone (the last query run holds its own, so another is run)."""
+    _some(written)
+    release(written.sparkSession)
+    return written
+
+
+def _links_of_part(docs: DataFrame, plan: Plan, part: int, parts: int) -> DataFrame:
+    """candidate_links of the lists whose signature leaves the remainder part by parts."""
 
     def post(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        parts, n = [], 0
+        held, n = [], 0
 
         def send():
-            runs, links = fold(np.concatenate(parts), plan.percent)
+            runs, links = fold(np.concatenate(held), plan.percent)
             link = np.zeros(len(links), POSTING)  # a link made here travels as a posting without a size
             link["sig"], link["node"] = links[:, 0], links[:, 1]
             rows = np.concatenate([runs, link])
@@ -315,16 +335,17 @@ def candidate_links(docs: DataFrame, plan: Plan) -> DataFrame:
             for lo, hi in byte_slices(texts):
                 for grams in gram_sets(texts.slice(lo, hi - lo), plan.n):
                     sigs = plan.signatures(grams)
+                    sigs = sigs[sigs % np.uint64(parts) == part]
                     if len(sigs):
                         p = np.empty(len(sigs), POSTING)
                         p["sig"], p["node"], p["low"], p["high"] = sigs.view(np.int64), node_of(grams), len(grams), len(grams)
-                        parts.append(p)
+                        held.append(p)
                         n += len(p)
                     if n > FLUSH:
                         yield from send()
-                        parts.clear()
+                        held.clear()
                         n = 0
-        if parts:
+        if held:
             yield from send()
 
     def read(batches):
@@ -384,7 +405,7 @@ def components(links: DataFrame) -> DataFrame:
     while now[0] and now != before:
         edges = cut_lineage(nearer(edges, now[0]))
         first, before, now = before is None, now, state(edges)
-        if first:  # the links' own table is no longer held, nor the shuffle of candidates, about twice as large as the texts' files
+        if first:  # the links' own table is no longer held, nor the shuffles that made it
             release(links.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("head")).unionAll(edges.select(F.col("v"), F.col("v")).distinct())
 
@@ -531,11 +552,11 @@ def verified(docs: DataFrame, nodes: DataFrame, heads: DataFrame, n: int, percen
     else:
         docs = _marked(docs, "key", at, "key").filter("__may")
     texts = docs.alias("d").join(at.alias("w"), (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("node", "text").dropDuplicates(["node"])
-    texts = cut_lineage(texts)
+    stored = scratch(texts.sparkSession, "texts")
+    texts.write.parquet(stored)
+    texts = _freed(texts.sparkSession.read.schema("node long, text string").parquet(stored))
     chained = wanted.filter("blocks > 1")
-    several = _some(chained)
-    release(texts.sparkSession)
-    if several:
+    if _some(chained):
         closer = components(_closer(texts.join(chained.select("node", "head"), "node"), n, percent)).toDF("node", "head")
         wanted = wanted.filter("blocks = 1").unionByName(grouped(chained.select("node", "size").join(closer, "node")))
     inside = cut_lineage(_tested(texts.join(wanted, "node").select("*", F.col("own").alias("x"), F.col("own").alias("y"), F.col("node").alias("known")), n, percent))
@@ -544,7 +565,7 @@ def verified(docs: DataFrame, nodes: DataFrame, heads: DataFrame, n: int, percen
     if not _some(large):
         return one
     heads_of = F.broadcast(wanted.filter("blocks > 1").select("head").distinct()) if wanted.filter("blocks > 1").select("head").distinct().count() <= BROADCAST_ROWS else wanted.filter("blocks > 1").select("head").distinct()
-    held = cut_lineage(texts.join(wanted, "node").join(heads_of, "head"))
+    held = cut_lineage(texts.join(wanted.join(heads_of, "head"), "node"))
 
     def united(clusters: DataFrame, found: DataFrame) -> DataFrame:
         """clusters (node, label, head) with the labels that found (label, label) links unite."""

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -201,3 +202,49 @@ def test_a_filter_marks_all_that_is_sought_and_little_else(spark, monkeypatch):
     got = ngram_join._marked(all_rows, "key", all_rows.filter("id % 20 = 0"), "key")
     assert got.columns == ["key", "id", "__may"] and got.count() == 20_000
     assert got.filter("id % 20 = 0 and __may").count() == 1000 and got.filter("__may").count() < 1300
+
+
+def test_candidates_are_dealt_in_parts_and_their_shuffles_freed(spark, monkeypatch):
+    rows = chained_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).select("text")
+    plan = ngram_join.Plan(5, 80, 0)
+
+    def posted(part, parts):
+        rounds = ngram_join._links_of_part(docs, plan, part, parts)
+        return {tuple(r) for r in rounds.collect()}
+
+    links, freed, manager = [posted(k, 3) for k in range(3)], [], spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def on_disk():
+        return sum(f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_"))
+
+    release = ngram_join.release
+
+    def counted(session):
+        freed.append(on_disk())
+        release(session)
+
+    monkeypatch.setattr(ngram_join, "release", counted)
+    release(spark)
+    time.sleep(2)
+    before = on_disk()
+    monkeypatch.setattr(ngram_join, "PASSES", 1)
+    ngram_join.candidate_links(docs, plan)
+    time.sleep(2)
+    whole, left = freed.pop() - before, on_disk() - before
+    monkeypatch.setattr(ngram_join, "PASSES", 3)
+    got = {tuple(r) for r in ngram_join.candidate_links(docs, plan).collect()}
+    assert all(links) and got == set().union(*links) and len(freed) == 3
+    assert left < 0.2 * whole and freed[0] - before < 0.6 * whole
+    assert {frozenset(v) for v in _groups(got)} == {frozenset(v) for v in _groups(posted(0, 1))}
+
+
+def _groups(links):
+    label = {}
+    for a, b in links:
+        one, other = label.setdefault(a, {a}), label.setdefault(b, {b})
+        if one is not other:
+            one |= other
+            for x in other:
+                label[x] = one
+    return label.values()
